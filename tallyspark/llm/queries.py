@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, token_files, url_filter, warc
+from . import decontaminate, embedding_dedup, mixing, secrets, token_files, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op4_mix": mixing.op4_mix,
         "op5_tokens": token_files.op5_tokens,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_warc": warc.op7_warc,
+        "op8_vectors": embedding_dedup.op8_vectors,
         "op9_secrets": secrets.op9_secrets,
         "op10_urls": url_filter.op10_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": mixing.OP4_SQL, "op7_warc": warc.OP7_SQL}
+    return {"op4_mix": mixing.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_vectors": embedding_dedup.OP8_SQL}
