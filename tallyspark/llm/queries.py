@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, mixing, secrets, token_files, url_filter, warc
+from . import decontaminate, embedding_dedup, mixing, near_dedup, secrets, token_files, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_mix": mixing.op4_mix,
         "op5_tokens": token_files.op5_tokens,
         "op6_decontaminate": decontaminate.op6_decontaminate,
