@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, mixing, near_dedup, quality, secrets, token_files, url_filter, warc
+from . import decontaminate, embedding_dedup, mixing, near_dedup, quality, secrets, suffix_dedup, token_files, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_quality": quality.op2_quality,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_mix": mixing.op4_mix,
