@@ -1,4 +1,26 @@
-"""Registered queries over the driver tables and their SQL."""
+"""Registered queries over the driver tables and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def add(f: Callable[..., DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    from . import budget_queries, flow_queries, graph_queries, stat_queries  # noqa: F401
