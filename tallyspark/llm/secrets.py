@@ -27,7 +27,7 @@ DIGESTS = {32, 40, 48, 56, 64, 96, 128}
 
 SEPARATOR = re.compile(r"[:=]")
 KEYWORD = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\Z", re.IGNORECASE | re.ASCII)
-VALUE = re.compile(r"\x20*[\"']?\x20*([A-Za-z0-9+/_.=-]+)")
+VALUE = re.compile(r"\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: Longest keyword and its quote.
