@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from .common import fresh_path, publish, shuffle_partitions, storage, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Encoded pieces that a worker keeps, and the longest piece it keeps (characters).
-CACHE, CACHED_LENGTH = 400_000, 64
+#: Encoded pieces of one of the two generations that a worker keeps, and the documents of a batch.
+CACHE, BATCH = 500_000, 500
 NO_ID = -(2**63)
 #: A space with white space on both sides, or after white space at the end, isn't a border between pre-tokens.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -40,10 +42,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Encodes with a byte-level tokenizer of the tokenizers library, a piece at a time.
+    """Encodes with a byte-level tokenizer of the tokenizers library, each distinct piece of a text once.
 
-    The tokenizer's own pattern never lets a pre-token run over a space that stands between two words, so a text is cut
-    there and each distinct piece is encoded once. Texts whose spaces touch other white space are encoded whole.
+    The tokenizer's own pattern never lets a pre-token run over a space that stands between two words, so texts are cut
+    there. The unknown pieces of a batch are encoded as one text, whose ids are cut by the pieces' byte lengths. Texts
+    whose spaces touch other white space are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,25 +54,57 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        n = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        # in a byte-level vocabulary a token has a character for each byte
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)])
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def fresh(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(piece) <= CACHED_LENGTH:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if UNSAFE.search(text):
-            return self.fresh(text)
-        known, fresh = self.known.get, self.fresh
-        first, *rest = text.split(" ")
-        return b"".join([known(p) or fresh(p) for p in [first, *[" " + x for x in rest]] if p])
+    def learn(self, pieces: list[str]) -> None:
+        joined = "".join(pieces)
+        if UNSAFE.search(joined):
+            self.known.update((p, self.ids(p).tobytes()) for p in pieces)
+            return
+        ids = self.ids(joined)
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in pieces]), "left") + 1
+        data, at = ids.tobytes(), 0
+        for p, end in zip(pieces, (ends * self.dtype.itemsize).tolist(), strict=True):
+            self.known[p] = data[at:end]
+            at = end
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        cut = []
+        for text in texts:
+            if not text:
+                cut.append([])
+            elif UNSAFE.search(text):
+                cut.append(None)
+            else:
+                first, *rest = text.split(" ")
+                cut.append([p for p in [first, *[" " + x for x in rest]] if p])
+        if len(self.known) > CACHE:  # what the last generation used goes on from there
+            self.known, self.old = {}, self.known
+        new = set(chain.from_iterable(own for own in cut if own)).difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update((p, self.old[p]) for p in again)
+        new -= again
+        # texts' first pieces have no space before them, so they can't be joined to another
+        self.known.update((p, self.ids(p).tobytes()) for p in new if p[0] != " ")
+        new = sorted(p for p in new if p[0] == " ")
+        for i in range(0, len(new), 1000):
+            self.learn(new[i : i + 1000])
+        known = self.known
+        return [self.ids(t).tobytes() if own is None else b"".join([known[p] for p in own]) for t, own in zip(texts, cut, strict=True)]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> dict:
@@ -77,11 +112,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     spark = docs.sparkSession
 
     def shard(batches):
-        encode, parts, lengths, ids = Encoder(tokenizer), [], [], []
+        encode, parts, lengths, ids = encoder(tokenizer), [], [], []
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = encode(text.as_py()) + end
+            coded = (x for i in range(0, len(batch), BATCH) for x in encode.batch(batch.column(1).slice(i, BATCH).to_pylist()))
+            for doc_id, data in zip(batch.column(0).to_pylist(), coded, strict=True):
+                data += end
                 parts.append(data)
                 lengths.append(len(data) // encode.dtype.itemsize)
                 ids.append(NO_ID if doc_id is None else doc_id)
