@@ -4,7 +4,7 @@ Every byte covered by a WINDOW-byte string that also starts in a document with a
 anchors are sorted: of each window's GRAM-byte strings the one with the least hash (the leftmost on ties) is its anchor, so
 equal windows have equal anchors at equal offsets, and one in sixteen suffixes or so is enough to see every match.
 
-1. Documents are packed into chunks, a written table. Each chunk sends the distinct hashes of its anchors, packed by hash
+1. Documents are packed into chunks, files in the shared folder. Each chunk sends the distinct hashes of its anchors, packed by hash
    range; those that one document alone has are dropped, and each chunk is told which remain.
 2. Each chunk sorts the suffixes at these anchors, with as much of the text before them as their windows need, folds equal
    ones (keeping the smallest doc_id) and front-codes the sorted runs, again packed by range.
@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, written
+from .common import fresh_path, publish, shuffle_partitions, storage, table, written
 
 WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM  # largest offset of an anchor in its window
 KEY = 6 + WINDOW + SPAN
 #: Text of a chunk, windows handled at once, text for each range of hashes (bytes).
-CHUNK, STEP, RANGE = 4 << 20, 1 << 19, 16 << 20
+CHUNK, STEP, RANGE = 2 << 20, 1 << 18, 4 << 20
 #: Anchors that occur more often are replaced by their windows.
 FREQUENT = 2000
 LAST = 2**63 - 1
@@ -55,17 +55,18 @@ def unpacked(data) -> dict:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """chunk, size, data: texts one after the other, their ids and lengths."""
+def chunks(docs: DataFrame, chunk_bytes: int, folder: str) -> DataFrame:
+    """chunk, size; a file for each chunk in the shared folder has its texts one after the other, their ids and lengths."""
 
     def pack(batches):
         part, turn, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
+        store, at = storage(folder)
+
         def row():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part << 24 | turn], pa.int64()), pa.array([size], pa.int64()),
-                 pa.array([packed(ids=np.array(ids, np.int64), lengths=np.array([len(t) for t in texts], np.int64), text=b"".join(texts))],
-                          pa.binary())], names=["chunk", "size", "data"])
+            publish(store, at, f"{part << 24 | turn}", packed(
+                ids=np.array(ids, np.int64), lengths=np.array([len(t) for t in texts], np.int64), text=b"".join(texts)))
+            return pa.RecordBatch.from_arrays([pa.array([part << 24 | turn], pa.int64()), pa.array([size], pa.int64())], names=["chunk", "size"])
 
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -78,8 +79,14 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if ids:
             yield row()
 
-    return written(docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-                   .mapInArrow(pack, "chunk long, size long, data binary"), "chunks", "none")
+    store, at = storage(folder)
+    store.create_dir(at, recursive=True)
+    return written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "chunk long, size long"), "chunks")
+
+
+def chunk_data(folder: str, chunk: int) -> dict:
+    store, at = storage(folder)
+    return unpacked(store.open_input_stream(f"{at}/{chunk}").read())
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -134,8 +141,7 @@ def anchors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 
 class Chunk:
-    def __init__(self, data) -> None:
-        x = unpacked(data)
+    def __init__(self, x: dict) -> None:
         self.ids, self.text = x["ids"], np.frombuffer(x["text"], np.uint8)
         self.ends = np.cumsum(x["lengths"])
         self.starts = self.ends - x["lengths"]
@@ -167,11 +173,11 @@ def rows_of(rows: list[tuple]) -> pa.Table:
 TOLD, TEXT, RUN, REST, DONE, ANSWER = range(6)
 
 
-def hashes_of(packs: DataFrame, ranges: int) -> DataFrame:
+def hashes_of(packs: DataFrame, ranges: int, folder: str) -> DataFrame:
     def each(batches):
         for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
-                c = Chunk(data.as_py())
+            for chunk in batch.column("chunk").to_pylist():
+                c = Chunk(chunk_data(folder, chunk))
                 order = np.lexsort((c.ids[c.doc], c.hash))
                 h, d = c.hash[order], c.ids[c.doc][order]
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -218,8 +224,7 @@ def shared_hashes(group: pa.Table, frequent: int) -> pa.Table:
 class Run:
     """A front-coded sorted run, decoded key by key."""
 
-    def __init__(self, data: bytes) -> None:
-        x = unpacked(data)
+    def __init__(self, x: dict) -> None:
         self.lcp, self.tails, self.at, self.i, self.key = x["lcp"].tolist(), x["tails"], 0, -1, b""
 
     def step(self) -> int:
@@ -325,14 +330,13 @@ def covered(keys: np.ndarray, doc: np.ndarray, least: np.ndarray, most: np.ndarr
 
 
 #: Suffixes held against each other at once, if no group is larger.
-MANY = 100_000
+MANY = 20_000
 
 
 def answers(group: pa.Table) -> pa.Table:
     """Merges a range's runs; tells each chunk which windows of its suffixes are in smaller documents."""
     owners = group.column("chunk").to_pylist()
-    data = [x.as_py() for x in group.column("data")]
-    more = [{k: v for k, v in unpacked(x).items() if k in ("doc", "least", "most", "first")} for x in data]
+    more = [unpacked(x.as_py()) for x in group.column("data")]
     told: list[tuple[list, list]] = [([], []) for _ in owners]
     keys: list[bytes] = []
     who: list[tuple[int, int]] = []
@@ -351,7 +355,7 @@ def answers(group: pa.Table) -> pa.Table:
         keys.clear(), who.clear(), ids.clear()
 
     number, held = 0, []
-    for r, i, key, lcp in merged([Run(x) for x in data]):
+    for r, i, key, lcp in merged([Run(x) for x in more]):
         if lcp < 6 + GRAM:
             if len(held) > 1:
                 keys.extend(h[2] for h in held), who.extend(h[:2] for h in held), ids.extend([number] * len(held))
@@ -378,11 +382,11 @@ def results(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(RESULT.names, (None if r[0] == LAST else r[0], *r[1:]), strict=True)) for r in rows], RESULT)
 
 
-def sorted_runs(group: pa.Table, ranges: int) -> pa.Table:
+def sorted_runs(group: pa.Table, ranges: int, folder: str) -> pa.Table:
     """A chunk's front-coded runs for each range; what is needed to apply the answers; the documents that need none."""
     kinds, data = group.column("kind").to_pylist(), group.column("data")
     chunk = group.column("chunk")[0].as_py()
-    c = Chunk(data[kinds.index(TEXT)].as_py())
+    c = Chunk(chunk_data(folder, chunk))
     told = [unpacked_hashes(d.as_py()) for k, d in zip(kinds, data, strict=True) if k == TOLD]
     h, hot = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
     order = np.argsort(h)
@@ -396,10 +400,9 @@ def sorted_runs(group: pa.Table, ranges: int) -> pa.Table:
         n = c.most[wide] - c.least[wide] + 1
         into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         s = np.repeat(c.place[wide] - c.most[wide], n) + into
-        text = c.text[s[:, None] + np.arange(WINDOW)].astype(np.uint64)
         w = np.zeros(len(s), np.uint64)
         for j in range(WINDOW):
-            w = w * M1 + text[:, j] + np.uint64(1)
+            w = w * M1 + c.text[s + j] + np.uint64(1)
         place, order = np.concatenate([place, s]), np.concatenate([order, mixed(w) >> np.uint64(16)])
         least, most = (np.concatenate([x, np.zeros(len(s), np.int64)]) for x in (least, most))
         doc = np.concatenate([doc, np.repeat(c.doc[wide], n)])
@@ -431,15 +434,9 @@ def sorted_runs(group: pa.Table, ranges: int) -> pa.Table:
                                           most=most[first[a:b]].astype(np.uint8), first=a)))
     touched = np.zeros(len(c.ids), bool)
     touched[doc] = True
-    rest = np.flatnonzero(touched)
-    shift = np.zeros(len(c.ids), np.int64)
-    lengths = c.ends - c.starts
-    shift[rest] = np.cumsum(lengths[rest]) - lengths[rest] - c.starts[rest]
-    place = place + shift[doc[by]]
-    if len(rest):
+    if len(doc):
         out.append((REST, chunk, chunk, packed(
-            ids=c.ids[rest], lengths=lengths[rest], text=b"".join([c.text[c.starts[i] : c.ends[i]].tobytes() for i in rest]),
-            known=np.stack([place[known] - most[known], place[known] - least[known]]).astype(np.int32),
+            docs=np.flatnonzero(touched), known=np.stack([place[known] - most[known], place[known] - least[known]]).astype(np.int32),
             entry=entry[~known].astype(np.int32), place=place[~known].astype(np.int32))))
     done = [summary(i, t := c.text[a:b], np.zeros(len(t), bool)) for i, a, b, x in
             zip(c.ids.tolist(), c.starts.tolist(), c.ends.tolist(), touched, strict=True) if not x]
@@ -448,11 +445,12 @@ def sorted_runs(group: pa.Table, ranges: int) -> pa.Table:
     return rows_of(out)
 
 
-def applied(group: pa.Table) -> pa.Table:
+def applied(group: pa.Table, folder: str) -> pa.Table:
     kinds = group.column("kind").to_pylist()
     data = [unpacked(x.as_py()) for x in group.column("data")]
     c = data[kinds.index(REST)]
-    text, ends = np.frombuffer(c["text"], np.uint8), np.cumsum(c["lengths"])
+    whole = chunk_data(folder, group.column("chunk")[0].as_py())
+    text, ends = np.frombuffer(whole["text"], np.uint8), np.cumsum(whole["lengths"])
     edge = np.zeros(len(text) + 1, np.int32)
 
     def remove(low, high):
@@ -474,21 +472,22 @@ def applied(group: pa.Table) -> pa.Table:
             remove(s, s)
     gone = np.cumsum(edge[:-1]) > 0
     return results([summary(i, text[b - n : b], gone[b - n : b]) for i, n, b in
-                    zip(c["ids"].tolist(), c["lengths"].tolist(), ends.tolist(), strict=True)])
+                    zip(*(x[c["docs"]].tolist() for x in (whole["ids"], whole["lengths"], ends)), strict=True)])
 
 
 def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     spark = docs.sparkSession
-    packs = chunks(docs, chunk_bytes)
+    folder = fresh_path(spark, "texts")
+    packs = chunks(docs, chunk_bytes, folder)
     total = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ranges = max(shuffle_partitions(spark), -(-total // RANGE))
     shape = ", ".join(f"{f.name} {'string' if f.name == 'kept_sha256' else 'long'}" for f in RESULT)
-    told = hashes_of(packs, ranges).groupBy("place").applyInArrow(lambda g: shared_hashes(g, frequent), SHAPE)
-    texts = packs.select(F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("place"), "chunk", "data")
-    runs = written(texts.unionByName(told).groupBy("chunk").applyInArrow(lambda g: sorted_runs(g, ranges), SHAPE), "runs", "none")
+    told = hashes_of(packs.repartition(ranges, "chunk"), ranges, folder).groupBy("place").applyInArrow(lambda g: shared_hashes(g, frequent), SHAPE)
+    texts = packs.select(F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("place"), "chunk", F.lit(b"").alias("data"))
+    runs = written(texts.unionByName(told).groupBy("chunk").applyInArrow(lambda g: sorted_runs(g, ranges, folder), SHAPE), "runs", "none")
     told = runs.where(F.col("kind") == RUN).groupBy("place").applyInArrow(answers, SHAPE)
-    rest = runs.where(F.col("kind") == REST).unionByName(told).groupBy("chunk").applyInArrow(applied, shape)
+    rest = runs.where(F.col("kind") == REST).unionByName(told).groupBy("chunk").applyInArrow(lambda g: applied(g, folder), shape)
 
     def finished(batches):
         for batch in batches:
