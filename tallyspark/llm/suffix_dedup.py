@@ -84,7 +84,7 @@ def chunks(docs: DataFrame, chunk_bytes: int, folder: str) -> DataFrame:
     return written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "chunk long, size long"), "chunks")
 
 
-def chunk_data(folder: str, chunk: int) -> dict:
+def chunk_data(folder: str, chunk) -> dict:
     store, at = storage(folder)
     return unpacked(store.open_input_stream(f"{at}/{chunk}").read())
 
@@ -170,7 +170,7 @@ def rows_of(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(ROW.names, r, strict=True)) for r in rows], ROW)
 
 
-TOLD, TEXT, RUN, REST, DONE, ANSWER = range(6)
+TOLD, TEXT, RUN, ANSWER = range(4)
 
 
 def hashes_of(packs: DataFrame, ranges: int, folder: str) -> DataFrame:
@@ -383,7 +383,7 @@ def results(rows: list[tuple]) -> pa.Table:
 
 
 def sorted_runs(group: pa.Table, ranges: int, folder: str) -> pa.Table:
-    """A chunk's front-coded runs for each range; what is needed to apply the answers; the documents that need none."""
+    """A chunk's front-coded runs for each range. What is needed to apply the answers, and the results of documents that need none, go to its file."""
     kinds, data = group.column("kind").to_pylist(), group.column("data")
     chunk = group.column("chunk")[0].as_py()
     c = Chunk(chunk_data(folder, chunk))
@@ -434,45 +434,41 @@ def sorted_runs(group: pa.Table, ranges: int, folder: str) -> pa.Table:
                                           most=most[first[a:b]].astype(np.uint8), first=a)))
     touched = np.zeros(len(c.ids), bool)
     touched[doc] = True
-    if len(doc):
-        out.append((REST, chunk, chunk, packed(
-            docs=np.flatnonzero(touched), known=np.stack([place[known] - most[known], place[known] - least[known]]).astype(np.int32),
-            entry=entry[~known].astype(np.int32), place=place[~known].astype(np.int32))))
     done = [summary(i, t := c.text[a:b], np.zeros(len(t), bool)) for i, a, b, x in
             zip(c.ids.tolist(), c.starts.tolist(), c.ends.tolist(), touched, strict=True) if not x]
-    if done:
-        out.append((DONE, chunk, chunk, packed(rows=done)))
+    store, at = storage(folder)
+    publish(store, at, f"{chunk}.rest", packed(
+        docs=np.flatnonzero(touched), known=np.stack([place[known] - most[known], place[known] - least[known]]).astype(np.int32),
+        entry=entry[~known].astype(np.int32), place=place[~known].astype(np.int32), done=done))
     return rows_of(out)
 
 
 def applied(group: pa.Table, folder: str) -> pa.Table:
-    kinds = group.column("kind").to_pylist()
-    data = [unpacked(x.as_py()) for x in group.column("data")]
-    c = data[kinds.index(REST)]
-    whole = chunk_data(folder, group.column("chunk")[0].as_py())
+    """The results of a chunk's documents."""
+    chunk = group.column("chunk")[0].as_py()
+    told = [unpacked(x.as_py()) for k, x in zip(group.column("kind").to_pylist(), group.column("data"), strict=True) if k == ANSWER]
+    whole, c = chunk_data(folder, chunk), chunk_data(folder, f"{chunk}.rest")
     text, ends = np.frombuffer(whole["text"], np.uint8), np.cumsum(whole["lengths"])
-    edge = np.zeros(len(text) + 1, np.int32)
+    edge = np.zeros(len(text) + WINDOW + 1, np.int64)
 
     def remove(low, high):
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high + WINDOW, -1)
+        edge[:] += np.bincount(low, minlength=len(edge))
+        edge[:] -= np.bincount(high + WINDOW, minlength=len(edge))
 
     remove(*c["known"])
-    order = np.argsort(c["entry"], kind="stable")
-    entry, place = c["entry"][order], c["place"][order]
-    for k, x in zip(kinds, data, strict=True):
-        if k != ANSWER:
-            continue
-        low, high = np.searchsorted(entry, x["entry"], "left"), np.searchsorted(entry, x["entry"], "right")
-        n = high - low
+    if told:
+        entry, mask = (np.concatenate([x[k] for x in told]) for k in ("entry", "mask"))
+        order = np.argsort(c["entry"], kind="stable")
+        own, place = c["entry"][order], c["place"][order]
+        low = np.searchsorted(own, entry, "left")
+        n = np.searchsorted(own, entry, "right") - low
         at = place[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        mask = np.repeat(x["mask"], n)
-        for o in range(SPAN + 1):
-            s = at[(mask >> np.uint64(o)) & np.uint64(1) > 0] - o
-            remove(s, s)
-    gone = np.cumsum(edge[:-1]) > 0
-    return results([summary(i, text[b - n : b], gone[b - n : b]) for i, n, b in
-                    zip(*(x[c["docs"]].tolist() for x in (whole["ids"], whole["lengths"], ends)), strict=True)])
+        mask = np.repeat(mask, n)
+        starts = [at[(mask >> np.uint64(o)) & np.uint64(1) > 0] - o for o in range(SPAN + 1)]
+        remove(np.concatenate(starts), np.concatenate(starts))
+    gone = np.cumsum(edge[: len(text)]) > 0
+    return results(c["done"] + [summary(i, text[b - n : b], gone[b - n : b]) for i, n, b in
+                                zip(*(x[c["docs"]].tolist() for x in (whole["ids"], whole["lengths"], ends)), strict=True)])
 
 
 def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
@@ -485,16 +481,10 @@ def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK, frequent: int = FREQ
     shape = ", ".join(f"{f.name} {'string' if f.name == 'kept_sha256' else 'long'}" for f in RESULT)
     told = hashes_of(packs.repartition(ranges, "chunk"), ranges, folder).groupBy("place").applyInArrow(lambda g: shared_hashes(g, frequent), SHAPE)
     texts = packs.select(F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("place"), "chunk", F.lit(b"").alias("data"))
-    runs = written(texts.unionByName(told).groupBy("chunk").applyInArrow(lambda g: sorted_runs(g, ranges, folder), SHAPE), "runs", "none")
-    told = runs.where(F.col("kind") == RUN).groupBy("place").applyInArrow(answers, SHAPE)
-    rest = runs.where(F.col("kind") == REST).unionByName(told).groupBy("chunk").applyInArrow(lambda g: applied(g, folder), shape)
-
-    def finished(batches):
-        for batch in batches:
-            for x in batch.column("data"):
-                yield from results(unpacked(x.as_py())["rows"]).to_batches()
-
-    return rest.unionByName(runs.where(F.col("kind") == DONE).mapInArrow(finished, shape))
+    # what a chunk keeps for itself goes to a file beside its texts, so its runs are only ever in one shuffle
+    runs = texts.unionByName(told).groupBy("chunk").applyInArrow(lambda g: sorted_runs(g, ranges, folder), SHAPE)
+    told = runs.groupBy("place").applyInArrow(answers, SHAPE)
+    return texts.unionByName(told).groupBy("chunk").applyInArrow(lambda g: applied(g, folder), shape)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
