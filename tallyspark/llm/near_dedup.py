@@ -18,20 +18,27 @@ A-Z are lower-cased. Other columns are ignored. No list, group or set of the cor
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh_path, publish, shuffle_partitions, storage, table, written
 from .components import components
+from .suffix_dedup import (LAST, SHAPE, TOLD, borders, chunk_data, packed, packed_hashes, rows_of, split, unpacked, unpacked_hashes)
 
-SKETCH = 64
+SKETCH = 256
 PERCENT = 80
 #: Standard deviations that overlaps and estimates may fall short by.
 SIGMAS = 5.0
 STAR_ROUNDS = 3
+#: Class ids up to this number are broadcast to find their texts.
+BROADCAST_IDS = 500_000
+#: Documents of a pack.
+PACK = 4096
 #: Word hashes that a worker keeps.
 CACHE = 1_000_000
 
@@ -64,25 +71,85 @@ class Shingler:
         return np.unique((out ^ (out >> np.uint64(31))) >> np.uint64(1)).view(np.int64)
 
 
-def least_overlap(n, sketch: int, percent: int):
-    """Retained values that a class of n shingles shares with any partner at the threshold."""
-    a, t = F.least(n, F.lit(sketch)), percent / 100
-    certain = F.ceil(a * F.lit(percent) / 100)
-    likely = F.floor(a * t - SIGMAS * F.sqrt(a * t * (1 - t)))
-    return F.greatest(F.when(n * 100 <= sketch * percent, certain).otherwise(likely), F.lit(1)).cast("int")
+def least_overlap(n: np.ndarray, sketch: int, percent: int) -> np.ndarray:
+    """Retained values that a set of n shingles shares with any partner at the threshold."""
+    a, t = np.minimum(n, sketch), percent / 100
+    certain = -(-a * percent // 100)
+    likely = np.floor(a * t - SIGMAS * np.sqrt(a * t * (1 - t))).astype(np.int64)
+    return np.maximum(np.where(n * 100 <= sketch * percent, certain, likely), 1)
 
 
-def features(docs: DataFrame, width: int, sketch: int) -> DataFrame:
-    def each(batches):
-        shingle = Shingler(width)
+def sketches(docs: DataFrame, width: int, sketch: int, folder: str) -> DataFrame:
+    """pack, doc_id, n, sig (digest of the set) of each row; a file for each pack in the shared folder has its ids, set sizes, and the sketches
+    one after the other."""
+
+    def pack(batches):
+        shingle, part, turn = Shingler(width), TaskContext.get().partitionId(), 0
+        store, at = storage(folder)
         for batch in batches:
-            sets = [shingle(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                 pa.array([s[:sketch] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "sketch"])
+            for low in range(0, len(batch), PACK):
+                own = batch.slice(low, PACK)
+                sets = [shingle(t.as_py()) for t in own.column(1)]
+                ids = own.column(0)
+                n = np.array([len(s) for s in sets], np.int64)
+                publish(store, at, f"{part << 24 | turn}", packed(
+                    ids=np.array([LAST if i is None else i for i in ids.to_pylist()], np.int64), n=n,
+                    sketch=np.concatenate([s[:sketch] for s in sets]) >> 15))  # 48 bits are kept
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), part << 24 | turn)), ids, pa.array(n),
+                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())], names=["pack", "doc_id", "n", "sig"])
+                turn += 1
+
+    store, at = storage(folder)
+    store.create_dir(at, recursive=True)
+    return written(docs.select("doc_id", "text").mapInArrow(pack, "pack long, doc_id long, n long, sig binary"), "sets")
+
+
+def retained(packs: DataFrame, ranges: int, folder: str) -> DataFrame:
+    """The inverted lists' ends: the values of each pack with their counts, packed by range."""
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, sig binary, sketch array<long>")
+    def each(batches):
+        for batch in batches:
+            for chunk in batch.column("pack").to_pylist():
+                values, n = np.unique(chunk_data(folder, chunk)["sketch"].view(np.uint64), return_counts=True)
+                code = np.minimum(n, 255).astype(np.uint8)
+                yield from rows_of([(TOLD, r, chunk, packed_hashes(values[a:b], code[a:b])) for r, a, b in borders(split(values, ranges))]).to_batches()
+
+    return packs.mapInArrow(each, SHAPE)
+
+
+def frequencies(group: pa.Table) -> pa.Table:
+    """Tells each pack how often the values of a range occur that aren't alone."""
+    parts = [unpacked_hashes(x.as_py()) for x in group.column("data")]
+    values, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+    _, place = np.unique(values, return_inverse=True)
+    total = np.bincount(place, code)[place].astype(np.uint32)
+    ends, out = np.cumsum([len(v) for v, _ in parts]), []
+    for c, (v, _), end in zip(group.column("chunk").to_pylist(), parts, ends.tolist(), strict=True):
+        n = total[end - len(v) : end]
+        if (n > 1).any():
+            out.append((TOLD, 0, c, packed(value=v[n > 1], n=n[n > 1])))
+    return rows_of(out)
+
+
+def rarest(group: pa.Table, sketch: int, percent: int, folder: str) -> pa.Table:
+    """doc_id, value: the lists that each document of a pack enters."""
+    told = [unpacked(x.as_py()) for x in group.column("data")]
+    x = chunk_data(folder, group.column("chunk")[0].as_py())
+    value, often = (np.concatenate([d[c] for d in told]) for c in ("value", "n"))
+    order = np.argsort(value)
+    value, often = value[order], often[order]
+    kept = np.minimum(x["n"], sketch)
+    doc, own = np.repeat(np.arange(len(kept)), kept), x["sketch"].view(np.uint64)
+    at = np.minimum(np.searchsorted(value, own), len(value) - 1)
+    shared = value[at] == own
+    doc, own, often = doc[shared], own[shared], often[at[shared]]
+    order = np.lexsort((own, often, doc))
+    doc, own = doc[order], own[order]
+    n = np.bincount(doc, minlength=len(kept))
+    rank = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    enter = (rank < (n - least_overlap(x["n"], sketch, percent) + 1)[doc]) & (x["ids"][doc] != LAST)
+    return pa.table({"doc_id": x["ids"][doc[enter]], "value": own[enter].view(np.int64)})
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -95,31 +162,23 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each, "cid long, shingles binary")
 
 
-def estimator(sketch: int, percent: int):
+def verifier(sketch: int, percent: int):
+    """Whether two sets are near: the estimate from the union's sketch decides first, then the full sets."""
     t = percent / 100
 
-    @F.arrow_udf("boolean")
-    def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            union = np.union1d(x, y)[:sketch]
-            both = np.intersect1d(x, y, True)
-            share = np.searchsorted(both, union[-1], "right") / len(union)
-            out.append(share >= t - SIGMAS * (t * (1 - t) / len(union)) ** 0.5)
-        return pa.array(out, pa.bool_())
-
-    return near
-
-
-def verifier(percent: int):
     @F.arrow_udf("boolean")
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a, b, strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
-            same = len(np.intersect1d(x, y, True))
-            out.append(100 * same >= percent * (len(x) + len(y) - same))
+            union = np.union1d(x[:sketch], y[:sketch])[:sketch]
+            same = np.intersect1d(x[:sketch], y[:sketch], True)
+            share = np.searchsorted(same, union[-1], "right") / len(union)
+            near = share >= t - SIGMAS * (t * (1 - t) / len(union)) ** 0.5
+            if near:
+                both = len(np.intersect1d(x, y, True))
+                near = 100 * both >= percent * (len(x) + len(y) - both)
+            out.append(bool(near))
         return pa.array(out, pa.bool_())
 
     return linked
@@ -127,31 +186,30 @@ def verifier(percent: int):
 
 def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SKETCH) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id of the row's group."""
-    feats = written(features(docs, width, sketch), "sketches")
+    spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    folder = fresh_path(spark, "sketches")
+    feats = sketches(docs, width, sketch, folder)
+    packs = feats.select("pack").distinct().repartition(n, "pack")
     filled = feats.where("n > 0 and doc_id is not null")
-    classes = written(filled.groupBy("sig").agg(F.min("doc_id").alias("cid")), "classes")
-    reps = written(filled.join(classes, (F.col("doc_id") == F.col("cid")) & (filled["sig"] == classes["sig"]), "left_semi")
-                   .dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("cid"), "n", "sketch"), "class-sketches")
-    values = reps.select("cid", "n", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    least = least_overlap(F.col("n"), sketch, percent)
-    lists = written(
-        values.join(often, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
-        .where(F.size("own") >= least).withColumn("own", F.slice("own", F.lit(1), F.size("own") - least + 1))
-        .select("cid", "n", F.explode("own.value").alias("value")), "lists")
-    wanted = lists.select("cid").distinct()
-    near, exact = estimator(sketch, percent), verifier(percent)
-    sets = written(full_sets(docs.join(wanted, docs["doc_id"] == wanted["cid"], "left_semi"), width).distinct(), "sets")
-    slim = reps.join(wanted, "cid", "left_semi").select("cid", "sketch")
-
-    def both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
-        for end in "ab":
-            pairs = pairs.join(of.select(F.col("cid").alias(end), F.col(column).alias(f"{end}_{column}")), end)
-        return pairs
+    classes = filled.groupBy("sig").agg(F.min("doc_id").alias("cid"))
+    members = written(filled.join(classes, "sig").select("doc_id", "n", "cid"), "members")
+    told = retained(packs, n, folder).groupBy("place").applyInArrow(frequencies, SHAPE)
+    entered = told.groupBy("chunk").applyInArrow(lambda g: rarest(g, sketch, percent, folder), "doc_id long, value long")
+    entered = written(entered, "entered")  # so that its size is known to the join
+    lists = written(entered.join(members.hint("merge"), "doc_id").select("cid", "n", "value").distinct(), "lists")
+    wanted = written(lists.select("cid").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:  # then the texts stay where they are; beyond it both sides are shuffled
+        wanted = F.broadcast(wanted)
+    # bucketed by class, so that pairs come to the sets and not the sets to the pairs
+    name = f"near_dedup_sets_{uuid.uuid4().hex}"
+    (full_sets(docs.join(wanted, docs["doc_id"] == wanted["cid"], "left_semi"), width).distinct().repartition(n, "cid")
+     .write.bucketBy(n, "cid").sortBy("cid").format("parquet").option("compression", "none").saveAsTable(name))
+    sets, linked = spark.table(name), verifier(sketch, percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = both(pairs, slim, "sketch").where(near("a_sketch", "b_sketch")).select("a", "b")
-        return both(written(likely, "likely"), sets, "shingles").where(exact("a_shingles", "b_shingles")).select("a", "b")
+        for end in "ab":
+            pairs = pairs.join(sets.select(F.col("cid").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+        return pairs.where(linked("set_a", "set_b")).select("a", "b")
 
     edges, roots = None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -174,11 +232,11 @@ def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SK
         new = verified(pairs)
         edges = written(new if edges is None else edges.unionByName(new), "near-edges")
         roots = written(components(edges), "near-roots")
-    final = (classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-             .select(F.col("sig").alias("__sig"), F.coalesce("root", "cid").alias("root")))
-    return (feats.select("doc_id", F.col("n").alias("n_shingles"), "sig")
-            .join(final, (F.col("sig") == F.col("__sig")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-            .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))
+    spark.sql(f"DROP TABLE {name}")
+    grouped = (members.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+               .select("doc_id", F.coalesce("root", "cid").alias("component_id"), F.col("n").alias("n_shingles")))
+    alone = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("component_id"), F.col("n").alias("n_shingles"))
+    return grouped.unionByName(alone)
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
