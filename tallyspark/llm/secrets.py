@@ -2,7 +2,8 @@
 
 A maximal run of at least RUN characters of A-Z a-z 0-9 + / _ = - is opaque if a tiktoken vocabulary needs more than one
 token for every RATIO characters of it, after known digests (hex of a usual length), UUIDs, all-digit and all-letter-of-
-one-case identifiers, and runs that overlap a fixed pattern's span are excluded. Prose and names need fewer tokens.
+one-case identifiers (separators aside), and runs that overlap a fixed pattern's span are excluded. Prose and names, also in
+mixed case, need fewer tokens, so nothing else is asked of a run without a digit.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans; every row gives a row, so
 repeated rows repeat; other columns are ignored. Long texts are scanned whole; a long run is tokenized in windows.
@@ -30,6 +31,7 @@ KEYWORD = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\Z", re.IGNO
 VALUE = re.compile(r"\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+SEPARATORS = re.compile(r"[=_/+-]+")
 #: Longest keyword and its quote.
 REACH = 10
 
@@ -93,11 +95,12 @@ class Ratio:
 
 def opaque(run: str, ratio) -> bool:
     core = run.strip("=-_/+")
-    if len(core) < RUN or core.isdigit() or UUID.match(core):
+    if len(core) < RUN or UUID.match(core):
         return False
     if len(core) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", core):
         return False
-    if not re.search(r"\d", core) or not re.search(r"[A-Za-z]", core):
+    plain = SEPARATORS.sub("", core)
+    if plain.isdigit() or plain.isalpha() and (plain.islower() or plain.isupper()):
         return False
     return ratio(core) < RATIO
 

@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -284,6 +285,17 @@ def test_op9(spark):
     assert len(rows) == len(ODD) and not any(x.spans for x in rows if x.doc_id in (0, 1, 2, 3))
 
 
+@needs_tokenizer
+def test_op9_no_digit():
+    r = random.Random(8)
+    ratio = secrets.Ratio(token_files.tokenizer_path(secrets.RANKS))
+    for n in (20, 24, 40):
+        keys = ["".join(r.choice(string.ascii_letters) for _ in range(n)) for _ in range(200)]
+        assert sum(secrets.scan(f"see {k} here", ratio) == [(4, 3, 4 + n)] for k in keys) >= 198
+    names = ["getElementsByTagNameFromDocument", "AbstractSingletonProxyFactoryBean", "MAX_CONNECTION_POOL_SIZE", "xkqzvwpfjhgtrbnmxzqw", "2019-03-04-2020-05-06", "Einungtzheitgeungverlich"]
+    assert not any(secrets.scan(n, ratio) for n in names)
+
+
 def test_op10(spark):
     urls = ["http://WWW.Example.NET/en/x?a=/de/", "https://example.net/enx", "https://notexample.net/en/", "http://a.example.com/de/1", "http://b.org/fr/#x", "http://net/", "http://x.net",
             None, "mailto:a@b", "", "http://u@h:80/p", "http://ads-track.example.org/click?x", "a://b://c/d"]
