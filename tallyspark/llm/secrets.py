@@ -5,6 +5,11 @@ token for every RATIO characters of it, after known digests (hex of a usual leng
 one-case identifiers (separators aside), and runs that overlap a fixed pattern's span are excluded. Prose and names, also in
 mixed case, need fewer tokens, so nothing else is asked of a run without a digit.
 
+A run that isn't opaque as a whole may hold an opaque part, such as a key after a path or a name: its pieces between / _ = -
+are tested alone, and so are all stretches of whole tokens of at least RUN characters, for keys that have these characters
+themselves; there separators count neither as characters nor as tokens, as names of short words have many. A stretch is cut
+back to its short tokens and then widened to the pieces that it begins and ends in, without / _ = - around them; parts that overlap are one.
+
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans; every row gives a row, so
 repeated rows repeat; other columns are ignored. Long texts are scanned whole; a long run is tokenized in windows.
 """
@@ -31,6 +36,9 @@ KEYWORD = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\Z", re.IGNO
 VALUE = re.compile(r"\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+UUID_INSIDE = re.compile(r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])")
+BREAKS = "/_=-"
+PIECE = re.compile(r"[^/_=-]+")
 SEPARATORS = re.compile(r"[=_/+-]+")
 #: Longest keyword and its quote.
 REACH = 10
@@ -88,21 +96,86 @@ class Ratio:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def tokens(self, run: str) -> list[str]:
+        piece = self.encoding.decode_single_token_bytes
+        return [piece(t).decode("ascii") for i in range(0, len(run), WINDOW) for t in self.encoding.encode_ordinary(run[i : i + WINDOW])]
+
     def __call__(self, run: str) -> float:
         n = sum(len(self.encoding.encode_ordinary(run[i : i + WINDOW])) for i in range(0, len(run), WINDOW))
         return len(run) / n
 
 
-def opaque(run: str, ratio) -> bool:
+def known(run: str) -> bool:
+    """Digests, UUIDs, digits alone and letters of one case."""
     core = run.strip("=-_/+")
-    if len(core) < RUN or UUID.match(core):
-        return False
-    if len(core) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", core):
-        return False
+    if UUID.match(core) or len(core) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", core):
+        return True
     plain = SEPARATORS.sub("", core)
-    if plain.isdigit() or plain.isalpha() and (plain.islower() or plain.isupper()):
-        return False
-    return ratio(core) < RATIO
+    return not plain or plain.isdigit() or plain.isalpha() and (plain.islower() or plain.isupper())
+
+
+def opaque(run: str, ratio) -> bool:
+    core = run.strip("=-_/+")
+    return len(run) >= RUN and not known(run) and ratio(core if len(core) >= RUN else run) < RATIO
+
+
+def stretches(run: str, ratio) -> list[tuple[int, int]]:
+    """Unions of the shortest windows of whole tokens that have RUN characters and a low ratio, separators aside, at the edges
+    of pieces."""
+    tokens = ratio.tokens(run)
+    sizes = np.array([len(t) for t in tokens])
+    cores = np.array([len(SEPARATORS.sub("", t)) for t in tokens])
+    edges, chars, n = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, cores, cores > 0))
+    first = np.arange(len(sizes))
+    last = np.searchsorted(edges, edges[:-1] + RUN)
+    first, last = first[last <= len(sizes)], last[last <= len(sizes)]
+    low = chars[last] - chars[first] < RATIO * (n[last] - n[first])
+    marks = np.zeros(len(edges), int)
+    np.add.at(marks, first[low], 1)
+    np.add.at(marks, last[low], -1)
+    out = []
+    for i, j in runs(np.cumsum(marks)[:-1] > 0, 1):
+        while edges[j] - edges[i + 1] >= RUN and cores[i] > RATIO:
+            i += 1
+        while edges[j - 1] - edges[i] >= RUN and cores[j - 1] > RATIO:
+            j -= 1
+        a, b = int(edges[i]), int(edges[j])
+        while 0 < a and run[a] not in BREAKS and run[a - 1] not in BREAKS:
+            a -= 1
+        while b < len(run) and run[b - 1] not in BREAKS and run[b] not in BREAKS:
+            b += 1
+        while b - a > RUN and run[a] in BREAKS:
+            a += 1
+        while b - a > RUN and run[b - 1] in BREAKS:
+            b -= 1
+        out.append((a, b))
+    return out
+
+
+def opaque_parts(run: str, ratio) -> list[tuple[int, int]]:
+    """The run as a whole if it's opaque, or its opaque parts in order, without known identifiers."""
+    if opaque(run, ratio):
+        return [(0, len(run))]
+    pieces = [m.span() for m in PIECE.finditer(run) if m.end() - m.start() >= RUN]
+    cut = merged([m.span() for m in UUID_INSIDE.finditer(run)] + [(a, b) for a, b in pieces if known(run[a:b])])
+    found = [(a, b) for a, b in pieces if opaque(run[a:b], ratio)]
+    at = 0
+    for x, y in [*cut, (len(run), len(run))]:
+        if x - at >= RUN:
+            found += [(at + a, at + b) for a, b in stretches(run[at:x], ratio)]
+        at = y
+    return [(a, b) for a, b in merged(found) if not known(run[a:b])]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Unions of spans that overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def scan(text: str | None, ratio) -> list[tuple[int, int, int]]:
@@ -115,8 +188,8 @@ def scan(text: str | None, ratio) -> list[tuple[int, int, int]]:
     found += [(a, 2, b) for a, b in runs(kinds & HEX_BIT > 0, HEX_LENGTH)]
     base = sorted(found)
     for a, b in runs(kinds & RUN_BIT > 0, RUN):
-        if not any(x < b and a < y for x, _, y in base) and opaque(text[a:b], ratio):
-            found.append((a, 3, b))
+        if not any(x < b and a < y for x, _, y in base):
+            found += [(a + x, 3, a + y) for x, y in opaque_parts(text[a:b], ratio)]
     return sorted(found)
 
 

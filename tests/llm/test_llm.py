@@ -296,6 +296,23 @@ def test_op9_no_digit():
     assert not any(secrets.scan(n, ratio) for n in names)
 
 
+@needs_tokenizer
+def test_op9_parts():
+    r = random.Random(9)
+    ratio = secrets.Ratio(token_files.tokenizer_path(secrets.RANKS))
+    for symbols in ("", "+/", "-_"):
+        keys = ["".join(r.choice(string.ascii_letters + string.digits + symbols) for _ in range(24)) for _ in range(200)]
+        for before in ("static/images/products/category/", "session_token_value=", "api/v1/users/download/files/"):
+            for after in ("", "/thumbnail/large"):
+                spans = [secrets.scan(before + k + after, ratio) for k in keys]
+                a, b = len(before) + 1, len(before) + 23
+                assert sum(any(x <= a and b <= y for x, _, y in s) for s in spans) >= 194
+    names = ["archive/2019/03/04/some-title-of-a-post", "src/main/java/com/Example", "static/images/products/123456789012345678901234/view", "utf8mb4_unicode_520_ci_index",
+             "static/images/products/category/550E8400-E29B-41D4-A716-446655440000", "word/" * 40 + "A1B2C3D4" * 4]
+    assert [n for n in names if any(x[1] == 3 for x in secrets.scan(n, ratio))] == []
+    assert secrets.scan("word/" * 100 + "q7Zx9Lm2Vt8Kp4Rw6Jd1Hs3Bn5", ratio)[0][1:] == (3, 526)
+
+
 def test_op10(spark):
     urls = ["http://WWW.Example.NET/en/x?a=/de/", "https://example.net/enx", "https://notexample.net/en/", "http://a.example.com/de/1", "http://b.org/fr/#x", "http://net/", "http://x.net",
             None, "mailto:a@b", "", "http://u@h:80/p", "http://ads-track.example.org/click?x", "a://b://c/d"]
