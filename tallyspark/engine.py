@@ -12,6 +12,10 @@ from tallyspark.operators.flow import Graph
 from tallyspark.plans.query import Query, from_url, resolve
 
 
+#: Distinct projects whose scores a call may ask for.
+MAX_PIDS = 300
+
+
 class QueryError(ValueError):
     """The query is wrong; args[0] lists how."""
 
@@ -65,9 +69,20 @@ class Engine:
     def subcontract_chain(self, pid: int, n: int = 10) -> DataFrame:
         return blocks.chains(self.subcontracts(pid), self.tables["blocks"].where(F.col("pid") == pid), n)
 
-    def scores(self, pids: list[int] | None = None) -> DataFrame:
+    def scores(self, pids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+        """(scores, requested pids that have none). With pids: those of the distinct ones, in their order; more than MAX_PIDS are refused."""
         s = self.tables["scores"]
-        return s if pids is None else s.where(F.col("pid").isin(pids[:300]))
+        if pids is None:
+            return s, s.select("pid").limit(0)
+        wanted = list(dict.fromkeys(pids))
+        if not wanted:
+            raise QueryError(["pids: none given"])
+        if len(wanted) > MAX_PIDS:
+            raise QueryError([f"pids: {MAX_PIDS} at most ({len(wanted)} given)"])
+        asked = F.broadcast(s.sparkSession.createDataFrame(list(enumerate(wanted)), "__place int, pid long"))  # MAX_PIDS rows
+        found = s.join(asked, "pid")
+        missing = asked.join(found.select("pid"), "pid", "left_anti").orderBy("__place").select("pid")
+        return found.orderBy("__place").select(*s.columns), missing
 
     def policy(self, pid: int | None = None) -> DataFrame:
         """Always over the whole population; then one project of it."""
