@@ -89,13 +89,15 @@ class Engine:
         p = screening.policy(self.tables["scores"])
         return p if pid is None else p.where(F.col("pid") == pid)
 
-    def highlights(self) -> dict[str, DataFrame]:
-        s = self.tables["scores"]
-        lists = {"lowScoreHighBudget": screening.low_score_high_budget(s), "execBudgetGap": screening.exec_budget_gap(s), "subcontractDepth": screening.deep_subcontracts(s)}
-        if "recipient_stats" in self.tables:
-            r = self.tables["recipient_stats"]
-            lists |= {"otherRatio": screening.other_ratio(r), "concentration": screening.concentration(r)}
-        return lists | {"multiSignal": screening.multi_signal(lists, s)}
+    def highlights(self, year: str | None = None) -> dict[str, DataFrame]:
+        """Of a year, by default the last one; spendingChange is against the year before and is missing where that has no graph."""
+        s, stats, changes = self.tables["scores"], self.tables.get("recipient_stats"), None
+        year = year or max(self.graphs, default=None)
+        if year in self.graphs:
+            now, prior = self.graphs[year], self.graphs.get(str(int(year) - 1))
+            stats = screening.graph_stats(now, s) if stats is None else stats
+            changes = None if prior is None else summary.spending_change(prior, now)
+        return screening.highlights(s, stats, changes)
 
     def detail(self, pid: int) -> DataFrame:
         return self.tables["details"].where(F.col("pid") == pid)

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from tallyspark.functions import semantics as S
 from tallyspark.tables import held
 
+from .flow import Graph
+
 # ---- mechanical scores -----------------------------------------------------------------------------------------------
 
 
@@ -181,6 +183,25 @@ def recipient_stats(edges: DataFrame) -> DataFrame:
                                   F.max_by("name", F.struct("amount", "id")).alias("top_name"), F.max("amount").alias("top_amount"))
 
 
+def graph_stats(graph: Graph, scores: DataFrame) -> DataFrame:
+    """recipient_stats() of a graph's projects that are scored, with their spend_total; collective nodes aside."""
+    own = graph.nodes.where("not coalesce(aggregated, false)")
+    project = own.where("type = 'project-spending'").select(F.col("id").alias("source"), F.col("project_id").alias("pid"))
+    recipient = own.where("id like 'r-%'").select("id", "name")
+    edges = graph.edges.where("target like 'r-%'").join(project, "source").withColumnRenamed("target", "id").join(recipient, "id")
+    return recipient_stats(edges.select("pid", "id", "name", F.col("value").alias("amount"))).join(scores.select("pid", "spend_total"), "pid")
+
+
+def highlights(scores: DataFrame, stats: DataFrame | None = None, changes: DataFrame | None = None, n: int = TOP) -> dict[str, DataFrame]:
+    """The lists of METRICS for which there are tables, of n rows each (spendingChange: of each status), and multiSignal over them all.
+    stats: recipient_stats() plus spend_total; changes: summary.spending_change()."""
+    lists = {"spendingChange": changes} if changes is not None else {}
+    if stats is not None:
+        lists |= {"otherRatio": other_ratio(stats, n), "concentration": concentration(stats, n)}
+    lists |= {"lowScoreHighBudget": low_score_high_budget(scores, n), "execBudgetGap": exec_budget_gap(scores, n), "subcontractDepth": deep_subcontracts(scores, n)}
+    return lists | {"multiSignal": multi_signal(lists, scores)}
+
+
 def concentration(stats: DataFrame, n: int = TOP) -> DataFrame:
     """stats plus spend_total: the projects with the largest share to one recipient."""
     share = S.half_up(F.col("top_amount").cast("double") / F.nullif("total", F.lit(0)), 4)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import semantics as S
+from tallyspark.tables import held
 
 from .flow import Graph
 
@@ -83,3 +84,13 @@ def largest_changes(changes: DataFrame, status: str, n: int = 10, key: str = "pi
     size = F.abs(F.coalesce("spending_diff" if key == "pid" else "diff", *(
         ("spending_compare", "spending_base") if key == "pid" else ("inflow_compare", "inflow_base"))))
     return changes.where(F.col("status") == status).orderBy(size.desc(), key).limit(n)
+
+
+def spending_change(base: Graph, compare: Graph, n: int = 10) -> DataFrame:
+    """The n largest projects of each status: increased, decreased, added, removed."""
+    changes = held(compare_projects(base, compare))  # read four times
+    lists = [largest_changes(changes, status, n) for status in ("increased", "decreased", "added", "removed")]
+    out = lists[0]
+    for one in lists[1:]:
+        out = out.unionByName(one)
+    return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import semantics as S
-from tallyspark.operators import blocks, recipients, screening
+from tallyspark.operators import blocks, recipients, screening, summary
+from tallyspark.operators.flow import Graph
 from tallyspark.plans import adapter as A
 
 from .catalog import query
@@ -207,6 +208,34 @@ def multi_signal(spark, sf_dir):
     return screening.multi_signal(lists, b).withColumn("signals", F.array_join("signals", ","))
 
 
+@query("WITH " + model_sql() + "," + model_sql(YEAR - 1, "0") + """,
+ch AS (SELECT COALESCE(p.pid, p0.pid) AS pid, CASE WHEN p0.pid IS NULL THEN 'added' WHEN p.pid IS NULL THEN 'removed' WHEN p.spent > p0.spent THEN 'increased'
+       WHEN p.spent < p0.spent THEN 'decreased' ELSE 'same' END AS status, abs(COALESCE(p.spent - p0.spent, p.spent, p0.spent)) AS size FROM p FULL OUTER JOIN p0 ON p.pid = p0.pid),
+sc AS (SELECT pid FROM (SELECT pid, ROW_NUMBER() OVER (PARTITION BY status ORDER BY size DESC, pid) AS k FROM ch WHERE status <> 'same') WHERE k <= 10),
+y AS (SELECT pid, SUM(amount) AS total, COALESCE(SUM(amount) FILTER (WHERE recipient LIKE '%7'), 0) AS other, MAX(amount) AS top_amount
+      FROM (SELECT pid, recipient, SUM(amount) AS amount FROM e GROUP BY 1, 2) GROUP BY 1 HAVING SUM(amount) >= 1000000000),
+oth AS (SELECT pid FROM y WHERE other > 0 ORDER BY FLOOR(other::DOUBLE / total * 10000 + 0.5) / 10000 DESC, other DESC, pid LIMIT 10),
+con AS (SELECT pid FROM y ORDER BY FLOOR(top_amount::DOUBLE / total * 10000 + 0.5) / 10000 DESC, top_amount DESC, pid LIMIT 10),
+low AS (SELECT pid, budget, (pid * 37 % 101)::DOUBLE AS score FROM p WHERE budget > 0),
+low2 AS (SELECT pid FROM low WHERE score <= (SELECT list_sort(list(score))[GREATEST(CAST(CEIL(COUNT(*) * 0.25) AS BIGINT), 1)] FROM low) ORDER BY budget DESC, score, pid LIMIT 10),
+gap AS (SELECT pid FROM p WHERE budget > 0 ORDER BY FLOOR(abs(spent::DOUBLE / budget - 1) * 10000 + 0.5) / 10000 DESC, pid LIMIT 10),
+dep AS (SELECT pid FROM p WHERE spent >= 1000000000 AND pid % 5 > 0 ORDER BY pid % 5 DESC, spent DESC, pid LIMIT 10),
+u AS (SELECT pid, 'spendingChange' AS m, 1 AS k FROM sc UNION ALL SELECT pid, 'otherRatio', 2 FROM oth UNION ALL SELECT pid, 'concentration', 3 FROM con
+      UNION ALL SELECT pid, 'lowScoreHighBudget', 4 FROM low2 UNION ALL SELECT pid, 'execBudgetGap', 5 FROM gap UNION ALL SELECT pid, 'subcontractDepth', 6 FROM dep)
+SELECT u.pid, array_to_string(list(m ORDER BY k), ',') AS signals, COALESCE(MAX(budget), 0) AS budget FROM u LEFT JOIN p ON p.pid = u.pid GROUP BY 1 HAVING COUNT(*) >= 2
+ORDER BY COUNT(*) DESC, COALESCE(MAX(budget), 0) DESC, u.pid LIMIT 10""")
+def multi_signal_six(spark, sf_dir):
+    """Of all six lists of 10, as the engine builds them. Recipients whose name ends in 7 stand for 'その他'."""
+    now, prior = A.graph(spark, sf_dir, YEAR), A.graph(spark, sf_dir, YEAR - 1)
+    spent = A.spending(spark, sf_dir, YEAR).groupBy("pid").agg(F.sum("amount").alias("executed"))
+    pid = F.col("pid")
+    scores = A.budgets(spark, sf_dir, YEAR).join(spent, "pid", "left").fillna(0, ["executed"]).withColumns(
+        {"total_score": (pid * 37 % 101).cast("double"), "depth": (pid % 5).cast("int"), "spend_total": F.col("executed")})
+    other = now.nodes.withColumn("name", F.when(F.col("id").startswith("r-") & F.col("name").endswith("7"), "その他").otherwise(F.col("name")))
+    lists = screening.highlights(scores, screening.graph_stats(Graph(other, now.edges), scores), summary.spending_change(prior, now))
+    return lists["multiSignal"].withColumn("signals", F.array_join("signals", ","))
+
+
 @query("""
 SELECT l_suppkey, CASE WHEN SUM(CASE WHEN q IS NOT NULL THEN a END) > 0 THEN SUM(q * a)::DOUBLE / SUM(CASE WHEN q IS NOT NULL THEN a END) ELSE AVG(q) END AS score FROM (
 SELECT l_suppkey, CASE WHEN l_returnflag <> 'R' THEN CAST(l_linenumber AS BIGINT) * 10 END AS q, CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS a FROM lineitem) GROUP BY 1""")
