@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read as the next one's docs.
 All but the last return the columns of docs. A row with a null doc_id passes the near-dedup stage; of rows that share a
-doc_id, which are one document, one stays there. An empty table passes every stage as an empty one.
+doc_id and a text one stays there, the first by the other columns in their order (nulls first). An empty table passes every stage as an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = (near_dedup.groups(docs.select("doc_id", "text"), SHINGLE_WORDS).where("doc_id <> component_id")
             .select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = (kept.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__any"), *others)).alias("__first"))
+           .select("doc_id", "text", "__first.*").select(*docs.columns))
+    return kept.where("doc_id is null").unionByName(one)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

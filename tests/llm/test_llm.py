@@ -343,3 +343,15 @@ def test_pipeline(spark, pairs, tmp_path):
     clean = corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path))
     assert pairs[7][0] not in {r.doc_id for r in clean.collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_repeated_ids(spark, pairs):
+    first, second = pairs[0][1] + " own words", " ".join(reversed(pairs[1][1].split())) + " other words here now"
+    rows = [(1, first, "en", "b", 2), (1, first, "en", None, 3), (1, first, "en", "a", 1), (1, second, "de", "s", 1), (1, None, "en", "z", 1), (2, "some text", None, "s", 1),
+            (None, "x", "en", "s", 1), (None, "x", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SHAPE)
+    want = sorted([rows[1], *rows[3:]], key=str)
+    for parts in (1, 5):
+        kept = corpus_pipeline.near_dedup_stage(spark, docs.repartition(parts), "")
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == want
+    assert corpus_pipeline.near_dedup_stage(spark, docs.select("doc_id", "text"), "").count() == 6
