@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves, but only in local
+    mode, where there is one machine; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -32,7 +35,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a written table: it cuts the lineage, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.own_path = path
+    return out
+
+
+def discard(*tables: DataFrame | str | None) -> None:
+    """Delete written tables or folders of this run that nothing reads any more."""
+    for x in tables:
+        if x is not None:
+            store, at = storage(x if isinstance(x, str) else x.own_path)
+            store.delete_dir(at)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

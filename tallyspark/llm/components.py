@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Each round is two aggregations and two joins by node; the driver only sees counts. Rounds end when the edges no longer
-change; every round's edges are a written table, so a lost executor costs a round at most.
+change; every round's edges are a written table, so a lost executor costs a round at most, and the last round's is deleted.
 """
 
 from __future__ import annotations
@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-MAX_ROUNDS = 40
+from .common import discard, written
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,15 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     """edges(a, b), in any direction -> node, root: the smallest node of its component. Nodes without an edge to another
     node aren't listed; null ends are dropped."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(MAX_ROUNDS):
-        now = written(star(star(now, True), False), "edges")
-        # the xor and the sum of hashes tell whether any edge has changed
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
-        if mark == before or mark[0] == 0:
-            break
-        before = mark
-    else:
-        raise RuntimeError(f"components have not settled in {MAX_ROUNDS} rounds")
+    # the xor and the sum of hashes tell whether any edge has changed
+    marks = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)")))
+    before, mark = None, now.agg(*marks).first()
+    while mark[0] and mark != before:  # the edges settle after some log2(nodes) rounds
+        old, now = now, written(star(star(now, True), False), "edges")
+        discard(old)
+        before, mark = mark, now.agg(*marks).first()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

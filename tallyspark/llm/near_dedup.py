@@ -6,8 +6,10 @@ retains are dropped, and of the rest each class enters the lists of its rarest v
 threshold can't miss all of (prefix filtering; certain while sets are small enough to be retained whole by any partner,
 otherwise missed with a chance under 3e-7 for a pair exactly at the threshold). Overlaps in the lists choose each class's
 best leader; pairs are filtered by the estimate of the union's sketch and then verified on the full sets. Rounds of such
-stars join most of a group with a pair for each member; what still lies in different components within a list is then
-compared pair by pair, so no link between components is lost and a large group doesn't turn into all its pairs.
+stars join most of a group with a pair for each member, and lists within one component are dropped. What still lies in different
+components within a list is then compared: in lists of up to SHORT classes pair by pair; longer lists are gathered under the
+component that most of their classes are in, and the classes outside it are held against all in blocks, by inverted lists of the full sets.
+So no link between components is lost, and a large group neither turns into rows of pairs nor lands in one task.
 
 Defined results: a text without words (null, empty, blank) has an empty set and links with nothing; one with fewer words than a
 shingle has one shingle, the whole sequence; rows that share a doc_id are one document; a row with a null doc_id links with
@@ -23,10 +25,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, publish, shuffle_partitions, storage, table, written
+from .common import discard, fresh_path, publish, shuffle_partitions, storage, table, written
 from .components import components
 from .suffix_dedup import (LAST, SHAPE, TOLD, borders, chunk_data, packed, packed_hashes, rows_of, split, unpacked, unpacked_hashes)
 
@@ -39,8 +41,10 @@ STAR_ROUNDS = 3
 BROADCAST_IDS = 500_000
 #: Documents of a pack.
 PACK = 4096
+#: Rows of a batch of full sets; lists up to this number of classes are compared pair by pair; shingles of a block, retained values of a range.
+ROWS, SHORT, BLOCK, RANGE = 500, 16, 1 << 19, 1 << 21
 #: Word hashes that a worker keeps.
-CACHE = 1_000_000
+CACHE = 200_000
 
 
 class Shingler:
@@ -156,32 +160,114 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     def each(batches):
         shingle = Shingler(width)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())],
-                                             names=["cid", "shingles"])
+            for low in range(0, len(batch), ROWS):
+                own = batch.slice(low, ROWS)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([shingle(t.as_py()) for t in own.column(1)], pa.list_(pa.int64()))],
+                                                 names=["cid", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "cid long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(each, "cid long, shingles array<long>")
 
 
-def verifier(sketch: int, percent: int):
-    """Whether two sets are near: the estimate from the union's sketch decides first, then the full sets."""
-    t = percent / 100
+def alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether two set sizes can be those of near sets."""
+    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
-    @F.arrow_udf("boolean")
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
-            union = np.union1d(x[:sketch], y[:sketch])[:sketch]
-            same = np.intersect1d(x[:sketch], y[:sketch], True)
-            share = np.searchsorted(same, union[-1], "right") / len(union)
-            near = share >= t - SIGMAS * (t * (1 - t) / len(union)) ** 0.5
-            if near:
-                both = len(np.intersect1d(x, y, True))
-                near = 100 * both >= percent * (len(x) + len(y) - both)
-            out.append(bool(near))
-        return pa.array(out, pa.bool_())
 
-    return linked
+def near(a: Column, b: Column, sketch: int, percent: int) -> Column:
+    """Whether two sets, as sorted arrays, are near: for sets beyond the sketch the estimate from the union's sketch decides first,
+    then the full sets."""
+    t = percent / 100
+    x, y = F.slice(a, 1, sketch), F.slice(b, 1, sketch)
+    union = F.slice(F.sort_array(F.array_union(x, y)), 1, sketch)  # has SKETCH values where one of the sets has more
+    hopeless = F.size(F.array_intersect(F.array_intersect(x, y), union)) < sketch * t - SIGMAS * (sketch * t * (1 - t)) ** 0.5
+    exact = F.size(F.array_intersect(a, b)) * (100 + percent) >= (F.size(a) + F.size(b)) * percent
+    return F.when(((F.size(a) > sketch) | (F.size(b) > sketch)) & hopeless, F.lit(False)).otherwise(exact)
+
+
+def stored_block(group: pa.Table, folder: str) -> pa.Table:
+    """Writes a block's sets to the shared folder; tells its name and whether it has members outside the head's component."""
+    head, block = (group.column(c)[0].as_py() for c in ("head", "block"))
+    sets, (store, at) = group.column("shingles").combine_chunks(), storage(folder)
+    root = group.column("root").to_numpy()
+    publish(store, at, f"{head}.{block}", packed(cid=group.column("cid").to_numpy(), root=root, n=sets.value_lengths().to_numpy(), shingles=sets.flatten().to_numpy()))
+    return pa.table({"head": [head], "block": pa.array([block], pa.int32()), "probes": [bool((root != head).any())]})
+
+
+class Block:
+    """Inverted lists of a block's sets."""
+
+    def __init__(self, x: dict) -> None:
+        self.cid, self.root, self.n, self.shingles = (x[k] for k in ("cid", "root", "n", "shingles"))
+        self.ends = np.cumsum(self.n)
+        order = np.argsort(self.shingles, kind="stable")
+        self.owner = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)[order]
+        values = self.shingles[order]
+        self.first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        self.values, self.lengths = values[self.first], np.diff(np.append(self.first, len(values)))
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.shingles[self.ends[i] - self.n[i] : self.ends[i]]
+
+    def overlaps(self, own: np.ndarray) -> np.ndarray:
+        """How many values of own each member has."""
+        at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        at = at[self.values[at] == own]
+        size = self.lengths[at]
+        place = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.owner[place], minlength=len(self.n))
+
+
+def block_links(left: Block, right: Block, head: int, percent: int) -> list[tuple[int, int]]:
+    """Links of left's members outside the head's component to right's members of other components; enough of them to tie together what
+    they tie together."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for i in np.flatnonzero(left.root != head).tolist():
+        n, root = left.n[i], left.root[i]
+        right_sizes = (right.n * 100 >= n * percent) & (n * 100 >= right.n * percent) & (right.root != root)
+        if not right_sizes.any():
+            continue
+        both = right.overlaps(left.set_of(i))
+        for j in np.flatnonzero(right_sizes & (both * 100 >= (n + right.n - both) * percent)).tolist():
+            x, y = top(int(root)), top(int(right.root[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(left.cid[i]), int(right.cid[j])))
+    return out
+
+
+def compared_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members(head, cid, n, root) -> links (a, b) between components. The members of a head are cut into blocks of some BLOCK
+    shingles, files in the shared folder; a task reads two of them at a time and emits a link for each component that it ties."""
+    spark, n = members.sparkSession, shuffle_partitions(members.sparkSession)
+    folder = fresh_path(spark, "blocks")
+    store, at = storage(folder)
+    store.create_dir(at, recursive=True)
+    sizes = members.groupBy("head").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = (members.join(sizes, "head").select("head", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), "cid", "root")
+             .join(sets, "cid"))
+    blocks = written(dealt.groupBy("head", "block").applyInArrow(lambda g: stored_block(g, folder), "head long, block int, probes boolean"), "blocks")
+    tasks = (blocks.where("probes").select("head", F.col("block").alias("left")).join(blocks.select("head", F.col("block").alias("right")), "head")
+             .repartition(4 * n, "head", "left", "right"))
+
+    def compare(batches):
+        for batch in batches:
+            left = kept = None
+            for head, i, j in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if kept != (head, i):
+                    left, kept = Block(chunk_data(folder, f"{head}.{i}")), (head, i)
+                links = block_links(left, left if i == j else Block(chunk_data(folder, f"{head}.{j}")), head, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    links = written(tasks.mapInArrow(compare, "a long, b long"), "block-links")
+    discard(blocks, folder)
+    return links
 
 
 def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SKETCH) -> DataFrame:
@@ -189,49 +275,78 @@ def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SK
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     folder = fresh_path(spark, "sketches")
     feats = sketches(docs, width, sketch, folder)
+    ranges = max(n, -(-(feats.agg(F.sum(F.least("n", F.lit(sketch)))).first()[0] or 0) // RANGE))
     packs = feats.select("pack").distinct().repartition(n, "pack")
     filled = feats.where("n > 0 and doc_id is not null")
     classes = filled.groupBy("sig").agg(F.min("doc_id").alias("cid"))
     members = written(filled.join(classes, "sig").select("doc_id", "n", "cid"), "members")
-    told = retained(packs, n, folder).groupBy("place").applyInArrow(frequencies, SHAPE)
+    told = retained(packs, ranges, folder).groupBy("place").applyInArrow(frequencies, SHAPE)
     entered = told.groupBy("chunk").applyInArrow(lambda g: rarest(g, sketch, percent, folder), "doc_id long, value long")
-    entered = written(entered, "entered")  # so that its size is known to the join
-    lists = written(entered.join(members.hint("merge"), "doc_id").select("cid", "n", "value").distinct(), "lists")
-    wanted = written(lists.select("cid").distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:  # then the texts stay where they are; beyond it both sides are shuffled
-        wanted = F.broadcast(wanted)
-    # bucketed by class, so that pairs come to the sets and not the sets to the pairs
-    name = f"near_dedup_sets_{uuid.uuid4().hex}"
-    (full_sets(docs.join(wanted, docs["doc_id"] == wanted["cid"], "left_semi"), width).distinct().repartition(n, "cid")
-     .write.bucketBy(n, "cid").sortBy("cid").format("parquet").option("compression", "none").saveAsTable(name))
-    sets, linked = spark.table(name), verifier(sketch, percent)
+    firsts = members.where("doc_id = cid").select("doc_id", "n").distinct()  # one document stands for its class
+    lists = written(entered.join(firsts.hint("merge"), "doc_id").select("value", F.col("doc_id").alias("cid"), "n").distinct(), "lists")
+    # rows of one doc_id are tied whatever their texts
+    spread = members.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("most")).where("b < most")
+    edges = written(members.join(spread, "doc_id").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "near-edges")
+    roots, sets, name = None, None, f"near_dedup_sets_{uuid.uuid4().hex}"
+
+    def rooted() -> DataFrame:
+        return lists.withColumn("root", F.col("cid")) if roots is None else (
+            lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+
+    def joined_up(new: DataFrame) -> None:
+        """Components of the links so far and the new ones."""
+        nonlocal edges, roots
+        old = edges, roots
+        found = written(edges.unionByName(new), "near-edges")
+        roots = written(components(found), "near-roots")
+        edges = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        discard(found, old[1], old[0] if old[1] is None else None)
 
     def verified(pairs: DataFrame) -> DataFrame:
         for end in "ab":
             pairs = pairs.join(sets.select(F.col("cid").alias(end), F.col("shingles").alias(f"set_{end}")), end)
-        return pairs.where(linked("set_a", "set_b")).select("a", "b")
+        return pairs.where(near(F.col("set_a"), F.col("set_b"), sketch, percent)).select("a", "b")
 
-    edges, roots = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = lists.withColumn("root", F.col("cid")) if roots is None else (
-            lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
-        placed = written(placed, "placed")
+    for turn in range(STAR_ROUNDS):
+        placed = rooted()
         order = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("cid", F.lit(turn)))
-        open_lists = placed.groupBy("value").agg(F.min_by(F.struct("cid", "root"), order).alias("lead"), F.min("root").alias("low"),
-                                                 F.max("root").alias("high")).where("low < high").select("value", "lead")
-        if turn < STAR_ROUNDS:
-            pairs = (placed.join(open_lists, "value").where("root <> lead.root")
-                     .groupBy(F.col("cid").alias("a"), F.col("lead.cid").alias("b")).agg(F.count(F.lit(1)).alias("overlap"))
-                     .groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b")))
+        leads = placed.groupBy("value").agg(F.min_by(F.struct("cid", "n", "root"), order).alias("lead"), F.min("root").alias("low"),
+                                            F.max("root").alias("high")).where("low < high").select("value", "lead")
+        # a list within one component has no more to say, so what is left are the lists of two and more
+        opened, old = written(placed.join(leads, "value"), "opened"), lists
+        lists = opened.select("value", "cid", "n")
+        if turn == 0:
+            wanted = written(lists.select("cid").distinct(), "wanted")
+            # beyond the limit both sides are shuffled; until then the texts stay where they are
+            few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+            # bucketed by class, so that pairs come to the sets and not the sets to the pairs
+            (full_sets(docs.join(few, docs["doc_id"] == few["cid"], "left_semi"), width).distinct().repartition(n, "cid")
+             .write.bucketBy(n, "cid").sortBy("cid").format("parquet").option("compression", "none").saveAsTable(name))
+            sets = spark.table(name)
+            discard(wanted, old)
         else:
-            left = placed.join(open_lists, "value", "left_semi")
-            right = left.select("value", F.col("cid").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"))
-            pairs = (left.select("value", F.col("cid").alias("a"), "root", "n").join(right, "value")
-                     .where(F.expr(f"a < b and root <> b_root and n * 100 >= b_n * {percent} and b_n * 100 >= n * {percent}"))
-                     .select("a", "b").distinct())
-        new = verified(pairs)
-        edges = written(new if edges is None else edges.unionByName(new), "near-edges")
-        roots = written(components(edges), "near-roots")
+            discard(last)
+        pairs = (opened.where((F.col("root") != F.col("lead.root")) & alike(F.col("n"), F.col("lead.n"), percent))
+                 .groupBy(F.col("cid").alias("a"), F.col("lead.cid").alias("b")).agg(F.count(F.lit(1)).alias("overlap"))
+                 .groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b")))
+        joined_up(verified(pairs))
+        last = opened
+
+    placed = rooted()
+    counts = placed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("rows"))
+    heads = (counts.groupBy("value").agg(F.sum("rows").alias("size"), F.min_by("root", F.struct(-F.col("rows"), "root")).alias("head"),
+                                         F.count(F.lit(1)).alias("roots")).where("roots > 1").select("value", "size", "head"))
+    opened = written(placed.join(heads, "value"), "opened")
+    short = opened.where(F.col("size") <= SHORT)
+    other = short.select("value", F.col("cid").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"))
+    pairs = (short.select("value", F.col("cid").alias("a"), "root", "n")
+             .join(other, (short["value"] == other["value"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("b_root"))
+                   & alike(F.col("n"), F.col("b_n"), percent)).select("a", "b").distinct())
+    # the lists of a large group have nearly the same members, and mostly one component: its members' rests are compared once, not in each
+    rest = written(opened.where(F.col("size") > SHORT).groupBy("head", "cid").agg(F.max("n").alias("n"), F.min("root").alias("root")), "rest")
+    links = compared_blocks(rest, sets, percent)
+    joined_up(verified(pairs).unionByName(links))
+    discard(last, opened, rest, links, folder)
     spark.sql(f"DROP TABLE {name}")
     grouped = (members.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
                .select("doc_id", F.coalesce("root", "cid").alias("component_id"), F.col("n").alias("n_shingles")))
