@@ -6,12 +6,15 @@ equal windows have equal anchors at equal offsets, and one in sixteen suffixes o
 
 1. Documents are packed into chunks, files in the shared folder. Each chunk sends the distinct hashes of its anchors, packed by hash
    range; those that one document alone has are dropped, and each chunk is told which remain.
-2. Each chunk sorts the suffixes at these anchors, with as much of the text before them as their windows need, folds equal
-   ones (keeping the smallest doc_id) and front-codes the sorted runs, again packed by range.
+2. Each chunk sorts the suffixes at these anchors in byte order, with as much of the text before them as their windows need, folds
+   equal ones (keeping the smallest doc_id) and front-codes the sorted runs. Suffixes are dealt to ranges by a hash of the anchor's
+   string, mixed anew: the least of many hashes is a small number, so the hash that chose the anchor would deal unevenly.
 3. Each range merges its runs with a loser tree that keeps the known common prefix of each loser with the winner, so no
-   byte of it is compared again. Suffixes that agree in the anchor's string meet in the merged order; there, every window is
-   held against those at the same offset, by hash and then byte by byte. Anchors that are very frequent are replaced by
-   their windows beforehand, so a frequent string with ever different surroundings doesn't gather in one place.
+   byte of it is compared again. The lengths of common prefixes of neighbours in the merged order decide the matches: a window
+   that starts o bytes before two anchors is the same if WINDOW - o bytes from the anchors on and o bytes before them are, and both
+   are runs of neighbours whose common prefix is long enough, one in the merged order, one in that of the bytes before, read backwards.
+   Anchors that are very frequent are replaced by their windows beforehand, so a frequent string with ever different surroundings
+   doesn't gather in one place.
 4. Chunks with such suffixes apply the answers.
 
 Defined results: a null text is empty; a text shorter than WINDOW loses nothing; a null doc_id comes after all others; rows that
@@ -34,7 +37,7 @@ from .common import fresh_path, publish, shuffle_partitions, storage, table, wri
 
 WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM  # largest offset of an anchor in its window
-KEY = 6 + WINDOW + SPAN
+KEY = WINDOW + SPAN
 #: Text of a chunk, windows handled at once, text for each range of hashes (bytes).
 CHUNK, STEP, RANGE = 2 << 20, 1 << 18, 4 << 20
 #: Anchors that occur more often are replaced by their windows.
@@ -148,7 +151,7 @@ class Chunk:
         # of empty texts that start where another does, the last one counts
         self.place, self.least, self.most, h = anchors(self.text, self.starts, self.ends)
         self.doc = np.searchsorted(self.starts, self.place, "right") - 1
-        self.hash = h >> np.uint64(16)  # 48 bits are kept
+        self.hash = mixed(h * M1 + M2) >> np.uint64(16)  # 48 bits are kept
 
 
 def split(order: np.ndarray, ranges: int) -> np.ndarray:
@@ -182,7 +185,7 @@ def hashes_of(packs: DataFrame, ranges: int, folder: str) -> DataFrame:
                 h, d = c.hash[order], c.ids[c.doc][order]
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
                 last = np.append(first[1:], len(h)) - 1
-                code = (np.minimum(last - first + 1, 127) * 2 + (d[first] != d[last])).astype(np.uint8) if len(h) else np.zeros(0, np.uint8)
+                code = (level(last - first + 1) * 2 + (d[first] != d[last])).astype(np.uint8) if len(h) else np.zeros(0, np.uint8)
                 h = h[first]
                 out = [(TOLD, r, chunk, packed_hashes(h[a:b], code[a:b])) for r, a, b in borders(split(h, ranges))]
                 yield from rows_of(out).to_batches()
@@ -190,6 +193,17 @@ def hashes_of(packs: DataFrame, ranges: int, folder: str) -> DataFrame:
     return packs.mapInArrow(each, SHAPE)
 
 
+def level(n: np.ndarray) -> np.ndarray:
+    """Counts in seven bits: up to 63 as they are, then in steps of a quarter of a power of two."""
+    return np.where(n < 64, n, np.minimum(64 + np.floor(4 * np.log2(np.maximum(n, 64) / 64)), 127)).astype(np.int64)
+
+
+def counted(code: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    code = code.astype(np.int64)
+    return np.where(code < 64, code, 64 * 2.0 ** ((code - 64) / 4)).astype(np.int64)
+
+
 def packed_hashes(h: np.ndarray, code: np.ndarray) -> bytes:
     return (h >> np.uint64(16)).astype("<u4").tobytes() + (h & np.uint64(0xFFFF)).astype("<u2").tobytes() + code.tobytes()
 
@@ -209,7 +223,7 @@ def shared_hashes(group: pa.Table, frequent: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     n = np.diff(np.append(first, len(h)))
     both = (n > 1) | (np.maximum.reduceat(code[order] & 1, first) > 0)
-    often = np.add.reduceat((code[order] >> 1).astype(np.int64), first) > frequent
+    often = np.add.reduceat(counted(code[order] >> 1), first) > frequent
     keep, hot = np.empty(len(h), bool), np.empty(len(h), np.uint8)
     keep[order], hot[order] = np.repeat(both, n), np.repeat(often, n)
     ends = np.cumsum([len(x) for x, _ in parts])
@@ -293,39 +307,31 @@ def merged(runs: list[Run]):
             node //= 2
 
 
-def covered(keys: np.ndarray, doc: np.ndarray, least: np.ndarray, most: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For suffixes with their text before them: a bit for each offset whose window also is in a smaller document.
+def common(rows: np.ndarray) -> np.ndarray:
+    """Common prefix of each row of bytes with the one before."""
+    differs = rows[1:] != rows[:-1]
+    return np.concatenate([[0], np.where(differs.any(1), differs.argmax(1), rows.shape[1])])[: len(rows)]
+
+
+def covered(lcp: np.ndarray, back: np.ndarray, doc: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For suffixes in byte order: a bit for each offset whose window also is in a smaller document.
 
-    keys: rows of KEY bytes: hash, WINDOW bytes from the anchor, SPAN bytes before it backwards.
+    lcp: common prefix of each with the one before; back: rows of the SPAN bytes before it, read backwards.
     """
-    text = np.concatenate([keys[:, 6 + WINDOW :][:, ::-1], keys[:, 6 : 6 + WINDOW]], 1)
-    prefix = np.zeros((text.shape[1] + 1, len(text)), np.uint64)
-    for j in range(text.shape[1]):
-        prefix[j + 1] = prefix[j] * M1 + text[:, j] + np.uint64(1)
-    far = np.uint64(pow(int(M1), WINDOW, 1 << 64))
-    masks = np.zeros(len(keys), np.uint64)
+    order = np.argsort(back.view(f"S{SPAN}")[:, 0], kind="stable")
+    same, behind = common(back[order]), np.empty(len(doc), np.int64)
+    masks = np.zeros(len(doc), np.uint64)
     for o in range(SPAN + 1):
         own = np.flatnonzero((least <= o) & (o <= most))
         if len(own) < 2:
             continue
-        a = SPAN - o
-        h = mixed((prefix[a + WINDOW, own] - prefix[a, own] * far) ^ mixed(group[own].astype(np.uint64) * M2))
-        order = np.lexsort((doc[own], h))
-        own, h = own[order], h[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        n = np.diff(np.append(first, len(h)))
-        head = np.repeat(own[first], n)
-        differ = own != head
-        differ &= (group[own] != group[head]) | (text[own, a : a + WINDOW] != text[head, a : a + WINDOW]).any(1)
-        hit = doc[own] > doc[head]
-        if differ.any():  # two strings with one hash: these few are told apart by their bytes
-            for f, m in zip(first.tolist(), n.tolist(), strict=True):
-                if differ[f : f + m].any():
-                    seen: dict = {}
-                    for i in range(f, f + m):
-                        d = seen.setdefault((int(group[own[i]]), text[own[i], a : a + WINDOW].tobytes()), doc[own[i]])
-                        hit[i] = doc[own[i]] > d
-        masks[own[hit]] |= np.uint64(1 << o)
+        behind[order] = np.cumsum(same < o)
+        window = np.cumsum(lcp < WINDOW - o)[own] * (len(doc) + 1) + behind[own]
+        by = np.lexsort((doc[own], window))
+        own, window = own[by], window[by]
+        first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+        head = np.repeat(own[first], np.diff(np.append(first, len(own))))
+        masks[own[doc[own] > doc[head]]] |= np.uint64(1 << o)
     return masks
 
 
@@ -339,32 +345,31 @@ def answers(group: pa.Table) -> pa.Table:
     more = [unpacked(x.as_py()) for x in group.column("data")]
     told: list[tuple[list, list]] = [([], []) for _ in owners]
     keys: list[bytes] = []
-    who: list[tuple[int, int]] = []
-    ids: list[int] = []
+    who: list[tuple[int, int, int]] = []
 
     def settle():
         if not keys:
             return
-        run, place = np.array(who, np.int64).T
-        pick = lambda x: np.array([more[r][x][i] for r, i in who], np.int64)
-        masks = covered(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY), pick("doc"), pick("least"), pick("most"), np.array(ids))
+        run, place, lcp = np.array(who, np.int64).T
+        pick = lambda x: np.array([more[r][x][i] for r, i, _ in who], np.int64)
+        back = np.ascontiguousarray(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)[:, WINDOW:])
+        masks = covered(lcp, back, pick("doc"), pick("least"), pick("most"))
         for r in np.unique(run[masks > 0]).tolist():
             own = (run == r) & (masks > 0)
             told[r][0].append(place[own] + more[r]["first"])
             told[r][1].append(masks[own])
-        keys.clear(), who.clear(), ids.clear()
+        keys.clear(), who.clear()
 
-    number, held = 0, []
+    start = 0
     for r, i, key, lcp in merged([Run(x) for x in more]):
-        if lcp < 6 + GRAM:
-            if len(held) > 1:
-                keys.extend(h[2] for h in held), who.extend(h[:2] for h in held), ids.extend([number] * len(held))
-                if len(keys) > MANY:
-                    settle()
-            number, held = number + 1, []
-        held.append((r, i, key))
-    if len(held) > 1:
-        keys.extend(h[2] for h in held), who.extend(h[:2] for h in held), ids.extend([number] * len(held))
+        if lcp < GRAM:  # a suffix that shares no anchor's string with a neighbour matches nothing
+            if len(keys) - start == 1:
+                keys.pop(), who.pop()
+            start = len(keys)
+            if start > MANY:
+                settle()
+                start = 0
+        keys.append(key), who.append((r, i, lcp))
     settle()
     return rows_of([(ANSWER, 0, c, packed(entry=np.concatenate(e), mask=np.concatenate(m))) for c, (e, m) in zip(owners, told, strict=True) if e])
 
@@ -408,27 +413,24 @@ def sorted_runs(group: pa.Table, ranges: int, folder: str) -> pa.Table:
         doc = np.concatenate([doc, np.repeat(c.doc[wide], n)])
     ids = c.ids[doc]
     keys = np.zeros((len(place), KEY + 2), np.uint8)
-    for j in range(6):
-        keys[:, j] = (order >> np.uint64(8 * (5 - j))).astype(np.uint8)
     for j in range(WINDOW):
         use = j < WINDOW - least
-        keys[use, 6 + j] = c.text[place[use] + j]
+        keys[use, j] = c.text[place[use] + j]
     for j in range(SPAN):
         use = j < most
-        keys[use, 6 + WINDOW + j] = c.text[place[use] - 1 - j]
+        keys[use, WINDOW + j] = c.text[place[use] - 1 - j]
     keys[:, KEY], keys[:, KEY + 1] = least + 1, most + 1
-    flat = keys.view(f"S{KEY + 2}")[:, 0] if len(keys) else np.zeros(0, f"S{KEY + 2}")
-    by = np.lexsort((ids, flat))
-    flat, ids, place, least, most, keys = flat[by], ids[by], place[by], least[by], most[by], keys[by]
+    flat, into = keys.view(f"S{KEY + 2}")[:, 0] if len(keys) else np.zeros(0, f"S{KEY + 2}"), split(order, ranges)
+    by = np.lexsort((ids, flat, into))
+    flat, ids, place, least, most, keys, into = (x[by] for x in (flat, ids, place, least, most, keys, into))
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
     entry = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(flat))))
     known = ids > ids[first][entry]  # a smaller document in this chunk has all their windows
     out = []
     head = keys[first][:, :KEY]
-    for r, a, b in borders(split(order[by][first], ranges)):
+    for r, a, b in borders(into[first]):
         part = head[a:b]
-        differs = part[1:] != part[:-1]
-        lcp = np.concatenate([[0], np.where(differs.any(1), differs.argmax(1), KEY)]).astype(np.uint8)
+        lcp = common(part).astype(np.uint8)
         tails = part[np.arange(KEY) >= lcp[:, None]].tobytes()
         out.append((RUN, r, chunk, packed(lcp=lcp, tails=tails, doc=ids[first[a:b]], least=least[first[a:b]].astype(np.uint8),
                                           most=most[first[a:b]].astype(np.uint8), first=a)))
