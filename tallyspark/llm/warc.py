@@ -5,9 +5,10 @@ roll_bytes. Headers and SHA-256 digests are made anew from the payload. Of pages
 MIN_REVISIT bytes the smallest page_id is a response and the others are revisits without payload. Every file is written
 under a temporary name and renamed; manifest.json lists the files that count, so what a lost task left is never read.
 
-Defined results: a null html is an empty payload; a null page_id comes first and is always a response; rows that repeat a
-page_id are numbered in their record ids, and with equal payloads are all responses; a null url is written as about:blank; an
-empty table gives a manifest without files. Other columns are ignored.
+Defined results: a null html is an empty payload; a null page_id comes first and is always a response; of rows that repeat a page_id
+each is judged by its own payload, so those with the smallest page_id of their payload are all responses (numbered in their record
+ids) and no payload is ever left out; a null url is written as about:blank; an empty table gives a manifest without files.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, publish, shuffle_partitions, storage, table
+from .common import fresh_path, publish, shuffle_partitions, storage, table, written
 
 MIN_REVISIT = 100
 ROLL_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 4
+#: Records of a batch that is read.
+ROWS = 1000
 
 
-def record_id(page_id, turn: int) -> str:
-    return f"<urn:page:{page_id if page_id is not None else ''}:{turn}>"
+def record_id(page_id, sha: str, turn: int) -> str:
+    """turn numbers the records of a page with equal payloads."""
+    return f"<urn:page:{page_id if page_id is not None else ''}:{sha}:{turn}>"
 
 
 def digest_value(hex_digest: str) -> str:
@@ -46,12 +50,12 @@ def record(page_id, turn: int, url: str | None, payload: bytes, refers_to) -> by
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http if refers_to is not None else http + payload
     sha = hashlib.sha256(payload).hexdigest()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, turn)}",
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, sha, turn)}",
              f"WARC-Date: {DATE}", "WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank"),
              f"WARC-Payload-Digest: {digest_value(sha)}", f"WARC-Block-Digest: {digest_value(hashlib.sha256(body).hexdigest())}",
              "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, 0)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, sha, 0)}"]
     raw = "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + body + b"\r\n\r\n"
     return gzip.compress(raw, LEVEL, mtime=0)
 
@@ -64,14 +68,13 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> d
                .where(F.col("size") >= MIN_REVISIT))
     first = (digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
              .where("first < last").select("digest", "first"))
-    later = digests.join(first, "digest").where("page_id > first").select("page_id", "first").distinct()
-    # a page's row for its role goes just before its own: so the payloads are shuffled once
+    later = digests.join(first, "digest").where("page_id > first").select("page_id", "digest", "first").distinct()
+    # the row of a page and payload with its role goes just before its records: so the payloads are shuffled once
     rows = (pages.select("page_id", "url", payload.alias("payload"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("turn"),
-                         F.sha2(payload, 256).alias("order"))
+                         F.sha2(payload, 256).alias("digest"))
             .unionByName(later.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
-                                      "first", F.lit(0).alias("turn"), F.lit("").alias("order")))
-            .repartitionByRange(shuffle_partitions(spark), "page_id").sortWithinPartitions("page_id", "turn", "order", "url")
-            .drop("order"))
+                                      "first", F.lit(0).alias("turn"), "digest"))
+            .repartitionByRange(shuffle_partitions(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest", "turn", "url"))
 
     def write(batches):
         part, (store, at) = TaskContext.get().partitionId(), storage(folder)
@@ -85,15 +88,15 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> d
             parts, size, count = [], 0, 0
 
         for batch in batches:
-            for page_id, url, data, own_first, role in zip(*[batch.column(i) for i in range(5)], strict=True):
+            for page_id, url, data, own_first, role, digest in zip(*[batch.column(i) for i in range(6)], strict=True):
                 page_id = page_id.as_py()
-                if (page_id,) != last:
-                    last, turn, refers = (page_id,), 0, None
+                if (page_id, digest.as_py()) != last:
+                    last, turn, refers = (page_id, digest.as_py()), 0, None
                 if role.as_py() == 0:
                     refers = own_first.as_py()
                     continue
                 data = data.as_py()
-                parts.append(record(page_id, turn, url.as_py(), data, refers if len(data) >= MIN_REVISIT else None))
+                parts.append(record(page_id, turn, url.as_py(), data, refers))
                 turn, size, count = turn + 1, size + len(parts[-1]), count + 1
                 if size >= roll_bytes:
                     close()
@@ -123,20 +126,21 @@ def records(stream):
 
 
 def page_of(value: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+):\d+>", value or "")
+    m = re.fullmatch(r"<urn:page:(-?\d+):\w+:\d+>", value or "")
     return int(m[1]) if m else None
 
 
-def read_warc(spark, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact (the payload has its digest) of every record
-    in the files that the manifest lists."""
+def read_records(spark, folder: str, payloads: bool = False) -> DataFrame:
+    """Every record in the files that the manifest lists: record_id, refers_id, page_id, payload_bytes, payload_digest, record_type, refers_to,
+    url, intact (its digests are right) and, if asked for, the payload that it carries."""
     store, at = storage(folder)
     names = [(f["name"],) for f in json.loads(store.open_input_stream(f"{at}/manifest.json").read())["files"]]
-    shape = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean")
+    shape = ("record_id string, refers_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+             "url string, intact boolean, payload binary")
     if not names:
         return spark.createDataFrame([], shape)
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
-                        ("refers_to", pa.int64()), ("url", pa.string()), ("intact", pa.bool_())])
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in shape.split(", "))])
 
     def read(batches):
         for batch in batches:
@@ -152,9 +156,10 @@ def read_warc(spark, folder: str) -> DataFrame:
                         whole = hashlib.sha256(body).digest() == base64.b32decode(headers["warc-block-digest"].removeprefix("sha256:"))
                         if not revisit:
                             whole &= hashlib.sha256(payload).hexdigest() == digest and len(payload) == length
-                        out.append((page_of(headers["warc-record-id"]), length, digest, headers["warc-type"],
-                                    page_of(headers.get("warc-refers-to")), headers["warc-target-uri"], whole))
-                        if len(out) >= 5000:
+                        refers = headers.get("warc-refers-to")
+                        out.append((headers["warc-record-id"], refers, page_of(headers["warc-record-id"]), length, digest, headers["warc-type"],
+                                    page_of(refers), headers["warc-target-uri"], whole, payload if payloads and not revisit else None))
+                        if len(out) >= ROWS:
                             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
                             out = []
                 if out:
@@ -163,6 +168,19 @@ def read_warc(spark, folder: str) -> DataFrame:
     return spark.createDataFrame(names, "name string").repartitionByRange(len(names), "name").mapInArrow(read, shape)
 
 
+def read_warc(spark, folder: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact of every record. A revisit is intact if the record that it
+    refers to is in the archives, a response with the same payload digest and length."""
+    found = written(read_records(spark, folder).drop("payload"), "warc-records")
+    answer = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("payload_digest").alias("__digest"),
+                                                            F.col("payload_bytes").alias("__bytes"), F.col("intact").alias("__whole"))
+    revisits = found.where("record_type = 'revisit'").join(answer, "refers_id", "left").withColumn(
+        "intact", F.col("intact") & F.coalesce((F.col("__digest") == F.col("payload_digest")) & (F.col("__bytes") == F.col("payload_bytes"))
+                                               & F.col("__whole"), F.lit(False)))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact"]
+    return found.where("record_type = 'response'").select(names).unionByName(revisits.select(names))
+
+
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
