@@ -7,12 +7,14 @@ bit-parallel distance decides it there.
 
 Defined results: a null or empty text and a null or blank item match nothing; an item that is shorter than PER_ERROR has no
 budget and must occur unchanged; items with the same normal form are each reported; repeated rows of docs are each
-reported; whole texts are searched. The items are read in blocks of at most BLOCK_ITEMS (hashed by id), so what is sent to
-executors is bounded however many there are. Columns of docs are kept by clean(); hits() reads doc_id and text only.
+reported; whole texts are searched. The items are cut into blocks of about BLOCK_ITEMS, files in the shared folder: the driver sees
+their number only, a task holds one block, and each block costs a pass over docs. Columns of docs are kept by clean(); hits() reads
+doc_id and text only.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh_path, publish, storage, table, written
 
 PER_ERROR = 16
 BLOCK_ITEMS = 20_000
@@ -117,19 +119,43 @@ class Matcher:
         return sorted((self.items[k][0], *hit) for k, hit in best.items())
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    items = benchmark.select("item_id", "text").where("text is not null")
-    n = -(-items.count() // BLOCK_ITEMS) or 1
-    # the hash deals evenly; at most one block is held at a time by the closures below
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()] for i in range(n)]
+def item_blocks(benchmark: DataFrame, most: int = BLOCK_ITEMS) -> tuple[str, int]:
+    """Writes the items to the shared folder, a file for each block of about so many, and returns the folder and the number of blocks."""
+    spark, items = benchmark.sparkSession, benchmark.select("item_id", "text").where("text is not null")
+    n = -(-items.count() // most)
+    folder = fresh_path(spark, "items")
+    store, at = storage(folder)
+    store.create_dir(at, recursive=True)
 
+    def keep(group: pa.Table) -> pa.Table:
+        block, (store, at) = group.column("block")[0].as_py(), storage(folder)
+        publish(store, at, f"{block}", json.dumps(sorted(zip(group.column("item_id").to_pylist(), group.column("text").to_pylist(), strict=True),
+                                                         key=lambda x: (x[0] is not None, x))).encode())
+        return pa.table({"block": pa.array([block], pa.int64())})
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    if n:
+        # items are dealt by their id and text, so that many rows of one id don't meet in one block
+        written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInArrow(keep, "block long"), "blocks")
+    return folder, n
+
+
+def matcher(folder: str, block: int) -> Matcher:
+    """Of the block's items, which a task reads from the shared folder; a block that no item fell into has no file."""
+    from pyarrow import fs
+
+    store, at = storage(folder)
+    if store.get_file_info(f"{at}/{block}").type == fs.FileType.NotFound:
+        return Matcher([])
+    return Matcher([tuple(x) for x in json.loads(store.open_input_stream(f"{at}/{block}").read())])
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, item_id, distance, match_end (in the normal form): one row for each item that a document holds."""
+    folder, n = item_blocks(benchmark, block_items)
 
     def search(block):
         def each(batches):
-            match = Matcher(block)
+            match = matcher(folder, block)
             for batch in batches:
                 out = [(d.as_py(), *h) for d, t in zip(batch.column(0), batch.column(1), strict=True) for h in match(t.as_py())]
                 if out:
@@ -138,18 +164,19 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, item_id long, distance long, match_end long")
 
-    found, *rest = [search(b) for b in item_blocks(benchmark)]
+    found, *rest = [search(b) for b in range(max(n, 1))]
     for other in rest:
         found = found.unionByName(other)
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of docs that hold no item, unchanged."""
-    for block in item_blocks(benchmark):
+    folder, n = item_blocks(benchmark, block_items)
+    for block in range(n):
 
         def holds(texts, block=block):
-            match = Matcher(block)
+            match = matcher(folder, block)
             for chunk in texts:
                 yield pa.array([bool(match(t.as_py(), first=True)) for t in chunk], pa.bool_())
 
