@@ -23,11 +23,13 @@ from .components import components
 
 THRESHOLD = 0.93
 #: Rows of the sample that centroids are fitted on, rows aimed at a cell and label, most cells, steps of k-means.
-SAMPLE, CELL, MAX_CELLS, STEPS = 20_000, 4096, 256, 8
+SAMPLE, CELL, MAX_CELLS, STEPS = 20_000, 4096, 1024, 8
 BLOCK = 2048
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one. Each is scaled by its largest component first, so no square over- or underflows."""
+    rows = rows / np.abs(rows).max(1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -87,18 +89,19 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         k = max(2, min(MAX_CELLS, -(-r.n // (CELL * r.labels))))
         models[r.dim] = centroids(sample, min(k, len(sample)))
     reach = (2 - 2 * threshold) ** 0.5 + 1e-9
+    # distances between centroids
+    spans = {d: np.sqrt(np.maximum((c**2).sum(1)[:, None] + (c**2).sum(1) - 2 * c @ c.T, 0)) + 1e-7 for d, c in models.items()}
 
     def deal(batches):
-        for batch in batches:
+        for batch in (b.slice(low, BLOCK) for b in batches for low in range(0, len(b), BLOCK)):
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
                 c = models[int(dim)]
                 sim = unit(matrix(own.column("embedding"))) @ c.T
                 home = sim.argmax(1)
-                apart = np.linalg.norm(c[home][:, None] - c[None], axis=2)
                 gap = sim[np.arange(len(home)), home][:, None] - sim
-                row, cell = np.nonzero(gap <= reach * apart)
+                row, cell = np.nonzero(gap <= reach * spans[int(dim)][home])
                 out = own.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [out.column(x) for x in ("label", "dim", "cid", "n", "embedding")] + [pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)],
