@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 LABELLED = 50_000
-BUCKETS, LENGTH, PRIOR, SEED = 1 << 16, 500.0, 1.0, 17
+BUCKETS, LENGTH, PRIOR, SEED = 1 << 16, 64.0, 1.0, 17
 #: A good document lost weighs as much as so many bad ones kept; bins of a step in finding the cut.
 LOSS, BINS = 4.0, 1024
 #: Word hashes that a worker keeps.
-CACHE = 500_000
+CACHE = 200_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -111,8 +111,9 @@ def weigher(docs: DataFrame, ratio: np.ndarray):
     return weight
 
 
-def gumbel(doc_id: Column, seed: int = SEED) -> Column:
-    u = (F.pmod(F.xxhash64(doc_id, F.lit(f"gumbel-{seed}")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+def gumbel(doc_id: Column, seed: Column | int = SEED) -> Column:
+    mark = F.concat(F.lit("gumbel-"), (seed if isinstance(seed, Column) else F.lit(seed)).cast("string"))
+    u = (F.pmod(F.xxhash64(doc_id, mark), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
@@ -153,11 +154,11 @@ def cut(keys: DataFrame, k: int) -> float:
     return low
 
 
-def scored(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[DataFrame, float, object]:
+def scored(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seed: int = SEED) -> tuple[DataFrame, float, object]:
     """(doc_id, weight, key of each row, the cut, the weighing UDF)."""
     known = labelled(labels, limit)
     weight = weigher(docs, fitted(docs, known))
-    keys = written(docs.select("doc_id", weight("text").alias("weight")).withColumn("key", F.col("weight") + gumbel(F.col("doc_id"))), "weights")
+    keys = written(docs.select("doc_id", weight("text").alias("weight")).withColumn("key", F.col("weight") + gumbel(F.col("doc_id"), seed)), "weights")
     spark = docs.sparkSession
     held = [(i, good) for i, (good, fit) in known.items() if not fit]
     least = -math.inf
@@ -169,10 +170,10 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[D
     return keys, cut(keys.where("key is not null"), k) if k else math.inf, weight
 
 
-def taken(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
+def taken(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seed: int = SEED) -> DataFrame:
     """The rows of docs that the sample takes, unchanged."""
-    _, least, weight = scored(docs, labels, limit)
-    return docs.where(F.coalesce(weight("text") + gumbel(F.col("doc_id")) >= least, F.lit(False)))
+    _, least, weight = scored(docs, labels, limit, seed)
+    return docs.where(F.coalesce(weight("text") + gumbel(F.col("doc_id"), seed) >= least, F.lit(False)))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
