@@ -22,79 +22,40 @@ from .common import table
 #: (verdict, host, path); fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BUCKETS, GRAMS, EPOCHS, RATE, RIDGE = 1 << 14, (3, 4, 5), 300, 0.5, 1e-3
-#: Hosts whose score a worker keeps.
+#: Hosts whose score a task keeps.
 CACHE = 100_000
 
-#: Labelled URLs: those to keep, then those to block.
+#: The labelled table: site names to keep, then site names to block. Names, not paths, tell them apart: both get the same endings.
 KEEP = """
-https://www.city-library.example.com/en/catalogue/history
-https://museum.example.net/fr/collection/4711
-https://blog.garden-notes.example.org/2019/04/tomatoes.html
-https://www.university.example.com/research/physics/papers
-https://docs.language.example.net/tutorial/introduction.html
-https://news.valley-times.example.org/local/council-meeting
-https://encyclopedia.example.com/wiki/River_delta
-https://www.recipes.example.net/bread/rye-sourdough.html
-https://health.example.org/advice/sleep
-https://weather.example.com/en/forecast/week
-https://m.cityguide.example.net/en/walks/harbour
-https://www.courts.example.org/opinions/2018/114
-https://forum.woodwork.example.com/thread/joints-and-glue
-https://www.theatre.example.net/de/spielplan
-https://archive.example.org/details/letters-1854
-https://journal.geology.example.com/article/basalt
-https://www.parliament.example.net/minutes/2020-03-11
-https://school.example.org/en/maths/fractions
-https://blog.trainspotting.example.com/en/steam
-https://www.opera.example.net/fr/saison/2021
-https://kitchen.example.org/en/soups/lentil.html
-https://www.birds.example.com/species/heron
-https://manual.editor.example.net/en/search-and-replace.html
-https://stories.example.org/short/the-lighthouse
-https://www.farming.example.com/en/soil/crop-rotation
-https://astronomy.example.net/lectures/stars?page=2
-https://www.monument.example.org/es/visita
-https://law.example.com/review/volume/12
-https://choir.example.net/en/concerts
-https://www.statistics.example.org/en/tables/population.html
+library museum garden-notes university language-docs valley-times encyclopedia recipes health-advice weather cityguide courts woodwork theatre archive
+geology parliament school trainspotting opera kitchen birds editor-manual stories farming astronomy monument law-review choir statistics
+harbour mountain-rescue translations bicycle poetry chemistry river-watch townhall lighthouse orchestra history-society philosophy carpentry
+volunteers beekeeping railway pottery aquarium gazette thesaurus physics-lectures seaside knitting folk-songs market-square botany chess-club
+nursery observatory planetarium rowing vineyard windmill ceramics lexicon genealogy
 """.split()
 BLOCK = """
-http://ads-track.example.com/click?id=991
-https://m.ads-track.example.net/en/banner
-http://adserver.example.org/serve/728x90
-https://track.pixel-ads.example.com/impression
-http://www.casino-bonus.example.net/free-spins
-https://best-casino.example.org/jackpot/win-now
-http://cheap-pills.example.com/buy/viagra-online
-https://xxx-cams.example.net/live/sex
-http://adult-tube.example.org/porn/video/1
-https://hot-xxx.example.com/sex/free-porn
-http://free-download-crack.example.net/keygen/setup.exe
-https://warez.example.org/crack/serial-key
-http://win-prize.example.com/claim-your-prize
-https://payday-loan.example.net/apply-now/fast-cash
-http://poker-slots.example.org/bonus/deposit
-https://betting-odds.example.com/free-bet/bonus
-http://spam-offers.example.net/click/offer?aff=7
-https://affiliate-click.example.org/redirect?aff=55
-http://malware-host.example.com/update/flash.exe
-https://phish-login.example.net/verify-account/login.php
-http://seo-links.example.org/buy-backlinks
-https://doorway.example.com/cheap-replica-watches
-http://replica-bags.example.net/buy-cheap/discount
-https://popup-ads.example.org/ads/pop?zone=3
-http://telemetry-track.example.com/beacon/track.gif
-https://tracker.ads.example.net/pixel.gif
-http://escort-service.example.org/sex/dating
-https://crypto-double.example.com/free-bitcoin/claim-now
-http://miracle-diet.example.net/buy/weight-loss-pills
-https://slots-online.example.org/casino/free-spins
+casino-bonus best-casino casino-royal live-casino jackpot-win win-now-prizes big-win-slots winners-claim free-spins bonus-spins poker-slots slots-online
+bets-online betting-odds sports-bets free-bet-bonus bet-and-win roulette-free free-chips lottery-winner free-prizes free-money-now
+ads-server adserver banner-ads click-ads popup-ads ads-network track-pixel tracker-hub click-track ad-tracking telemetry-track link-track
+spam-offers spam-mailer bulk-spam comment-spam spam-links link-farm content-farm farm-links seo-links doorway-farm scraper-farm
+cheap-meds pills-online buy-pills diet-pills cheap-viagra cheap-replica cheap-watches pharma-cheap weight-loss-pills cheap-loans
+adult-tube adult-cams adult-dating adult-videos xxx-cams hot-xxx x-rated porn-tube sex-chat escort-sex
+warez-crack keygen-crack malware-load phish-login payday-loan crypto-double
 """.split()
+#: Syllables of invented names, kept too: a host of no known word isn't junk for that.
+SYLLABLES = "th er on an in en re es or at ng ly nd ed st ha ti it sh wh ou he nt ea ble tion ing".split()
+PREFIXES, TLDS, LANGUAGES, ENDINGS = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es"), ("", "/", ".html", "?page=2", "#top")
 
 
 def labelled() -> list[tuple[str, int]]:
-    """(url, 1 to block) in a fixed order that alternates between the labels."""
-    return [x for pair in zip([(u, 0) for u in KEEP], [(u, 1) for u in BLOCK], strict=True) for x in pair]
+    """(url, 1 to block) in a fixed order that alternates between the labels: each name to block twice, and as many to keep."""
+    n = len(SYLLABLES)
+    invented = [SYLLABLES[i % n] + SYLLABLES[(3 * i + i // n + 5) % n] + SYLLABLES[(7 * i + 2) % n] * (i % 3 > 0) for i in range(2 * len(BLOCK) - len(KEEP))]
+    out = []
+    for i, names in enumerate(zip(KEEP + invented, BLOCK + BLOCK, strict=True)):
+        tail = f"{TLDS[i % 3]}/{LANGUAGES[i // 3 % 4]}/{37 * i + 101}{ENDINGS[i % 5]}"
+        out += [(f"https://{PREFIXES[(i + k) % 4]}{name}.example.{tail}", k) for k, name in enumerate(names)]
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -142,7 +103,7 @@ class UrlModel:
         row = np.repeat(np.arange(len(x)), [len(v) for v in x])
         col = np.concatenate(x) if x else np.zeros(0, np.int64)
         scale = 1 / np.sqrt(np.maximum([len(v) for v in x], 1))
-        self.weights, self.bias = np.zeros(BUCKETS), 0.0
+        self.weights, self.bias, self.hosts = np.zeros(BUCKETS), 0.0, {}
         for _ in range(EPOCHS):
             z = np.bincount(row, self.weights[col], len(x)) * scale + self.bias
             gap = 1 / (1 + np.exp(-z)) - y
@@ -150,15 +111,14 @@ class UrlModel:
             self.weights -= RATE * 10 * (grad + RIDGE * self.weights)
             self.bias -= RATE * float(gap.mean()) if len(x) else 0.0
 
-    def score(self, host: str, path: str, cache: dict | None = None) -> float:
+    def score(self, host: str, path: str) -> float:
         """Log odds that the url is to be blocked."""
-        cache = {} if cache is None else cache
-        if host not in cache:
-            if len(cache) >= CACHE:
-                cache.clear()
+        if host not in self.hosts:
+            if len(self.hosts) >= CACHE:
+                self.hosts.clear()
             own = grams("h", host)
-            cache[host] = float(self.weights[own].sum()), len(own)
-        total, n = cache[host]
+            self.hosts[host] = float(self.weights[own].sum()), len(own)
+        total, n = self.hosts[host]
         own = grams("p", path)
         return (total + float(self.weights[own].sum())) / max(n + len(own), 1) ** 0.5 + self.bias
 
@@ -169,8 +129,7 @@ def judged(pages: DataFrame, rules=RULES, rows: list[tuple[str, int]] | None = N
 
     @F.pandas_udf("double")
     def score(host: pd.Series, path: pd.Series) -> pd.Series:
-        cache: dict = {}
-        return pd.Series([model.score(h, p, cache) for h, p in zip(host, path, strict=True)], dtype=float)
+        return pd.Series([model.score(h, p) for h, p in zip(host, path, strict=True)], dtype=float)
 
     split = pages.drop("host", "path", "rule", "score", "verdict").withColumns(
         {"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
