@@ -4,7 +4,8 @@ Each text's set of word shingles is hashed once; its sketch is the SKETCH smalle
 Texts with equal sets are one class. Inverted lists of the retained values give candidate pairs: values that one class alone
 retains are dropped, and of the rest each class enters the lists of its rarest values only, as many as a partner at the
 threshold can't miss all of (prefix filtering; certain while sets are small enough to be retained whole by any partner,
-otherwise missed with a chance under 3e-7 for a pair exactly at the threshold). Overlaps in the lists choose each class's
+otherwise missed with a chance under 3e-7 for a pair exactly at the threshold). Pairs whose sizes, shared lists and
+unlisted rests can't come to the threshold are dropped before any set is read. Overlaps in the lists choose each class's
 best leader; pairs are filtered by the estimate of the union's sketch and then verified on the full sets. Rounds of such
 stars join most of a group with a pair for each member, and lists within one component are dropped. What still lies in different
 components within a list is then compared: in lists of up to SHORT classes pair by pair; longer lists are gathered under the
@@ -32,7 +33,7 @@ from .common import discard, fresh_path, publish, shuffle_partitions, storage, t
 from .components import components
 from .suffix_dedup import (LAST, SHAPE, TOLD, borders, chunk_data, packed, packed_hashes, rows_of, split, unpacked, unpacked_hashes)
 
-SKETCH = 256
+SKETCH = 512
 PERCENT = 80
 #: Standard deviations that overlaps and estimates may fall short by.
 SIGMAS = 5.0
@@ -123,37 +124,39 @@ def retained(packs: DataFrame, ranges: int, folder: str) -> DataFrame:
 
 
 def frequencies(group: pa.Table) -> pa.Table:
-    """Tells each pack how often the values of a range occur that aren't alone."""
+    """Tells each pack how often its values of a range occur, in the order in which it has sent them."""
     parts = [unpacked_hashes(x.as_py()) for x in group.column("data")]
     values, code = (np.concatenate(x) for x in zip(*parts, strict=True))
     _, place = np.unique(values, return_inverse=True)
     total = np.bincount(place, code)[place].astype(np.uint32)
-    ends, out = np.cumsum([len(v) for v, _ in parts]), []
-    for c, (v, _), end in zip(group.column("chunk").to_pylist(), parts, ends.tolist(), strict=True):
-        n = total[end - len(v) : end]
-        if (n > 1).any():
-            out.append((TOLD, 0, c, packed(value=v[n > 1], n=n[n > 1])))
-    return rows_of(out)
+    ends, at = np.cumsum([len(v) for v, _ in parts]), group.column("place")[0].as_py()
+    return rows_of([(TOLD, at, c, packed(n=total[end - len(v) : end]))
+                    for c, (v, _), end in zip(group.column("chunk").to_pylist(), parts, ends.tolist(), strict=True)])
 
 
 def rarest(group: pa.Table, sketch: int, percent: int, folder: str) -> pa.Table:
-    """doc_id, value: the lists that each document of a pack enters."""
-    told = [unpacked(x.as_py()) for x in group.column("data")]
+    """doc_id, value, rest: the lists that each document of a pack enters, and how many of its values that aren't alone come from there on
+    in the order of rareness, so many at most it shares with a partner that has none of those before."""
     x = chunk_data(folder, group.column("chunk")[0].as_py())
-    value, often = (np.concatenate([d[c] for d in told]) for c in ("value", "n"))
-    order = np.argsort(value)
-    value, often = value[order], often[order]
+    told = sorted(zip(group.column("place").to_pylist(), group.column("data"), strict=True), key=lambda t: t[0])
+    value, often = np.unique(x["sketch"].view(np.uint64)), np.concatenate([unpacked(d.as_py())["n"] for _, d in told])
     kept = np.minimum(x["n"], sketch)
     doc, own = np.repeat(np.arange(len(kept)), kept), x["sketch"].view(np.uint64)
-    at = np.minimum(np.searchsorted(value, own), len(value) - 1)
-    shared = value[at] == own
-    doc, own, often = doc[shared], own[shared], often[at[shared]]
+    often = often[np.searchsorted(value, own)]
+    shared = often > 1
+    doc, own, often = doc[shared], own[shared], often[shared]
     order = np.lexsort((own, often, doc))
     doc, own = doc[order], own[order]
     n = np.bincount(doc, minlength=len(kept))
-    rank = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    enter = (rank < (n - least_overlap(x["n"], sketch, percent) + 1)[doc]) & (x["ids"][doc] != LAST)
-    return pa.table({"doc_id": x["ids"][doc[enter]], "value": own[enter].view(np.int64)})
+    rest = n[doc] - np.arange(len(doc)) + np.repeat(np.cumsum(n) - n, n)
+    enter = (rest >= least_overlap(x["n"], sketch, percent)[doc]) & (x["ids"][doc] != LAST)
+    out = {"doc_id": x["ids"][doc[enter]], "value": own[enter].view(np.int64), "rest": rest[enter].astype(np.int32)}
+    if len(np.unique(x["ids"])) < len(x["ids"]):  # a document that is repeated in the pack enters a list once
+        by = np.lexsort(tuple(out.values()))
+        out = {k: v[by] for k, v in out.items()}
+        new = np.concatenate([[True], np.any([v[1:] != v[:-1] for v in out.values()], 0)])[: len(by)]
+        out = {k: v[new] for k, v in out.items()}
+    return pa.table(out)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -169,8 +172,18 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def alike(a: Column, b: Column, percent: int) -> Column:
-    """Whether two set sizes can be those of near sets."""
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+    """Whether the set sizes n of two entries allow the threshold."""
+    return (a["n"] * 100 >= b["n"] * percent) & (b["n"] * 100 >= a["n"] * percent)
+
+
+def enough(a: Column, b: Column, shared: Column, sketch: int, percent: int) -> Column:
+    """Whether two entries (n, rest) of the first list that both sets are in, of so many shared lists, allow the threshold: they share
+    at most the lower rest in all, and at most their shared lists and what the longer unlisted rest has. Only sets that are retained
+    whole are judged so."""
+    need, t = (a["n"] + b["n"]) * percent / (100 + percent), percent / 100
+    unlisted = F.greatest(*[F.when(n * 100 <= sketch * percent, F.ceil(n * percent / 100)).otherwise(F.ceil(n * t - SIGMAS * F.sqrt(n * t * (1 - t))))
+                            for n in (a["n"], b["n"])])
+    return (F.greatest(a["n"], b["n"]) > sketch) | (F.least(a["rest"], b["rest"]) >= need) & (shared + unlisted >= need)
 
 
 def near(a: Column, b: Column, sketch: int, percent: int) -> Column:
@@ -281,9 +294,9 @@ def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SK
     classes = filled.groupBy("sig").agg(F.min("doc_id").alias("cid"))
     members = written(filled.join(classes, "sig").select("doc_id", "n", "cid"), "members")
     told = retained(packs, ranges, folder).groupBy("place").applyInArrow(frequencies, SHAPE)
-    entered = told.groupBy("chunk").applyInArrow(lambda g: rarest(g, sketch, percent, folder), "doc_id long, value long")
+    entered = told.groupBy("chunk").applyInArrow(lambda g: rarest(g, sketch, percent, folder), "doc_id long, value long, rest int")
     firsts = members.where("doc_id = cid").select("doc_id", "n").distinct()  # one document stands for its class
-    lists = written(entered.join(firsts.hint("merge"), "doc_id").select("value", F.col("doc_id").alias("cid"), "n").distinct(), "lists")
+    lists = written(entered.join(firsts.hint("merge"), "doc_id").select("value", F.col("doc_id").alias("cid"), "n", "rest"), "lists")
     # rows of one doc_id are tied whatever their texts
     spread = members.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("most")).where("b < most")
     edges = written(members.join(spread, "doc_id").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "near-edges")
@@ -310,24 +323,28 @@ def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SK
     for turn in range(STAR_ROUNDS):
         placed = rooted()
         order = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("cid", F.lit(turn)))
-        leads = placed.groupBy("value").agg(F.min_by(F.struct("cid", "n", "root"), order).alias("lead"), F.min("root").alias("low"),
+        leads = placed.groupBy("value").agg(F.min_by(F.struct("cid", "n", "root", "rest"), order).alias("lead"), F.min("root").alias("low"),
                                             F.max("root").alias("high")).where("low < high").select("value", "lead")
         # a list within one component has no more to say, so what is left are the lists of two and more
         opened, old = written(placed.join(leads, "value"), "opened"), lists
-        lists = opened.select("value", "cid", "n")
+        lists = opened.select("value", "cid", "n", "rest")
         if turn == 0:
             wanted = written(lists.select("cid").distinct(), "wanted")
             # beyond the limit both sides are shuffled; until then the texts stay where they are
             few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
             # bucketed by class, so that pairs come to the sets and not the sets to the pairs
-            (full_sets(docs.join(few, docs["doc_id"] == few["cid"], "left_semi"), width).distinct().repartition(n, "cid")
+            (full_sets(docs.join(few, docs["doc_id"] == few["cid"], "left_semi"), width).repartition(n, "cid").distinct()
              .write.bucketBy(n, "cid").sortBy("cid").format("parquet").option("compression", "none").saveAsTable(name))
             sets = spark.table(name)
             discard(wanted, old)
         else:
             discard(last)
-        pairs = (opened.where((F.col("root") != F.col("lead.root")) & alike(F.col("n"), F.col("lead.n"), percent))
-                 .groupBy(F.col("cid").alias("a"), F.col("lead.cid").alias("b")).agg(F.count(F.lit(1)).alias("overlap"))
+        # a hint of what is worth a look: half the lists that a near pair shares have this lead
+        mine = F.struct("n", "rest")
+        pairs = (opened.where((F.col("root") != F.col("lead.root")) & alike(mine, F.col("lead"), percent))
+                 .groupBy(F.col("cid").alias("a"), F.col("lead.cid").alias("b"))
+                 .agg(F.count(F.lit(1)).alias("overlap"), F.max_by(mine, "rest").alias("x"), F.max_by("lead", "rest").alias("y"))
+                 .where(enough(F.col("x"), F.col("y"), F.col("overlap") * 2, sketch, percent))
                  .groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b")))
         joined_up(verified(pairs))
         last = opened
@@ -337,11 +354,14 @@ def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SK
     heads = (counts.groupBy("value").agg(F.sum("rows").alias("size"), F.min_by("root", F.struct(-F.col("rows"), "root")).alias("head"),
                                          F.count(F.lit(1)).alias("roots")).where("roots > 1").select("value", "size", "head"))
     opened = written(placed.join(heads, "value"), "opened")
-    short = opened.where(F.col("size") <= SHORT)
-    other = short.select("value", F.col("cid").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"))
-    pairs = (short.select("value", F.col("cid").alias("a"), "root", "n")
-             .join(other, (short["value"] == other["value"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("b_root"))
-                   & alike(F.col("n"), F.col("b_n"), percent)).select("a", "b").distinct())
+    short = opened.where(F.col("size") <= SHORT).select("value", F.struct("cid", "root", "n", "rest").alias("x"))
+    x, y = F.col("x"), F.col("y")
+    # a pair that also shares a long list is compared in its blocks
+    pairs = (short.join(short.withColumnRenamed("x", "y"), "value")
+             .where((x["cid"] < y["cid"]) & (x["root"] != y["root"]) & alike(x, y, percent))
+             .groupBy(x["cid"].alias("a"), y["cid"].alias("b"))
+             .agg(F.count(F.lit(1)).alias("shared"), F.max_by("x", x["rest"]).alias("x"), F.max_by("y", x["rest"]).alias("y"))
+             .where(enough(x, y, F.col("shared"), sketch, percent)).select("a", "b"))
     # the lists of a large group have nearly the same members, and mostly one component: its members' rests are compared once, not in each
     rest = written(opened.where(F.col("size") > SHORT).groupBy("head", "cid").agg(F.max("n").alias("n"), F.min("root").alias("root")), "rest")
     links = compared_blocks(rest, sets, percent)
