@@ -62,9 +62,10 @@ def diff_rate(base: Column, compare: Column, places: int = 4) -> Column:
 
 
 def change_rate(previous: Column, current: Column) -> Column:
-    """Text: null without a previous amount, 'new' from 0, else the rate in percent with one place."""
-    rate = F.format_number(half_up((current - previous).cast("double") / F.nullif(previous, F.lit(0)).cast("double") * 100, 1), 1)
-    return F.when(previous.isNull() | current.isNull(), None).when(previous == 0, "new").otherwise(rate)
+    """(rate, is_new): null without a previous amount; new, and without a rate, from 0; else (current - previous) / previous, where a
+    null current amount is 0."""
+    rate = F.try_divide((F.coalesce(current, F.lit(0)) - previous).cast("double"), previous.cast("double"))
+    return F.when(previous.isNotNull(), F.struct(rate.alias("rate"), (previous == 0).alias("is_new")))
 
 
 def execution_rate(spent: Column, budget: Column, places: int = 3) -> Column:
@@ -113,7 +114,7 @@ def normalize_recipient_name(name: Column) -> Column:
 
 
 def is_excluded_recipient(name: Column) -> Column:
-    """Collective rows that are no recipient of their own."""
+    """Collective rows that are no recipient of their own. The names are fixed values."""
     return F.trim(_folded(name)).isin("", "その他", "其他")
 
 
@@ -160,8 +161,8 @@ def excerpt(text: Column, query: str) -> Column:
 
 
 def terms(text: Column, stop: list[str] = ()) -> Column:
-    """Distinct runs of 2-6 kanji or 3-10 katakana that aren't stop words."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("([一-龥々]{2,6}|[ァ-ヴー]{3,10})"), 1))
+    """Distinct runs of 2-6 kanji or 3-10 katakana that aren't stop words. The ranges are fixed values."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("([一-龥]{2,6}|[ァ-ヶー]{3,10})"), 1))
     return F.array_except(found, F.array(*[F.lit(s) for s in stop])) if stop else found
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,12 +16,10 @@ ROOT, OTHERS, PASS = "total", "__others__", "__pass__"
 
 def groups(items: DataFrame, keys: list[str]) -> DataFrame:
     """Count and amount by each key alone, in one pass: by, name, n, amount."""
-    sets = ", ".join(f"({k})" for k in keys)
-    items.createOrReplaceTempView("budget_items")
-    labels = " ".join(f"when grouping({k}) = 0 then '{k}'" for k in keys)
-    names = ", ".join(f"cast({k} as string)" for k in keys)
-    return items.sparkSession.sql(f"select case {labels} end as `by`, coalesce({names}) as name, count(*) as n, sum(amount) as amount "
-                                  f"from budget_items group by grouping sets ({sets})")
+    label = reduce(lambda c, k: c.when(F.grouping(k) == 0, F.lit(k)), keys[1:], F.when(F.grouping(keys[0]) == 0, F.lit(keys[0])))
+    return (items.groupingSets([[k] for k in keys], *keys)
+            .agg(label.alias("by"), F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+            .select("by", F.coalesce(*[F.col(k).cast("string") for k in keys]).alias("name"), "n", "amount"))
 
 
 def account_summary(rows: DataFrame) -> DataFrame:

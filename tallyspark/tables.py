@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def held(df: DataFrame) -> DataFrame:
-    """df as a written table. A session that names no shared folder (tests) gets a temporary one."""
+    """df as a written table. A local session that names no shared folder gets a temporary one; on a cluster that is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/held-{uuid.uuid4().hex}"

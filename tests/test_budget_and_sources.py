@@ -52,7 +52,6 @@ def test_recipient_resolution(spark):
     rows = spark.createDataFrame([("㈱甲", a), ("株式会社甲", ""), ("乙", "")], "name string, number string")
     register = spark.createDataFrame([(a, "株式会社甲"), (b, "丙")], "number string, name string")
     merged, supplement = recipients.resolution(rows, register)
-    assert [r.key for r in recipients.resolved_keys(rows, merged, supplement).orderBy("name").collect()] == ["name:乙", a, a] or True
     keys = {r.name: r.key for r in recipients.resolved_keys(rows, merged, supplement).collect()}
     assert keys == {"㈱甲": a, "株式会社甲": a, "乙": "name:乙"}
 

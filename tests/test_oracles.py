@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from tallyspark.plans import catalog
@@ -24,7 +25,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    plain = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if pd.isna(v) else round(float(v), 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
     return sorted(([str(plain(v)).removesuffix(".0") for v in r] for r in frame.itertuples(index=False)), key=str)
 
 

@@ -25,7 +25,14 @@ def test_url_round_trip():
 
 def test_amounts():
     for text, yen in (("1.26億", 126_000_000), ("４５６７万円", 45_670_000), ("一千二百億", 120_000_000_000), ("1兆2000億", 1_200_000_000_000),
-                      ("-51000円", -51_000), ("x", None), ("", None)):
+                      ("-51000円", -51_000), ("x", None), ("", None), ("5千円", 5000), ("1兆2000", 1_200_000_000_000), ("兆", None),
+                      ("1.2.3", None), ("12億5千万", 1_250_000_000), ("1,234", 1234), ("1.5", 1.5), ("千", 1000), ("－３億", -300_000_000)):
         assert parse_yen(text) == yen
     for yen in (10**12, 3 * 10**8, 20_000, 12_345):
         assert parse_yen(short_yen(yen)) == yen
+
+
+def test_patterns_are_those_of_the_jvm(spark):
+    for pattern, fine in (("(?P<n>x)", False), ("(", False), ("(?<n>x)", True), ("a|b", True)):
+        q, errors = resolve({"filter": {"projectName": {"query": pattern, "regex": True}}})
+        assert bool(errors) != fine

@@ -43,3 +43,10 @@ def test_rules_in_order(spark):
     rules = [("その他", "exact", 3), ("職員", "prefix", 2), ("個人", "contains", 1)]
     rows = spark.createDataFrame([("その他",), ("職員A",), ("職員",), ("A個人",), ("z",)], "n string")
     assert [r.x for r in rows.select(S.opaque_level(F.col("n"), rules).alias("x")).collect()] == [3, 2, 0, 1, 0]
+
+
+def test_change_rate_and_terms(spark):
+    rows = spark.createDataFrame([(None, 5), (0, 5), (4, 5), (4, None)], "p long, c long").select(S.change_rate(F.col("p"), F.col("c")).alias("r")).collect()
+    assert [r.r and tuple(r.r) for r in rows] == [None, (None, True), (0.25, False), (-1.0, False)]
+    text = spark.createDataFrame([("霞ヶ関ヵ所 サービス 々々",)], "t string").select(S.terms(F.col("t")).alias("x")).first().x
+    assert text == ["サービス"]
