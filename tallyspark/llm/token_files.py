@@ -30,7 +30,7 @@ from .common import fresh_path, publish, shuffle_partitions, storage, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Encoded pieces of one of the two generations that a worker keeps, and the bytes of text of a batch.
-CACHE, BATCH = 400_000, 8 << 20
+CACHE, BATCH = 150_000, 2 << 20
 #: Ids of a shard, after which the next one begins.
 ROLL_IDS = 1 << 26
 NO_ID = -(2**63)
