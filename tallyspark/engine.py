@@ -44,7 +44,11 @@ class Engine:
 
     def topn(self, query: dict | str) -> windows.Windowed:
         q = self.parse(query)
-        return windows.windowed(self.filtered(query), q.view, recipient_filter=bool(q.filter.recipient_name or q.filter.spending))
+        g = self.filtered(query)
+        return windows.windowed(g, windows.clamped(g, q.view), recipient_filter=bool(q.filter.recipient_name))
+
+    def topn_counts(self, query: dict | str) -> DataFrame:
+        return windows.totals(self.topn(query))
 
     def compare(self, query: dict | str, base: str, compare: str) -> DataFrame:
         return summary.compare_projects(self.filtered(query, base), self.filtered(query, compare))

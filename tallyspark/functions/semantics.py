@@ -227,3 +227,12 @@ def opaque_level(name: Column, rules: list[tuple[str, str, int]]) -> Column:
     for pattern, kind, level in rules:
         out = (F.when if out is None else out.when)(tests[kind](pattern), F.lit(level))
     return F.lit(0) if out is None else F.coalesce(out, F.lit(0))
+
+
+#: Words of a flow's note that tell its kind.
+NOTE_WORDS = {"reference": "参考", "transfer": "移替", "institutional": "融資|政府保証借入|利子補給"}
+
+
+def note_kinds(note: Column) -> dict[str, Column]:
+    """reference, transfer, institutional: what a note says of its flow; false without a note."""
+    return {kind: F.coalesce(note.rlike(words), F.lit(False)) for kind, words in NOTE_WORDS.items()}

@@ -124,3 +124,34 @@ def indirect_costs(costs: DataFrame) -> DataFrame:
     """Per project: costs that the state bears itself and that hang at no block; negative amounts count 0."""
     return (costs.where("not coalesce(attached, false)").groupBy("pid")
             .agg(F.sum(F.greatest("amount", F.lit(0))).alias("amount"), F.count(F.lit(1)).alias("n")))
+
+
+# ---- blocks, their recipients and expenses ------------------------------------------------------------------------------
+
+
+def block_heads(rows: DataFrame) -> DataFrame:
+    """rows(pid, block, name, amount, role, line_no) -> a row a block: the first name and role that aren't blank and the first amount that
+    isn't 0, in file order; blank and 0 where there is none."""
+    first = lambda c, good: F.min_by(F.when(good, F.col(c)), F.when(good, F.struct("line_no", c)))
+    text = lambda c: F.coalesce(first(c, F.trim(c) != ""), F.lit("")).alias(c)
+    return rows.groupBy("pid", "block").agg(text("name"), F.coalesce(first("amount", F.col("amount") != 0), F.lit(0)).alias("amount"), text("role"))
+
+
+def block_recipients(rows: DataFrame) -> DataFrame:
+    """rows(pid, block, recipient, number, total, contract, line_no) -> a row a recipient of a block. total is repeated on each of its rows, so the
+    largest counts, not the sum; contracts are distinct, in file order. Rows without a recipient are headings of blocks and don't count."""
+    rows = rows.where("trim(recipient) <> ''").withColumn("number", F.trim(F.coalesce("number", F.lit(""))))
+    key = ["pid", "block", "recipient", "number"]
+    contract = rows.where("trim(contract) <> ''").groupBy(*key, "contract").agg(F.min("line_no").alias("line_no"))
+    contracts = contract.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "contract"))), lambda x: x["contract"]).alias("contracts"))
+    return (rows.groupBy(*key).agg(F.greatest(F.coalesce(F.max("total"), F.lit(0)), F.lit(0)).alias("amount")).join(contracts, key, "left")
+            .withColumn("contracts", F.coalesce("contracts", F.array().cast("array<string>"))))
+
+
+def recipient_expenses(recipients: DataFrame, expenses: DataFrame) -> DataFrame:
+    """expenses(pid, block, recipient, number, category, purpose, amount) of the recipients of block_recipients(): number and sum of each one's
+    expenses. An expense without that recipient in that block, or without category and purpose, doesn't count."""
+    key = ["pid", "block", "recipient", "number"]
+    named = expenses.where("trim(coalesce(category, '')) <> '' or trim(coalesce(purpose, '')) <> ''").withColumn("number", F.trim(F.coalesce("number", F.lit(""))))
+    sums = named.groupBy(*key).agg(F.count(F.lit(1)).alias("expenses"), F.sum("amount").alias("expense_amount"))
+    return recipients.join(sums, key, "left").fillna(0, ["expenses", "expense_amount"])

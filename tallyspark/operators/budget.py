@@ -56,6 +56,12 @@ def reconciled(sent: DataFrame, received: DataFrame) -> DataFrame:
     return both.withColumn("difference", F.col("sent") - F.col("received"))
 
 
+def differing(ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys whose sums differ between two forms of one table, as a CSV and the JSON made of it; what one of them lacks is missing, not 0."""
+    total = lambda df, name: df.groupBy(*keys).agg(F.sum(value).alias(name))
+    return total(ours, "ours").join(total(theirs, "theirs"), keys, "full_outer").where(~F.col("ours").eqNullSafe(F.col("theirs")))
+
+
 def funding(accounts: DataFrame) -> DataFrame:
     """accounts(account, revenue, transfer_in, sent_by_general) -> from the general account, from others, own."""
     general = F.least("sent_by_general", "transfer_in")

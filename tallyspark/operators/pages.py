@@ -184,3 +184,22 @@ def legend(rows: DataFrame, key: str, value: str, n: int = 10, slots: int = 20)
            .select(F.row_number().over(order).alias("slot"), "key", "n", "value", F.lit(1).cast("long").alias("members")))
     rest = sums.join(F.broadcast(own.select("key")), "key", "left_anti").agg(F.sum("n").alias("n"), F.sum("value").alias("value"), F.count(F.lit(1)).alias("members"))
     return own.unionByName(rest.where("members > 0").select((F.lit(slots) + 1).alias("slot"), F.lit(OTHER_KEY).alias("key"), "n", "value", "members"))
+
+
+def metric_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """A row a metric that has values: n, mean, element n // 2 of the sorted values, least and largest. The window is over one row a value."""
+    from pyspark.sql.window import Window
+
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select("x.*")
+    counted = long.where("v is not null").groupBy("metric", "v").agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy("metric")
+    ranked = counted.withColumns({"upto": F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(whole)})
+    return ranked.groupBy("metric").agg(F.max("n").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
+                                        F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias("median"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
+def map_points(points: DataFrame, quality: DataFrame, policy: DataFrame) -> DataFrame:
+    """points(pid, x, y, cluster) that have a row in quality(pid, name, ministry, budget, executed, category), with the scores of
+    policy(pid, overall, proportionality, necessity, category, recommendation) where there are any; the policy's category goes first."""
+    p = policy.select("pid", "overall", "proportionality", "necessity", F.col("category").alias("__category"), "recommendation")
+    return points.join(quality, "pid").join(p, "pid", "left").withColumn("category", F.coalesce("__category", "category")).drop("__category")

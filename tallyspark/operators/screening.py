@@ -32,6 +32,20 @@ def project_stats(rows: DataFrame, direct_blocks: DataFrame | None = None) -> Da
         F.sum(F.coalesce("amount", F.lit(0))).alias("amount"))
 
 
+def row_status(rows: DataFrame, known: DataFrame, government: DataFrame, supplement: DataFrame) -> DataFrame:
+    """rows(recipient, number, verified) plus status. known(name, good) is the strict dictionary, government(name) and supplement(name) are asked
+    for names that it lists as bad. A number that the register confirms rescues a name that no list knows; valid needs a number. Names are unique in
+    each list; the lists are joined, and adaptive execution broadcasts those that are small."""
+    name = lambda df, flag, value: df.select(F.col("name").alias("recipient"), value.alias(flag))
+    joined = (rows.join(name(known, "__good", F.col("good")), "recipient", "left").join(name(government, "__gov", F.lit(True)), "recipient", "left")
+              .join(name(supplement, "__supp", F.lit(True)), "recipient", "left"))
+    numbered, verified = F.trim(F.coalesce("number", F.lit(""))) != "", F.coalesce("verified", F.lit(False))
+    status = (F.when(F.col("__good").isNull(), F.when(verified, "cn").otherwise("unknown"))
+              .when(F.col("__good"), F.when(numbered, "valid").otherwise("invalid"))
+              .when(F.col("__gov"), "gov").when(F.col("__supp"), "supp").when(verified, "cn").otherwise("invalid"))
+    return joined.withColumn("status", status).drop("__good", "__gov", "__supp")
+
+
 def inconsistent_blocks(blocks: DataFrame, tolerance: float = 0.2) -> DataFrame:
     """Per project: blocks whose recipients' sum is off the declared amount by more than the tolerance. blocks(pid, block, declared, total)."""
     off = (F.col("declared") > 0) & (F.abs(F.col("declared") - F.coalesce("total", F.lit(0))).cast("double") / F.nullif("declared", F.lit(0)) > tolerance)

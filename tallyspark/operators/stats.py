@@ -170,3 +170,49 @@ def density(points: DataFrame, group: str, cell: float, sigma: float = 1.0, reac
     blurred = cells.withColumn("s", steps).groupBy((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), group).agg(
         F.sum(F.col("n") * F.col("s.w")).alias("d"))
     return blurred.groupBy("i", "j").agg(F.max_by(group, F.struct("d", group)).alias(group), F.max("d").alias("density"))
+
+
+def _unit_sums(rows: DataFrame, column: str, group: str) -> DataFrame:
+    """group, n, sums: the sum of a group's unit vectors; one row a group and dimension is shuffled."""
+    parts = rows.select(group, F.posexplode(unit(F.col(column))).alias("i", "x")).groupBy(group, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    return parts.groupBy(group).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("sums"))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def silhouette(rows: DataFrame, column: str, label: str) -> DataFrame:
+    """One row: the mean silhouette by cosine distance. The mean distance to a group follows from the sum of its unit vectors, so no pairs are made.
+    A vector alone in its group counts 0. The groups' sums go to each task: labels are clusters, some hundred at the most."""
+    sums = _unit_sums(rows, column, label)
+    each = F.broadcast(sums.groupBy().agg(F.collect_list(F.struct(F.col(label).alias("g"), "n", "sums")).alias("gs")))
+    v = rows.select(F.col(label).alias("g"), unit(F.col(column)).alias("u")).join(each)
+    own = F.filter("gs", lambda s: s["g"] == F.col("g"))[0]
+    a = (own["n"] - _dot(F.col("u"), own["sums"])) / F.nullif(own["n"] - 1, F.lit(0))
+    b = F.array_min(F.transform(F.filter("gs", lambda s: s["g"] != F.col("g")), lambda s: 1 - _dot(F.col("u"), s["sums"]) / s["n"]))
+    ab = v.select(a.alias("a"), b.alias("b"))
+    score = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return ab.agg(F.avg(score).alias("silhouette"))
+
+
+def cluster_labels(points: DataFrame, column: str, ministries: int = 3) -> DataFrame:
+    """points(id, cluster, x, y, category, ministry, <column>) -> a row a cluster: n, the mean place, the most frequent category and its share, the most
+    frequent ministries, and the member nearest to the mean of unit vectors (by cosine, to nine places). Ties go to the lesser."""
+    base = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 3).alias("cx"), F.round(F.avg("y"), 3).alias("cy"))
+    count = lambda c: points.groupBy("cluster", c).agg(F.count(F.lit(1)).alias("k"))
+    top = count("category").groupBy("cluster").agg(F.min_by(F.struct("category", "k"), F.struct((-F.col("k")).alias("o"), "category")).alias("t"))
+    most = count("ministry").groupBy("cluster").agg(
+        F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("o"), "ministry"))), 1, ministries), lambda x: x["ministry"]).alias("ministries"))
+    centre = _unit_sums(points, column, "cluster").select("cluster", unit(F.col("sums")).alias("c"))
+    near = points.select("id", "cluster", unit(F.col(column)).alias("u")).join(centre, "cluster").select(
+        "cluster", "id", S.half_up(_dot(F.col("u"), F.col("c")), 9).alias("sim"))
+    medoid = near.groupBy("cluster").agg(F.min_by("id", F.struct((-F.col("sim")).alias("o"), "id")).alias("medoid"))
+    return (base.join(top, "cluster").join(most, "cluster").join(medoid, "cluster")
+            .select("cluster", "n", "cx", "cy", F.col("t.category").alias("category"), F.round(F.col("t.k") / F.col("n"), 3).alias("share"), "ministries", "medoid"))
+
+
+def share_within(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Adds share: a row's part of its group's sum; 0 where that is 0. The sums are joined, so a large group isn't gathered in one task."""
+    whole = rows.groupBy(group).agg(F.sum(value).alias("__w"))
+    return rows.join(whole, group).withColumn("share", F.when(F.col("__w") > 0, F.col(value).cast("double") / F.col("__w")).otherwise(0.0)).drop("__w")

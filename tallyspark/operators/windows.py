@@ -7,7 +7,7 @@ project. Ties are broken by id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,3 +208,16 @@ def members(w: Windowed) -> DataFrame:
     return (p.select(F.lit(AGG["project-budget"]).alias("node"), F.concat(F.lit("project-budget-"), "pid").alias("id"), F.col("budget").alias("value"))
             .unionByName(p.select(F.lit(AGG["project-spending"]).alias("node"), "id", F.col("spent").alias("value")))
             .unionByName(w.recipients.where("tail").select(F.lit(AGG["recipient"]).alias("node"), F.col("rid").alias("id"), F.col("amount").alias("value"))))
+
+
+def totals(w: Windowed) -> DataFrame:
+    """One row: projects that the view could show (in top ministries, or in the one in focus) and recipients that its window moves over."""
+    return w.projects.agg(F.count_if(F.col("top") & ~F.col("zero")).alias("projects")).crossJoin(w.recipients.agg(F.count(F.lit(1)).alias("recipients")))  # one row each
+
+
+def clamped(graph: Graph, view: View) -> View:
+    """The view with its recipient offset so far back that the last recipients fill the window."""
+    if not view.recipient_offset:
+        return view
+    last = max(0, graph.nodes.where("type = 'recipient'").count() - view.top_recipient)
+    return replace(view, recipient_offset=min(view.recipient_offset, last))
