@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.flow import Graph, build_graph
+from tallyspark.sources.files import fingerprint
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,14 +53,17 @@ def spending(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
             .select("pid", "recipient", F.lpad(F.col("l_suppkey").cast("string"), 13, "0").alias("number"), "amount"))
 
 
-_GRAPHS: dict[tuple, Graph] = {}
+_GRAPHS: dict[tuple, tuple[str, Graph]] = {}
+#: The tables that a graph is made of.
+GRAPH_TABLES = ("customer", "nation", "orders", "lineitem", "supplier")
 
 
 def graph(spark: SparkSession, sf_dir: str, year: int) -> Graph:
-    """A year's graph; built and cached once a session, as all queries on it share it."""
+    """A year's graph: built and written once a session, and anew when a file of its tables has changed, as all queries on it share it."""
     key = spark.sparkContext.applicationId, sf_dir, year
-    if key not in _GRAPHS:
+    mark = fingerprint(spark, *[f"{sf_dir}/{t}.parquet" for t in GRAPH_TABLES])
+    if key not in _GRAPHS or _GRAPHS[key][0] != mark:
         b = budgets(spark, sf_dir, year)
         own = projects(spark, sf_dir).join(b.select("pid"), "pid", "left_semi")
-        _GRAPHS[key] = build_graph(own, b, spending(spark, sf_dir, year)).cached()
-    return _GRAPHS[key]
+        _GRAPHS[key] = mark, build_graph(own, b, spending(spark, sf_dir, year)).cached()
+    return _GRAPHS[key][1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyspark.sources import archives
+
 BOM = "﻿"
 
 
@@ -43,12 +46,7 @@ def zip_members(spark: SparkSession, path: str, pattern: str = r".*\.csv$", enco
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(each, "archive string, member string, text string")
 
 
-def table_side(header: list[str]) -> str | None:
-    """revenue or expenditure, by what the header holds and not by the file's name."""
-    joined = ",".join(header)
-    if "主管" in joined or "款" in joined:
-        return "revenue"
-    return "expenditure" if "所管" in joined or "項" in joined else None
+table_side = archives.side_of
 
 
 def amount_column(header: list[str]) -> str:
@@ -60,14 +58,9 @@ def amount_column(header: list[str]) -> str:
 
 
 def member_rows(members: DataFrame) -> DataFrame:
-    """Members' CSV text as side, row (a map from header to value)."""
-    lines = members.select("member", F.posexplode(F.split("text", "\r?\n")).alias("i", "line")).where(F.trim("line") != "")
-    cells = F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    values = lines.select("member", "i", F.transform(cells, lambda x: F.regexp_replace(F.trim(x), '^"|"$', "")).alias("v"))
-    heads = values.where("i = 0").select("member", F.col("v").alias("h"))
-    side = F.when(F.exists("h", lambda x: x.contains("主管") | x.contains("款")), "revenue").otherwise("expenditure")
-    body = values.where("i > 0").join(heads, "member").where(F.size("v") == F.size("h"))
-    return body.select("member", "i", side.alias("side"), F.map_from_arrays("h", "v").alias("row"))
+    """Members' CSV text as member, i, side, row (a map from header to value), fault. Every record is a row, see `archives`."""
+    archive = F.col("archive") if "archive" in members.columns else F.lit("")
+    return archives.text_rows(members.withColumn("archive", archive)).select("member", F.col("line").alias("i"), "side", "row", "fault")
 
 
 CELL = r'<clm id="p(\d+)-(\d+)\.(\d+)-(\d+)(?:\.(\d+))?"[^>]*>(.*?)</clm>'
@@ -98,11 +91,40 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_json_file(spark: SparkSession, stem: str, schema: str) -> DataFrame:
+    """{stem}.json, or where there is none {stem}.json.gz: one document of many lines. FileNotFoundError where there is neither."""
+    for path in (f"{stem}.json", f"{stem}.json.gz"):
+        if _store(spark, path).exists(_path(spark, path)):
+            return spark.read.schema(schema).option("multiLine", True).json(path)
+    raise FileNotFoundError(f"{stem}.json, {stem}.json.gz")
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, whichever Spark can read."""
+    return _path(spark, path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of the files below some paths: it changes with the files. Only the listing is read."""
+    found = []
+    for path in paths:
+        files = _store(spark, path).listFiles(_path(spark, path), True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 def read_year(spark: SparkSession, root: str, year: int) -> DataFrame:
     """One year of a table partitioned by year; only its files are read."""
     return spark.read.parquet(root).where(F.col("year") == year)
 
 
 def years(spark: SparkSession, root: str) -> list[int]:
-    """Years that a table has, from its folders."""
-    return sorted(r.year for r in spark.read.parquet(root).select("year").distinct().collect())
+    """Years that a table has, by the names of its folders; no file is read."""
+    found = _store(spark, root).globStatus(_path(spark, f"{root.rstrip('/')}/year=*")) or []
+    return sorted(int(m[1]) for f in found if f.isDirectory() and (m := re.fullmatch(r"year=(\d+)", f.getPath().getName())))
