@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyspark.functions import semantics as S
+from tallyspark.operators.prefix import ranked
 from tallyspark.tables import held
 
 NO_SPENDING = "r-no-spending"
@@ -46,25 +46,30 @@ def direct_rows(spending: DataFrame, links: DataFrame) -> tuple[DataFrame, DataF
 
 def recipients_of(spending: DataFrame) -> DataFrame:
     """spending(pid, recipient, number, amount) -> a row for each recipient name: total, the number with the largest amount,
-    how many numbers, and its rank by total. The window is over one row a recipient."""
+    how many numbers, and an id by its rank by total."""
     numbers = (spending.where("number is not null and number <> ''").groupBy("recipient", "number").agg(F.sum("amount").alias("amount"))
                .groupBy("recipient").agg(F.max_by("number", F.struct("amount", "number")).alias("corporate_number"),
                                          F.count(F.lit(1)).alias("corporate_numbers")))
-    return (spending.groupBy("recipient").agg(F.sum("amount").alias("total")).join(numbers, "recipient", "left")
-            .withColumn("id", F.concat(F.lit("r-"), F.row_number().over(Window.orderBy(F.desc("total"), "recipient")))))
+    sums = spending.groupBy("recipient").agg(F.sum("amount").alias("total")).join(numbers, "recipient", "left")
+    return ranked(sums, F.desc("total"), F.col("recipient")).withColumn("id", F.concat(F.lit("r-"), "rank")).drop("rank", "n")
+
+
+def project_sums(projects: DataFrame, budgets: DataFrame, spending: DataFrame) -> DataFrame:
+    """projects with their budget (0 where there is none, has_budget tells), account category and what they spent: all that a comparison of years needs."""
+    spent = spending.where("amount > 0").groupBy("pid").agg(F.sum("amount").alias("spent"))
+    p = projects.join(budgets.select("pid", "budget", "account_category"), "pid", "left").join(spent, "pid", "left")
+    return p.withColumns({"has_budget": F.col("budget").isNotNull(), "budget": F.coalesce("budget", F.lit(0)), "spent": F.coalesce("spent", F.lit(0))})
 
 
 def build_graph(projects: DataFrame, budgets: DataFrame, spending: DataFrame, subcontracts: DataFrame | None = None) -> Graph:
     """projects(pid, name, ministry), budgets(pid, budget, account_category), spending(pid, recipient, number, amount) of direct
     spending only, subcontracts(pid, depth, names). Projects are the universe: other rows of theirs are dropped."""
     spending = spending.where("amount > 0").join(projects.select("pid"), "pid", "left_semi")
-    spent = spending.groupBy("pid").agg(F.sum("amount").alias("spent"))
-    p = projects.join(budgets.select("pid", "budget", "account_category"), "pid", "left").join(spent, "pid", "left")
+    p = project_sums(projects, budgets, spending)
     if subcontracts is not None:
         p = p.join(subcontracts.select("pid", F.col("depth").alias("subcontract_depth"), F.col("names").alias("subcontract_recipients")), "pid", "left")
-    p = p.withColumns({"has_budget": F.col("budget").isNotNull(), "budget": F.coalesce("budget", F.lit(0)), "spent": F.coalesce("spent", F.lit(0))})
     # each is read several times below
-    p, recipients = held(p), held(recipients_of(spending))
+    p, recipients = held(p), recipients_of(spending)
     name = lambda prefix, c="pid": F.concat(F.lit(prefix), F.col(c))
 
     def nodes(df: DataFrame, **cols) -> DataFrame:

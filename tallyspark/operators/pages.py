@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import semantics as S
+from tallyspark.operators.prefix import elements, ranked
 from tallyspark.plans.query import Name, pattern_fault
 
 #: Display order of recommendations and of improvement actions, and the name of collected rests.
@@ -133,10 +134,10 @@ def in_display_order(nodes: DataFrame) -> DataFrame:
 
 
 def places_of(rows: DataFrame, key: str, value: str, wanted: list) -> DataFrame:
-    """Place, from 0 on, of each wanted key when rows are ordered by falling value, then key: a count of those before it, with no sort of all."""
-    asked = F.broadcast(rows.where(F.col(key).isin(list(wanted))).select(F.col(key).alias("__k"), F.col(value).alias("__v")))  # a row for each wanted key
-    before = (F.col(value) > F.col("__v")) | ((F.col(value) == F.col("__v")) & (F.col(key) < F.col("__k")))
-    return rows.select(key, value).join(asked).groupBy(F.col("__k").alias(key)).agg(F.count_if(before).alias("place"))
+    """Place, from 0 on, of each wanted key when rows are ordered by falling value, then key."""
+    asked = rows.sparkSession.createDataFrame([(k,) for k in set(wanted)], rows.select(key).schema)
+    places = ranked(rows.select(key, value), F.desc(value), F.col(key))
+    return places.join(asked, key, "left_semi").select(key, (F.col("rank") - 1).alias("place"))
 
 
 # ---- scales and legends -----------------------------------------------------------------------------------------------
@@ -149,13 +150,8 @@ def slider_limits(nodes: DataFrame) -> DataFrame:
 
 
 def elements_at(rows: DataFrame, column: str, places: dict[str, Column]) -> DataFrame:
-    """One row: {name: place as an expression of n} as elements, from 0 on, of the sorted values that aren't null. Windows are over one row a value."""
-    from pyspark.sql.window import Window
-
-    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy())})
-    return ranked.agg(*[F.min(F.when(F.col("upto") > F.least(place, F.col("n") - 1), F.col("v"))).alias(name) for name, place in places.items()])
+    """One row: {name: place as an expression of n} as elements, from 0 on, of the sorted values that aren't null."""
+    return elements(rows, column, places).drop("n")
 
 
 def ticks(rows: DataFrame, column: str, at: tuple[float, ...] = (0.5, 0.9, 1.0)) -> DataFrame:
@@ -187,15 +183,10 @@ def legend(rows: DataFrame, key: str, value: str, n: int = 10, slots: int = 20)
 
 
 def metric_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """A row a metric that has values: n, mean, element n // 2 of the sorted values, least and largest. The window is over one row a value."""
-    from pyspark.sql.window import Window
-
+    """A row a metric that has values: n, mean, element n // 2 of the sorted values, least and largest."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select("x.*")
-    counted = long.where("v is not null").groupBy("metric", "v").agg(F.count(F.lit(1)).alias("c"))
-    whole = Window.partitionBy("metric")
-    ranked = counted.withColumns({"upto": F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(whole)})
-    return ranked.groupBy("metric").agg(F.max("n").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
-                                        F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias("median"), F.min("v").alias("least"), F.max("v").alias("most"))
+    sums = long.where("v is not null").groupBy("metric").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return elements(long, "v", {"median": F.floor(F.col("n") / 2)}, ("metric",)).join(sums, "metric").select("metric", "n", "mean", "median", "least", "most")
 
 
 def map_points(points: DataFrame, quality: DataFrame, policy: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.functions import semantics as S
+from tallyspark.tables import held
+
+#: Numbers of a block of group sums that goes to each task.
+SUMS = 2_000_000
 
 
 def distribution(rows: DataFrame, column: str, places: int = 0) -> DataFrame:
@@ -184,14 +188,20 @@ def _dot(a: Column, b: Column) -> Column:
 
 def silhouette(rows: DataFrame, column: str, label: str) -> DataFrame:
     """One row: the mean silhouette by cosine distance. The mean distance to a group follows from the sum of its unit vectors, so no pairs are made.
-    A vector alone in its group counts 0. The groups' sums go to each task: labels are clusters, some hundred at the most."""
-    sums = _unit_sums(rows, column, label)
-    each = F.broadcast(sums.groupBy().agg(F.collect_list(F.struct(F.col(label).alias("g"), "n", "sums")).alias("gs")))
-    v = rows.select(F.col(label).alias("g"), unit(F.col(column)).alias("u")).join(each)
-    own = F.filter("gs", lambda s: s["g"] == F.col("g"))[0]
-    a = (own["n"] - _dot(F.col("u"), own["sums"])) / F.nullif(own["n"] - 1, F.lit(0))
-    b = F.array_min(F.transform(F.filter("gs", lambda s: s["g"] != F.col("g")), lambda s: 1 - _dot(F.col("u"), s["sums"]) / s["n"]))
-    ab = v.select(a.alias("a"), b.alias("b"))
+    A vector alone in its group counts 0. The groups' sums go to each task in blocks of at most SUMS numbers; more than one block is taken one after the other,
+    each over a written table."""
+    sums = held(_unit_sums(rows, column, label).withColumnRenamed(label, "g"))
+    size = sums.agg(F.sum(F.size("sums"))).first()[0] or 0
+    blocks = -(-size // SUMS) or 1
+    v = rows.select(F.col(label).alias("g"), unit(F.col(column)).alias("u")).where("g is not null")
+    v = v.join(sums.select("g", F.col("n").alias("own_n"), F.col("sums").alias("own")), "g")
+    v = v.select("g", "u", ((F.col("own_n") - _dot(F.col("u"), F.col("own"))) / F.nullif(F.col("own_n") - 1, F.lit(0))).alias("a"), F.lit(None).cast("double").alias("b"))
+    for k in range(blocks):
+        block = sums.where(F.pmod(F.xxhash64("g"), F.lit(blocks)) == k).groupBy().agg(F.collect_list(F.struct("g", "n", "sums")).alias("gs"))
+        near = F.array_min(F.transform(F.filter("gs", lambda s: s["g"] != F.col("g")), lambda s: 1 - _dot(F.col("u"), s["sums"]) / s["n"]))
+        v = v.crossJoin(F.broadcast(block)).select("g", "u", "a", F.least("b", near).alias("b"))  # one row
+        v = held(v) if k + 1 < blocks else v
+    ab = v.select("a", "b")
     score = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return ab.agg(F.avg(score).alias("silhouette"))
 

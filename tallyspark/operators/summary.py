@@ -55,7 +55,12 @@ def totals(graph: Graph) -> DataFrame:
 
 def compare_projects(base: Graph, compare: Graph) -> DataFrame:
     """Every project of either year: status (increased, decreased, same, added, removed) and the differences."""
-    side = lambda g, s: project_table(g).select("pid", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "ministry", "budget", "spending")])
+    return compare_project_tables(project_table(base), project_table(compare))
+
+
+def compare_project_tables(base: DataFrame, compare: DataFrame) -> DataFrame:
+    """The same of tables (pid, name, ministry, budget, spending) of two years: no graph is needed."""
+    side = lambda t, s: t.select("pid", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "ministry", "budget", "spending")])
     both = side(base, "base").join(side(compare, "compare"), "pid", "full_outer")
     there, here = F.col("spending_base").isNotNull(), F.col("spending_compare").isNotNull()
     change = F.col("spending_compare") - F.col("spending_base")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,6 +17,7 @@ from tallyspark.plans.query import View
 from tallyspark.tables import held
 
 from .flow import NO_SPENDING, Graph
+from .prefix import ranked
 
 AGG = {k: f"__agg-{k}" for k in ("ministry", "project-budget", "project-spending", "recipient")}
 
@@ -29,14 +30,10 @@ class Windowed:
     recipients: DataFrame
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """Adds rank and n. The windows are over rows of entities that have been aggregated already."""
-    return df.withColumns({"rank": F.row_number().over(Window.orderBy(*order)), "n": F.count(F.lit(1)).over(Window.partitionBy())})
-
-
 def top_ministries(graph: Graph, n: int, only: str | None = None) -> DataFrame:
     """name, value, top. A single ministry left over is top too; only: that one is, and the others are out."""
-    m = ranked(graph.nodes.where("type = 'ministry'").select("id", "name", "value"), F.desc("value"), F.col("id"))
+    m = graph.nodes.where("type = 'ministry'").select("id", "name", "value").withColumns(  # some tens of ministries
+        {"rank": F.row_number().over(Window.orderBy(F.desc("value"), "id")), "n": F.count(F.lit(1)).over(Window.partitionBy())})
     if only is not None:
         return m.where(F.col("name") == only).select("id", "name", "value", F.lit(True).alias("top"))
     return m.select("id", "name", "value", ((F.col("rank") <= n) | (F.col("n") == n + 1)).alias("top"))
@@ -84,7 +81,7 @@ def windowed(graph: Graph, view: View, include_zero: bool = True, recipient_filt
     else:
         base = everyone
     last = offset + view.top_recipient
-    r = held(ranked(base, F.desc("amount"), c("rid")).withColumns({
+    r = (ranked(base, F.desc("amount"), c("rid")).withColumns({
         "window": ((c("rank") > offset) & (c("rank") <= last)) | ((c("rank") > last) & (c("n") == last + 1)),
         "tail": (c("rank") > last) & (c("n") > last + 1), "before": c("rank") <= offset}))
 
@@ -120,7 +117,8 @@ def windowed(graph: Graph, view: View, include_zero: bool = True, recipient_filt
         else:
             other = ~chosen & ~c("hidden") & ~c("zero") & (c("top") if focus_m else yes)
     p = p.withColumns({"chosen": chosen, "other": other})
-    p = p.withColumn("lone", c("other") & (F.sum(c("other").cast("int")).over(Window.partitionBy()) == 1))
+    p = held(p)
+    p = p.crossJoin(F.broadcast(p.agg((F.count_if("other") == 1).alias("single")))).withColumn("lone", c("other") & c("single")).drop("single")  # one row
     p = held(p.withColumns({"chosen": c("chosen") | c("lone"), "other": c("other") & ~c("lone")}))
 
     # ---- what the classes add up to
@@ -202,6 +200,17 @@ def windowed(graph: Graph, view: View, include_zero: bool = True, recipient_filt
     return Windowed(every(out_nodes), every(out_edges), p, r)
 
 
+def display_order(w: Windowed, view: View) -> DataFrame:
+    """id, place: the order in which the view's projects stand. In a window of projects by budget they go by what their budget is after scaling, else by what they
+    pay to the recipients shown; in focus on a recipient by what they pay to it. The window is over the shown projects, top_project + 1 at most."""
+    c = F.col
+    focus_r = view.focus and view.pin_recipient is not None
+    focus_p = view.focus and view.pin_project is not None and view.pin_ministry is None
+    by_budget = view.sort_by == "budget" and view.offset_target == "project" and not focus_r and not focus_p
+    order = [c("q").asc_nulls_last()] if focus_r else [F.desc("adjusted")] * by_budget + [F.desc("shown"), F.desc("adjusted")]
+    return w.projects.where("chosen and not hidden").select("id", F.row_number().over(Window.orderBy(*order, c("id"))).alias("place"))
+
+
 def members(w: Windowed) -> DataFrame:
     """Who is in the aggregate nodes, largest first: node, id, value."""
     p = w.projects.where("other")

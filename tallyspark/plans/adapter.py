@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators.flow import Graph, build_graph
+from tallyspark.operators.flow import Graph, build_graph, project_sums
 from tallyspark.sources.files import fingerprint
 
 
@@ -53,6 +53,15 @@ def spending(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
             .select("pid", "recipient", F.lpad(F.col("l_suppkey").cast("string"), 13, "0").alias("number"), "amount"))
 
 
+def project_table(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    """pid, name, ministry, budget, spending of a year's projects, without its recipients, nodes and edges."""
+    b = budgets(spark, sf_dir, year)
+    own = projects(spark, sf_dir).join(b.select("pid"), "pid", "left_semi")
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
+    paid = lines(spark, sf_dir, year).join(known, "l_suppkey", "left_semi").groupBy("pid").agg(F.sum("amount").alias("amount"))
+    return project_sums(own, b, paid).select("pid", "name", "ministry", "budget", F.col("spent").alias("spending"))
+
+
 _GRAPHS: dict[tuple, tuple[str, Graph]] = {}
 #: The tables that a graph is made of.
 GRAPH_TABLES = ("customer", "nation", "orders", "lineitem", "supplier")

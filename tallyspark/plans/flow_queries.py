@@ -69,22 +69,28 @@ def topn_recipients(spark, sf_dir):
     return summary.top_recipients(filtered(spark, sf_dir)).drop("aggregated")
 
 
-@query("WITH " + model_sql() + """
+NODES = """
 SELECT 'total' AS id, 'total' AS type, CAST(SUM(budget) AS BIGINT) AS value FROM b
 UNION ALL SELECT 'ministry-' || ministry, 'ministry', CAST(SUM(budget) AS BIGINT) FROM p GROUP BY ministry
 UNION ALL SELECT 'project-budget-' || pid, 'project-budget', budget FROM p
 UNION ALL SELECT 'project-spending-' || pid, 'project-spending', spent FROM p
 UNION ALL SELECT id, 'recipient', total FROM r
-UNION ALL (SELECT 'r-no-spending', 'recipient', 0 FROM p WHERE budget > 0 AND spent = 0 LIMIT 1)""")
+UNION ALL (SELECT 'r-no-spending', 'recipient', 0 FROM p WHERE budget > 0 AND spent = 0 LIMIT 1)"""
+
+
+@query("WITH " + model_sql() + NODES)
 def graph_nodes(spark, sf_dir):
     return A.graph(spark, sf_dir, YEAR).nodes.select("id", "type", "value")
 
 
-@query("WITH " + model_sql() + """
+EDGES = """
 SELECT 'total' AS source, 'ministry-' || ministry AS target, CAST(SUM(budget) AS BIGINT) AS value FROM p GROUP BY ministry HAVING SUM(budget) > 0
 UNION ALL SELECT 'ministry-' || ministry, 'project-budget-' || pid, budget FROM p WHERE budget > 0
 UNION ALL SELECT 'project-budget-' || pid, 'project-spending-' || pid, LEAST(budget, spent) FROM p WHERE LEAST(budget, spent) > 0
-UNION ALL SELECT 'project-spending-' || pid, id, amount FROM e""")
+UNION ALL SELECT 'project-spending-' || pid, id, amount FROM e"""
+
+
+@query("WITH " + model_sql() + EDGES)
 def graph_edges(spark, sf_dir):
     return A.graph(spark, sf_dir, YEAR).edges
 
@@ -112,7 +118,7 @@ SELECT COALESCE(a.pid, c.pid) AS pid, CASE WHEN a.pid IS NULL THEN 'added' WHEN
        CASE WHEN a.spent <> 0 THEN FLOOR((c.spent - a.spent)::DOUBLE / a.spent::DOUBLE * 10000 + 0.5) / 10000 END AS spending_diff_rate
 FROM p a FULL OUTER JOIN p2 c ON a.pid = c.pid""")
 def compare_years(spark, sf_dir):
-    return summary.compare_projects(A.graph(spark, sf_dir, YEAR), A.graph(spark, sf_dir, YEAR + 1)).drop(
+    return summary.compare_project_tables(A.project_table(spark, sf_dir, YEAR), A.project_table(spark, sf_dir, YEAR + 1)).drop(
         "name", "ministry", "budget_base", "budget_compare")
 
 
@@ -129,7 +135,7 @@ def compare_recipients(spark, sf_dir):
 @query("WITH " + model_sql() + "," + model_sql(YEAR + 1, "2") + """
 SELECT p2.pid, CAST(p2.spent AS BIGINT) AS spending_compare FROM p2 WHERE pid NOT IN (SELECT pid FROM p) ORDER BY 2 DESC, 1 LIMIT 10""")
 def added_projects(spark, sf_dir):
-    changes = summary.compare_projects(A.graph(spark, sf_dir, YEAR), A.graph(spark, sf_dir, YEAR + 1))
+    changes = summary.compare_project_tables(A.project_table(spark, sf_dir, YEAR), A.project_table(spark, sf_dir, YEAR + 1))
     return summary.largest_changes(changes, "added").select("pid", "spending_compare")
 
 
@@ -190,3 +196,52 @@ def other_bucket_edges(spark, sf_dir):
     from tallyspark.operators.windows import windowed
 
     return windowed(A.graph(spark, sf_dir, YEAR), view()).edges
+
+
+@query(TOPN + """,
+z AS (SELECT c.*, COALESCE(f.shown, 0) AS shown FROM c LEFT JOIN f USING (pid) WHERE win AND NOT hidden)
+SELECT id, CAST(ROW_NUMBER() OVER (ORDER BY budget DESC, shown DESC, id) AS INTEGER) AS place FROM z""")
+def project_places(spark, sf_dir):
+    from tallyspark.operators.windows import display_order, windowed
+
+    return display_order(windowed(A.graph(spark, sf_dir, YEAR), view()), view())
+
+
+# ---- stacked drawing ----------------------------------------------------------------------------------------------------------
+
+#: A power of two, so that sums of heights are exact.
+SCALE = 2.0**-30
+COLUMNS = {"total": 0, "ministry": 1, "project-budget": 2, "project-spending": 3, "recipient": 4}
+STACKED = "WITH " + model_sql() + ",\nnodes AS (" + NODES + "),\nedges AS (" + EDGES + """),
+cols AS (SELECT *, CASE type WHEN 'total' THEN 0 WHEN 'ministry' THEN 1 WHEN 'project-budget' THEN 2 WHEN 'project-spending' THEN 3 ELSE 4 END AS col,
+ GREATEST(1.0::DOUBLE, value * power(2.0::DOUBLE, -30)) AS h FROM nodes),
+sized AS (SELECT *, h + CASE WHEN h < 10 THEN 10 ELSE 2 END AS room FROM cols),
+placed AS (SELECT id, col * 220.0::DOUBLE + CASE WHEN col >= 2 THEN 40 ELSE 0 END AS x0, SUM(room) OVER (PARTITION BY col ORDER BY value DESC, id ROWS UNBOUNDED PRECEDING) - room AS y0, h FROM sized)"""
+
+
+def drawn(spark, sf_dir):
+    from tallyspark.operators import stacking
+
+    g = A.graph(spark, sf_dir, YEAR)
+    col = F.create_map(*[F.lit(x) for pair in COLUMNS.items() for x in pair])[F.col("type")]
+    nodes = g.nodes.select("id", col.alias("col"), (-F.col("value")).alias("place"), "value", F.lit(None).cast("long").alias("layout_value"))
+    return stacking.stacked_nodes(nodes, SCALE, 220, 10, 40), g.edges
+
+
+@query(STACKED + " SELECT id, x0, x0 + 18 AS x1, y0, y0 + h AS y1 FROM placed")
+def stacked_nodes(spark, sf_dir):
+    return drawn(spark, sf_dir)[0].select("id", "x0", "x1", "y0", "y1")
+
+
+@query(STACKED + """,
+j AS (SELECT e.*, a.y0 AS sy, a.h AS sh, b.y0 AS ty, b.h AS th FROM edges e JOIN placed a ON a.id = source JOIN placed b ON b.id = target),
+k AS (SELECT *, CAST(SUM(value) OVER (PARTITION BY source ORDER BY ty, target ROWS UNBOUNDED PRECEDING) AS BIGINT) AS su, CAST(SUM(value) OVER (PARTITION BY source) AS BIGINT) AS st,
+             CAST(SUM(value) OVER (PARTITION BY target ORDER BY sy, source ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tu, CAST(SUM(value) OVER (PARTITION BY target) AS BIGINT) AS tt FROM j),
+l AS (SELECT *, CASE WHEN st > 0 THEN sh / st ELSE 0 END AS sk, CASE WHEN tt > 0 THEN th / tt ELSE 0 END AS tk FROM k)
+SELECT source, target, value, sy + (su - value) * sk AS source_y, CASE WHEN value = 0 THEN 1 ELSE value * sk END AS source_width,
+       ty + (tu - value) * tk AS target_y, CASE WHEN value = 0 THEN 1 ELSE value * tk END AS target_width FROM l""")
+def stacked_links(spark, sf_dir):
+    from tallyspark.operators import stacking
+
+    nodes, edges = drawn(spark, sf_dir)
+    return stacking.stacked_links(edges, nodes)
