@@ -1,10 +1,11 @@
 """URL filters: rules over host and path, and for the rest a logistic regression on hashed character n-grams.
 
-The model is fitted on the small labelled table below (its size is the bound on what the driver holds). A rule fits its host
+The model is fitted on the small labelled table of urls below (its size is the bound on what the driver holds); rules go first, and only urls that none fits are scored. A rule fits its host
 and all subdomains of it if the path starts with the rule's path; the longest rule wins, then block before allow.
 
-Defined results: a null url, and one without "://", has an empty host and path, fits no rule and is judged by the model
-on nothing, that is by its intercept. Repeated rows are judged alike; other columns of the input are kept, but for
+The intercept is below zero: of what the model knows nothing of is allowed.
+
+Defined results: a null url, and one without "://", has an empty host and path, fits no rule and is allowed. Repeated rows are judged alike; other columns of the input are kept, but for
 those named host, path, rule, score or verdict.
 """
 
@@ -21,41 +22,60 @@ from .common import table
 
 #: (verdict, host, path); fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-BUCKETS, GRAMS, EPOCHS, RATE, RIDGE = 1 << 14, (3, 4, 5), 300, 0.5, 1e-3
+BUCKETS, GRAMS, EPOCHS, RATE, RIDGE, BIAS = 1 << 16, (3, 4, 5), 2000, 0.5, 1e-4, -0.5
+ENDINGS = ("com", "org", "net")
 #: Hosts whose score a task keeps.
 CACHE = 100_000
 
-#: The labelled table: site names to keep, then site names to block. Names, not paths, tell them apart: both get the same endings.
+#: The labelled table: urls to keep, then urls to block (gambling, adult, counterfeit and pills, loans, spam, advertising and tracking, malware).
 KEEP = """
-library museum garden-notes university language-docs valley-times encyclopedia recipes health-advice weather cityguide courts woodwork theatre archive
-geology parliament school trainspotting opera kitchen birds editor-manual stories farming astronomy monument law-review choir statistics
-harbour mountain-rescue translations bicycle poetry chemistry river-watch townhall lighthouse orchestra history-society philosophy carpentry
-volunteers beekeeping railway pottery aquarium gazette thesaurus physics-lectures seaside knitting folk-songs market-square botany chess-club
-nursery observatory planetarium rowing vineyard windmill ceramics lexicon genealogy
+en.wikipedia.org/wiki/Photosynthesis de.wikipedia.org/wiki/Mathematik www.bbc.co.uk/news/science-environment-65432109 www.theguardian.com/world/2021/may/04/elections
+www.reuters.com/business/energy/oil-prices-rise lemonde.fr/planete/article/2020/11/03/climat www.spiegel.de/wissenschaft/natur/artikel-12.html elpais.com/cultura/2019-08-12/libros.html
+www.nature.com/articles/s41586-020-2649-2 www.science.org/doi/10.1126/science.abc pubmed.ncbi.nlm.nih.gov/31452104/ www.jstor.org/stable/2118478
+stanford.edu/class/cs224n/ ocw.mit.edu/courses/mathematics/18-06/ www.ox.ac.uk/research ethz.ch/de/studium.html www.u-tokyo.ac.jp/en/about.html
+docs.python.org/3/library/itertools.html developer.mozilla.org/en-US/docs/Web/HTTP github.com/torvalds/linux/blob/master/README gitlab.com/gitlab-org/gitlab/issues stackoverflow.com/questions/11227809/why
+kernel.org/doc/html/latest/ postgresql.org/docs/current/sql-select.html spark.apache.org/docs/latest/sql-programming-guide.html www.w3.org/TR/html52/ rust-lang.org/learn
+www.gutenberg.org/ebooks/1342 archive.org/details/texts www.loc.gov/collections/maps/ britannica.com/topic/feudalism plato.stanford.edu/entries/kant/ www.bl.uk/manuscripts/
+www.nasa.gov/missions/voyager esa.int/Science_Exploration noaa.gov/weather/forecast www.usgs.gov/programs/earthquake-hazards www.metoffice.gov.uk/weather who.int/health-topics/malaria
+www.cdc.gov/vaccines/index.html nhs.uk/conditions/asthma/ mayoclinic.org/diseases-conditions/migraine europa.eu/youreurope/citizens/travel www.un.org/en/about-us legislation.gov.uk/ukpga/2010/15/contents
+www.congress.gov/bill/117th-congress bundestag.de/parlament/geschichte www.service-public.fr/particuliers stats.govt.nz/topics/population census.gov/data/tables.html data.worldbank.org/indicator/
+www.allrecipes.com/recipe/10813/cookies/ seriouseats.com/bread-baking-guide chefkoch.de/rezepte/12345/Apfelkuchen.html www.bonappetit.com/story/soup gardenersworld.com/how-to/grow-plants/tomatoes/
+www.rspb.org.uk/birds-and-wildlife/ nationalgeographic.com/animals/mammals/facts/wolf audubon.org/field-guide/bird/robin www.nationaltrust.org.uk/visit hikingproject.com/trail/7000130
+museum.toulouse.fr/expositions www.louvre.fr/en/explore moma.org/collection/works rijksmuseum.nl/en/stories tate.org.uk/art/artists operabase.com/productions imslp.org/wiki/Sonata
+www.ravelry.com/patterns/library instructables.com/Bookshelf woodmagazine.com/plans www.fishing-forum.co.uk/topic/lures chess.com/lessons boardgamegeek.com/boardgame/13
+www.goodreads.com/book/show/5907 librarything.com/work/1386 poetryfoundation.org/poems/44272 www.thesaurus.com/browse/bright deepl.com/translator wordreference.com/enfr/cheese
+www.openstreetmap.org/way/23 rome2rio.com/s/Paris/Lyon www.lonelyplanet.com/japan/kyoto bahn.de/service/fahrplaene nationalrail.co.uk/stations/leeds wanderlust.blogspot.com/2012/03/andes.html
+myfamilyhistory.wordpress.com/2015/06/letters sourdough-notes.net/starter oldmaps.ch/zurich choir-of-st-mary.org/concerts riverside-school.k12.or.us/calendar smalltown-gazette.com/council-minutes
+www.etsy.com/listing/55/teapot ikea.com/gb/en/p/bookcase johnlewis.com/kitchen powells.com/book/used www.decathlon.fr/velo zeit.de/gesellschaft/schule asahi.com/articles/kyoto.html
 """.split()
 BLOCK = """
-casino-bonus best-casino casino-royal live-casino jackpot-win win-now-prizes big-win-slots winners-claim free-spins bonus-spins poker-slots slots-online
-bets-online betting-odds sports-bets free-bet-bonus bet-and-win roulette-free free-chips lottery-winner free-prizes free-money-now
-ads-server adserver banner-ads click-ads popup-ads ads-network track-pixel tracker-hub click-track ad-tracking telemetry-track link-track
-spam-offers spam-mailer bulk-spam comment-spam spam-links link-farm content-farm farm-links seo-links doorway-farm scraper-farm
-cheap-meds pills-online buy-pills diet-pills cheap-viagra cheap-replica cheap-watches pharma-cheap weight-loss-pills cheap-loans
-adult-tube adult-cams adult-dating adult-videos xxx-cams hot-xxx x-rated porn-tube sex-chat escort-sex
-warez-crack keygen-crack malware-load phish-login payday-loan crypto-double
+best-online-casino-bonus.com/register casinoroyale888.net/slots/free www.jackpotcity-casino.win/deposit megaslots777.top/spin luckywinnerz.xyz/claim?id=1 pokerstars-bonus.club/signup
+bet247live.com/odds/football www.sportbets-tips.info/today freebet-offers.biz/bonus roulette-system-win.net/guaranteed betting-sites-uk.top/list lottowinners.click/prize
+888slotgame.vip/login w88bet.xyz/promo judi-bola-online.info/daftar situs-slot-gacor.top/ togel4d.club/main win-big-money-now.com/start bingo-freespins.online/play
+hotxxxvideos.tube/watch/123 freeporntube.xxx/video-9 www.livesexcams.cam/room/anna adultdating-local.date/join milfhookup.club/chat nude-teens18.top/gallery sexchat4free.net/
+escortgirls-city.info/vip hentai-hd.tube/view eroticstories69.com/read porn4k.download/free camgirlz.live/now onlyfansleaks.xyz/pack fuckbuddies.site/ adultfriend-finder.click/aff
+cheapviagra-online.biz/buy cialis-without-prescription.com/order buy-pills-cheap.top/ canadian-pharmacy24.net/meds dietpills-miracle.info/loseweight xanax-overnight.shop/cart steroids4sale.biz/
+replica-watches-outlet.com/rolex fakeraybans.shop/sale louisvuitton-cheap.store/bags jerseys-wholesale-china.us/nfl uggboots-discount.top/ cheap-nike-airmax.xyz/shoes outlet-handbags-sale.club/
+fast-payday-loans-online.com/apply bad-credit-cash.loan/now instantloan4u.top/form forex-robot-profit.net/invest doubleyourbitcoin.io/send crypto-giveaway-elon.live/ binaryoptions-signals.biz/
+make-money-from-home.click/secret earn5000daily.xyz/ref=22 getrichquick-system.info/ workathome-cash.top/offer mlm-leads-pro.biz/
+ads.doubleclick-serve.net/adclick?x=1 adserver.popunder-media.com/banner/300x250 track.clickbank-aff.com/aff_c?offer_id=3 pixel.trackerhub.io/collect.gif banner-exchange.biz/rotate.php adnetwork-cpm.info/js/pop.js
+pushnotify-ads.xyz/sw.js clicktracking.email-blast.info/open?uid=9 analytics-spy.net/beacon affiliate-redirect.click/go.php?url= popcash-serve.top/serve retarget-ads.co/px
+buy-backlinks-cheap.com/seo linkfarm-directory.info/submit article-spinner-spam.biz/ guestpost-spam.top/list bulk-email-sender.net/download blogspam-network.xyz/ expired-domains-parking.com/search
+free-keygen-crack.download/serial warez-full-version.top/setup.exe download-codec-now.xyz/player.exe your-pc-infected.click/scan antivirus-alert-warning.info/fix flashplayer-update.download/
+paypal-verify-account.xyz/login secure-bank-login-update.top/confirm appleid-unlock.info/verify free-iphone-winner.club/claim giftcard-generator.win/steam survey-prize-claim.top/ nigerian-inheritance.biz/
+torrent-movies-free.top/stream watch-hd-free-online.xyz/movie iptv-cracked.shop/list mp3-juice-free.download/ hack-facebook-password.click/ instagram-followers-free.top/
 """.split()
-#: Syllables of invented names, kept too: a host of no known word isn't junk for that.
-SYLLABLES = "th er on an in en re es or at ng ly nd ed st ha ti it sh wh ou he nt ea ble tion ing".split()
-PREFIXES, TLDS, LANGUAGES, ENDINGS = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es"), ("", "/", ".html", "?page=2", "#top")
 
 
 def labelled() -> list[tuple[str, int]]:
-    """(url, 1 to block) in a fixed order that alternates between the labels: each name to block twice, and as many to keep."""
-    n = len(SYLLABLES)
-    invented = [SYLLABLES[i % n] + SYLLABLES[(3 * i + i // n + 5) % n] + SYLLABLES[(7 * i + 2) % n] * (i % 3 > 0) for i in range(2 * len(BLOCK) - len(KEEP))]
+    """(url, 1 to block) in a fixed order: each url of the table, and its longest label alone under a common ending, so that endings don't stand for names."""
     out = []
-    for i, names in enumerate(zip(KEEP + invented, BLOCK + BLOCK, strict=True)):
-        tail = f"{TLDS[i % 3]}/{LANGUAGES[i // 3 % 4]}/{37 * i + 101}{ENDINGS[i % 5]}"
-        out += [(f"https://{PREFIXES[(i + k) % 4]}{name}.example.{tail}", k) for k, name in enumerate(names)]
-    return out
+    for k, urls in enumerate((KEEP, BLOCK)):
+        for url in urls:
+            host = split_url(f"https://{url}")[0]
+            name = max(host.split(".")[:-1], key=len)
+            out += [(f"https://{url}", k), (f"https://{name}.{ENDINGS[zlib.crc32(host.encode()) % len(ENDINGS)]}/", k)]
+    return sorted(out, key=lambda r: zlib.crc32(r[0].encode()))
 
 
 def host_of(url: Column) -> Column:
@@ -95,7 +115,7 @@ def grams(kind: str, text: str) -> np.ndarray:
 
 
 class UrlModel:
-    """Logistic regression by full-batch gradient steps; deterministic."""
+    """Logistic regression by full-batch gradient steps with a fixed intercept; deterministic."""
 
     def __init__(self, rows: list[tuple[str, int]]) -> None:
         x = [np.concatenate([grams("h", h), grams("p", p)]) for h, p in (split_url(u) for u, _ in rows)]
@@ -103,13 +123,12 @@ class UrlModel:
         row = np.repeat(np.arange(len(x)), [len(v) for v in x])
         col = np.concatenate(x) if x else np.zeros(0, np.int64)
         scale = 1 / np.sqrt(np.maximum([len(v) for v in x], 1))
-        self.weights, self.bias, self.hosts = np.zeros(BUCKETS), 0.0, {}
+        self.weights, self.bias, self.hosts = np.zeros(BUCKETS), BIAS, {}
         for _ in range(EPOCHS):
             z = np.bincount(row, self.weights[col], len(x)) * scale + self.bias
             gap = 1 / (1 + np.exp(-z)) - y
             grad = np.bincount(col, (gap * scale)[row], BUCKETS) / max(len(x), 1)
             self.weights -= RATE * 10 * (grad + RIDGE * self.weights)
-            self.bias -= RATE * float(gap.mean()) if len(x) else 0.0
 
     def score(self, host: str, path: str) -> float:
         """Log odds that the url is to be blocked."""
@@ -134,8 +153,11 @@ def judged(pages: DataFrame, rules=RULES, rows: list[tuple[str, int]] | None = N
     split = pages.drop("host", "path", "rule", "score", "verdict").withColumns(
         {"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return (split.withColumns({"rule": rule, "score": score("host", "path")})
-            .withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow"))))
+    open_ = split.withColumns({"rule": rule, "__said": verdict})
+    # a url that a rule decides is given to the model as nothing
+    blank = lambda c: F.when(F.col("__said").isNull(), F.col(c)).otherwise("")
+    return (open_.withColumn("score", score(blank("host"), blank("path"))).withColumn("score", F.when(F.col("__said").isNull(), F.col("score")))
+            .withColumn("verdict", F.coalesce("__said", F.when(F.col("score") > 0, "block").otherwise("allow"))).drop("__said"))
 
 
 def op10_urls(spark, sf_dir: str) -> DataFrame:
