@@ -1,7 +1,8 @@
 """WARC: deterministic sharded writer and reader.
 
-Records are range-sorted by page_id and written as gzip members; a file is rolled when its compressed size reaches
-roll_bytes. Headers and SHA-256 digests are made anew from the payload. Of pages with equal payloads of at least
+Records are range-sorted by page_id and digest and written as gzip members; a file is rolled when its compressed size reaches
+roll_bytes. The ranges' borders are quantiles of the keys with the smallest hashes, so they hang on the rows and the number of ranges alone: the same
+pages give the same files, however they are partitioned. Headers and SHA-256 digests are made anew from the payload. Of pages with equal payloads of at least
 MIN_REVISIT bytes the smallest page_id is a response and the others are revisits without payload. Every file is written
 under a temporary name and renamed; manifest.json lists the files that count, so what a lost task left is never read.
 
@@ -19,20 +20,20 @@ import hashlib
 import io
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, publish, shuffle_partitions, storage, table, written
+from .common import discard, fresh_path, publish, shuffle_partitions, storage, table, written
 
 MIN_REVISIT = 100
 ROLL_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 4
-#: Records of a batch that is read.
-ROWS = 1000
+#: Records of a batch that is read; keys of the sample for each range.
+ROWS, SAMPLE = 1000, 64
 
 
 def record_id(page_id, sha: str, turn: int) -> str:
@@ -60,9 +61,20 @@ def record(page_id, turn: int, url: str | None, payload: bytes, refers_to) -> by
     return gzip.compress(raw, LEVEL, mtime=0)
 
 
+def key_of(page_id: str, digest: str) -> Column:
+    """A string in the order of (page_id, digest), nulls first."""
+    return F.concat(F.coalesce(F.lpad(F.hex(F.col(page_id).bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("")), digest)
+
+
+def borders(keys: DataFrame, ranges: int) -> list[str]:
+    """The first keys of all ranges but the first one, from a sample of SAMPLE keys for each."""
+    sample = sorted(r.key for r in keys.distinct().orderBy(F.xxhash64("key"), "key").limit(ranges * SAMPLE).collect())
+    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+
+
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> dict:
-    """Write pages(page_id, url, html) to folder; returns the manifest. Only a row per file reaches the driver."""
-    spark = pages.sparkSession
+    """Write pages(page_id, url, html) to folder; returns the manifest. Only a row per file and the sample of keys reach the driver."""
+    spark, n = pages.sparkSession, shuffle_partitions(pages.sparkSession)
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     digests = (pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.length(payload).alias("size"))
                .where(F.col("size") >= MIN_REVISIT))
@@ -74,22 +86,35 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> d
                          F.sha2(payload, 256).alias("digest"))
             .unionByName(later.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
                                       "first", F.lit(0).alias("turn"), "digest"))
-            .repartitionByRange(shuffle_partitions(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest", "turn", "url"))
+            .withColumn("key", key_of("page_id", "digest")))
+    cuts = borders(rows.where("turn = 1").select("key"), n)
+
+    @F.arrow_udf("int")
+    def range_of(keys: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(cuts, k) for k in keys.to_pylist()], pa.int32())
+
+    rows = (rows.withColumn("range", range_of("key")).drop("key").repartitionByRange(n, "range")
+            .sortWithinPartitions("range", "page_id", "digest", "turn", "url"))
 
     def write(batches):
-        part, (store, at) = TaskContext.get().partitionId(), storage(folder)
+        (store, at), now, own = storage(folder), None, 0
         files, parts, size, count, last, turn, refers = [], [], 0, 0, (), 0, None
 
         def close():
-            nonlocal parts, size, count
-            data, name = b"".join(parts), f"pages-{part:05d}-{len(files):05d}.warc.gz"
+            nonlocal parts, size, count, own
+            data, name = b"".join(parts), f"pages-{now:05d}-{own:05d}.warc.gz"
+            own += 1
             publish(store, at, name, data)
             files.append((name, count, len(data), hashlib.sha256(data).hexdigest()))
             parts, size, count = [], 0, 0
 
         for batch in batches:
-            for page_id, url, data, own_first, role, digest in zip(*[batch.column(i) for i in range(6)], strict=True):
-                page_id = page_id.as_py()
+            for page_id, url, data, own_first, role, digest, place in zip(*[batch.column(i) for i in range(7)], strict=True):
+                page_id, place = page_id.as_py(), place.as_py()
+                if place != now:
+                    if parts:
+                        close()
+                    now, own = place, 0
                 if (page_id, digest.as_py()) != last:
                     last, turn, refers = (page_id, digest.as_py()), 0, None
                 if role.as_py() == 0:
@@ -178,13 +203,17 @@ def read_warc(spark, folder: str) -> DataFrame:
         "intact", F.col("intact") & F.coalesce((F.col("__digest") == F.col("payload_digest")) & (F.col("__bytes") == F.col("payload_bytes"))
                                                & F.col("__whole"), F.lit(False)))
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact"]
-    return found.where("record_type = 'response'").select(names).unionByName(revisits.select(names))
+    out = written(found.where("record_type = 'response'").select(names).unionByName(revisits.select(names)), "warc-pages")
+    discard(found)
+    return out
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
-    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    out = read_warc(spark, folder)
+    discard(folder)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 OP7_SQL = """
