@@ -300,7 +300,8 @@ def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SK
     # rows of one doc_id are tied whatever their texts
     spread = members.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("most")).where("b < most")
     edges = written(members.join(spread, "doc_id").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "near-edges")
-    roots, sets, name = None, None, f"near_dedup_sets_{uuid.uuid4().hex}"
+    # the table's files are in the shared folder too, not in the warehouse, which a session may have on a local disk
+    roots, sets, name, place = None, None, f"near_dedup_sets_{uuid.uuid4().hex}", fresh_path(spark, "full-sets")
 
     def rooted() -> DataFrame:
         return lists.withColumn("root", F.col("cid")) if roots is None else (
@@ -334,7 +335,7 @@ def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SK
             few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
             # bucketed by class, so that pairs come to the sets and not the sets to the pairs
             (full_sets(docs.join(few, docs["doc_id"] == few["cid"], "left_semi"), width).repartition(n, "cid").distinct()
-             .write.bucketBy(n, "cid").sortBy("cid").format("parquet").option("compression", "none").saveAsTable(name))
+             .write.bucketBy(n, "cid").sortBy("cid").format("parquet").option("compression", "none").option("path", place).saveAsTable(name))
             sets = spark.table(name)
             discard(wanted, old)
         else:
@@ -366,8 +367,8 @@ def groups(docs: DataFrame, width: int, percent: int = PERCENT, sketch: int = SK
     rest = written(opened.where(F.col("size") > SHORT).groupBy("head", "cid").agg(F.max("n").alias("n"), F.min("root").alias("root")), "rest")
     links = compared_blocks(rest, sets, percent)
     joined_up(verified(pairs).unionByName(links))
-    discard(last, opened, rest, links, folder)
     spark.sql(f"DROP TABLE {name}")
+    discard(last, opened, rest, links, folder, place)
     grouped = (members.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
                .select("doc_id", F.coalesce("root", "cid").alias("component_id"), F.col("n").alias("n_shingles")))
     alone = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("component_id"), F.col("n").alias("n_shingles"))
