@@ -154,11 +154,12 @@ def cut(keys: DataFrame, k: int) -> float:
     return low
 
 
-def scored(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seed: int = SEED) -> tuple[DataFrame, float, object]:
-    """(doc_id, weight, key of each row, the cut, the weighing UDF)."""
+def scored(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seed: int = SEED, whole: bool = False) -> tuple[DataFrame, float]:
+    """(a written table of doc_id, weight, key of each row, the cut). whole: with the columns of docs, as own_0, own_1 ..."""
     known = labelled(labels, limit)
     weight = weigher(docs, fitted(docs, known))
-    keys = written(docs.select("doc_id", weight("text").alias("weight")).withColumn("key", F.col("weight") + gumbel(F.col("doc_id"), seed)), "weights")
+    kept = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)] if whole else []
+    keys = written(docs.select("doc_id", weight("text").alias("weight"), *kept).withColumn("key", F.col("weight") + gumbel(F.col("doc_id"), seed)), "weights")
     spark = docs.sparkSession
     held = [(i, good) for i, (good, fit) in known.items() if not fit]
     least = -math.inf
@@ -167,16 +168,16 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seed: int
         least = level([tuple(r) for r in keys.where("weight is not null").join(F.broadcast(marks), "doc_id")
                        .groupBy("doc_id").agg(F.min("weight"), F.first("good")).drop("doc_id").collect()])
     k = keys.where(F.col("weight") >= least).count()
-    return keys, cut(keys.where("key is not null"), k) if k else math.inf, weight
+    return keys, cut(keys.select("key").where("key is not null"), k) if k else math.inf
 
 
 def taken(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seed: int = SEED) -> DataFrame:
-    """The rows of docs that the sample takes, unchanged."""
-    _, least, weight = scored(docs, labels, limit, seed)
-    return docs.where(F.coalesce(weight("text") + gumbel(F.col("doc_id"), seed) >= least, F.lit(False)))
+    """The rows of docs that the sample takes, unchanged. They are read twice, for the counts and for the weights, beside which they are kept."""
+    keys, least = scored(docs, labels, limit, seed, whole=True)
+    return keys.where(F.col("key") >= least).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
-    keys, least, _ = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    keys, least = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return keys.where(F.col("key") >= least).select("doc_id", F.col("weight").alias("log_weight"), F.col("key").alias("gumbel_key"),
                                                     F.lit(True).alias("kept"))
