@@ -2,11 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read as the next one's docs.
 All but the last return the columns of docs. A row with a null doc_id passes the near-dedup stage; of rows that share a
-doc_id and a text one stays there, the first by the other columns in their order (nulls first). An empty table passes every stage as an empty one.
+doc_id and a text one stays there, the first by the other columns in their order (nulls first; columns that have no order, as maps, by a digest of the row, last). An empty table passes every stage as an empty one.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +28,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = (near_dedup.groups(docs.select("doc_id", "text"), SHINGLE_WORDS).where("doc_id <> component_id")
             .select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = (kept.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__any"), *others)).alias("__first"))
-           .select("doc_id", "text", "__first.*").select(*docs.columns))
-    return kept.where("doc_id is null").unionByName(one)
+    # ids of several rows are few, as a rule none: the others' texts aren't grouped
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("doc_id"), "repeated")
+    several = kept.join(repeated, "doc_id", "left_semi").withColumns({
+        "__text": F.sha2("text", 256), "__row": F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])), 256)})
+    order = [c for c in docs.columns if c not in ("doc_id", "text") and not re.search("map<|variant|geo", docs.schema[c].dataType.simpleString())]
+    one = several.groupBy("doc_id", "__text").agg(F.min_by(F.struct(*docs.columns), F.struct(*order, "__row")).alias("__first")).select("__first.*")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(one)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
