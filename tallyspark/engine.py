@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators import blocks, budget, filters, outcomes, screening, search, summary, windows
+from tallyspark.functions import semantics as S
+from tallyspark.operators import blocks, budget, filters, outcomes, overview, pages, screening, search, shaping, summary, windows
 from tallyspark.operators.flow import Graph
 from tallyspark.plans.query import Query, from_url, resolve
 
@@ -47,6 +48,13 @@ class Engine:
         g = self.filtered(query)
         return windows.windowed(g, windows.clamped(g, q.view), recipient_filter=bool(q.filter.recipient_name))
 
+    def topn_order(self, query: dict | str) -> DataFrame:
+        """id, place: the order of the projects in the answer of topn()."""
+        q = self.parse(query)
+        g = self.filtered(query)
+        view = windows.clamped(g, q.view)
+        return windows.display_order(windows.windowed(g, view, recipient_filter=bool(q.filter.recipient_name)), view)
+
     def topn_counts(self, query: dict | str) -> DataFrame:
         return windows.totals(self.topn(query))
 
@@ -88,20 +96,43 @@ class Engine:
         missing = asked.join(found.select("pid"), "pid", "left_anti").orderBy("__place").select("pid")
         return found.orderBy("__place").select(*s.columns), missing
 
+    def score_projection(self, pids: list[int] | None = None) -> DataFrame:
+        """The fields of scores that an answer needs, its texts cut."""
+        light = shaping.score_projection(self.scores(pids)[0])
+        return light.withColumn("effective_reason", shaping.clamped_text(F.col("effective_reason").cast("string")))
+
+    def score_rows(self, pid: int) -> DataFrame:
+        """What the score of a project is made of, a row for each spending row that was judged, the largest first."""
+        rows = self.tables["score_rows"].where(F.col("pid") == pid)
+        return rows.orderBy(F.desc("amount"), *[c for c in ("block", "name") if c in rows.columns])
+
+    def execution_history(self, pid: int, years: int | None = None) -> DataFrame:
+        """year, budget, executed, rate (null without a budget) of a project, in order; of the last years if a number is given. A year that is told more than once has its sums."""
+        h = self.tables["executions"].where(F.col("pid") == pid).groupBy("year").agg(F.sum("budget").alias("budget"), F.sum("executed").alias("executed"))
+        h = h.withColumn("rate", F.when(F.col("budget") > 0, F.col("executed").cast("double") / F.col("budget")))
+        return h.orderBy("year") if years is None else h.orderBy(F.desc("year")).limit(years).orderBy("year")
+
     def policy(self, pid: int | None = None) -> DataFrame:
         """Always over the whole population; then one project of it."""
         p = screening.policy(self.tables["scores"])
         return p if pid is None else p.where(F.col("pid") == pid)
 
-    def highlights(self, year: str | None = None) -> dict[str, DataFrame]:
-        """Of a year, by default the last one; spendingChange is against the year before and is missing where that has no graph."""
+    def highlights(self, year: str | None = None, metric: str | None = None) -> dict[str, DataFrame]:
+        """Of a year, by default the last one; spendingChange is against the year before and is missing where that has no graph. metric: this one's list alone."""
+        if metric is not None and metric not in screening.METRICS:
+            raise QueryError([f"metric: one of {', '.join(screening.METRICS)}"])
         s, stats, changes = self.tables["scores"], self.tables.get("recipient_stats"), None
         year = year or max(self.graphs, default=None)
         if year in self.graphs:
             now, prior = self.graphs[year], self.graphs.get(str(int(year) - 1))
             stats = screening.graph_stats(now, s) if stats is None else stats
             changes = None if prior is None else summary.spending_change(prior, now)
-        return screening.highlights(s, stats, changes)
+        lists = screening.highlights(s, stats, changes)
+        return lists if metric is None else {k: v for k, v in lists.items() if k == metric}
+
+    def project_map(self) -> DataFrame:
+        """The points of the map with what is shown of their projects."""
+        return pages.map_points(self.tables["map_points"], self.tables["scores"], self.policy())
 
     def detail(self, pid: int) -> DataFrame:
         return self.tables["details"].where(F.col("pid") == pid)
@@ -112,5 +143,21 @@ class Engine:
     def hierarchy(self, budget_type: str, top: dict[str, int], per_column: int = 40) -> tuple[DataFrame, DataFrame]:
         return budget.hierarchy(self.tables["budget_items"].where(F.col("budget_type") == budget_type), top, per_column)
 
+    def items(self, budget_type: str, text: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+        """A budget's items, the largest first; text: those whose name or description holds it, whatever its width and case."""
+        rows = self.tables["budget_items"].where(F.col("budget_type") == budget_type)
+        if text is not None:
+            held_in = [S.normalize_query(F.coalesce(F.col(c), F.lit(""))) for c in ("name", "item", "description") if c in rows.columns]
+            rows = rows.where(F.contains(F.concat_ws("\n", *held_in), F.lit(search.normalized(text))))
+        key = [c for c in ("id", "name", "item") if c in rows.columns][:1]
+        return search.page(rows.orderBy(F.desc("amount"), *key), limit, offset)
+
+    def overview(self, year: int) -> tuple[DataFrame, DataFrame]:
+        """(nodes, links) of a year's budget overview, see operators.overview."""
+        return overview.overview(self.tables["budget_lines"].where(F.col("year") == year))
+
+    def overview_accounts(self, year: int) -> DataFrame:
+        return overview.special_accounts(self.tables["budget_lines"].where(F.col("year") == year))
+
     def history(self, identity: dict) -> DataFrame:
         return budget.history(self.tables["budget_items"], list(identity), identity)

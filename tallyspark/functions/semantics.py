@@ -87,7 +87,7 @@ def nfkc(text: Column) -> Column:
     return normal(text)
 
 
-def _folded(text: Column) -> Column:
+def folded(text: Column) -> Column:
     # ASCII text is its own normal form, so Python only sees the rest
     plain = text.rlike("^[\\x00-\\x7F]*$")
     return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))
@@ -95,7 +95,7 @@ def _folded(text: Column) -> Column:
 
 def normalize_query(text: Column) -> Column:
     """NFKC, lower case, no white space."""
-    return F.regexp_replace(F.lower(_folded(text)), "\\s+", "")
+    return F.regexp_replace(F.lower(folded(text)), "\\s+", "")
 
 
 #: Short corporate forms and what they stand for.
@@ -115,7 +115,7 @@ def normalize_recipient_name(name: Column) -> Column:
 
 def is_excluded_recipient(name: Column) -> Column:
     """Collective rows that are no recipient of their own. The names are fixed values."""
-    return F.trim(_folded(name)).isin("", "その他", "其他")
+    return F.trim(folded(name)).isin("", "その他", "其他")
 
 
 def is_dummy_number(number: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyspark.functions import semantics as S
@@ -44,6 +44,34 @@ def direct_rows(spending: DataFrame, links: DataFrame) -> tuple[DataFrame, DataF
     return spending.join(only, ["pid", "block"], "left_anti"), spending.join(only, ["pid", "block"], "left_semi")
 
 
+#: How a spending row is counted; the first that holds.
+KINDS = ("no name", "no amount", "no block", "indirect", "direct")
+
+
+def counted_rows(spending: DataFrame, projects: DataFrame, links: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """spending(pid, recipient, amount, block, ...) of the projects, each row with its kind, as a written table, and {kind: (rows, amount)}. The counts are
+    observed while the table is written, so no second pass is made; blocks that links flag only FALSE are indirect."""
+    marked = links.groupBy("pid", "block").agg(F.bool_or("flag").alias("direct"), F.bool_or(~F.col("flag")).alias("indirect"))
+    only = marked.where("indirect and not direct").select("pid", "block", F.lit(True).alias("__only"))
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    own = spending.join(projects.select("pid").distinct(), "pid", "left_semi").join(only, ["pid", "block"], "left")
+    kind = (F.when(text("recipient") == "", KINDS[0]).when(F.coalesce(F.col("amount"), F.lit(0)) <= 0, KINDS[1]).when(text("block") == "", KINDS[2])
+            .when(F.col("__only"), KINDS[3]).otherwise(KINDS[4]))
+    seen, rows = Observation(), own.withColumn("kind", kind).drop("__only")
+    of = lambda k: F.col("kind") == k
+    metrics = [x for i, k in enumerate(KINDS) for x in (F.count_if(of(k)).alias(f"n{i}"), F.coalesce(F.sum(F.when(of(k), F.col("amount"))), F.lit(0)).alias(f"s{i}"))]
+    table = held(rows.observe(seen, *metrics))
+    return table, {k: (seen.get[f"n{i}"], seen.get[f"s{i}"]) for i, k in enumerate(KINDS)}
+
+
+def recipient_projects(spending: DataFrame) -> DataFrame:
+    """What each recipient has of each project: recipient, pid, amount, numbers (its numbers there by amount, largest first)."""
+    by_number = spending.groupBy("recipient", "pid", "number").agg(F.sum("amount").alias("amount"))
+    named = F.struct(F.col("amount").alias("amount"), F.col("number").alias("number"))
+    return by_number.groupBy("recipient", "pid").agg(F.sum("amount").alias("amount"), F.transform(F.sort_array(F.collect_list(
+        F.when(F.coalesce("number", F.lit("")).rlike("^[0-9]{13}$"), named)), asc=False), lambda x: x["number"]).alias("numbers"))
+
+
 def recipients_of(spending: DataFrame) -> DataFrame:
     """spending(pid, recipient, number, amount) -> a row for each recipient name: total, the number with the largest amount,
     how many numbers, and an id by its rank by total."""

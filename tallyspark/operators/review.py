@@ -70,3 +70,21 @@ def benchmark_summary(rows: DataFrame) -> DataFrame:
 def benchmark_outliers(rows: DataFrame, large: float = LARGE) -> DataFrame:
     """Rows that are at least so far from their current score, the farthest first."""
     return rows.withColumn("delta", _delta()).where(F.abs("delta") >= large).orderBy(F.desc(F.abs("delta")), "pid")
+
+
+#: Words of benefit, numbers with their units.
+BENEFITS = "国民|生活|住民|安全|安心|防止|削減|向上|改善|支援|促進|普及|確保|育成|雇用|健康|医療|福祉|教育|防災|環境|被害|負担軽減|効率化|競争力|地域|経済成長"
+NUMBERS = r"[0-9０-９]+\s*(%|％|割|件|人|社|億|兆|万|年|か月|箇所|地域)"
+
+
+def effects(rows: DataFrame) -> DataFrame:
+    """rows(purpose, issues, overview, ...) plus effective, 0 to 10, by rules: 0 where purpose and overview are under 20 characters; else 3, and 2 more each for 60 characters, for two and for
+    four different words of benefit, and 1 for a number with a unit. Null texts are empty."""
+    text = lambda c: F.trim(S.folded(F.coalesce(F.col(c), F.lit(""))))
+    t = rows.withColumns({f"__{c}": text(c) for c in ("purpose", "issues", "overview")})
+    body = F.length("__purpose") + F.length("__overview")
+    whole = F.concat_ws("\n", "__purpose", "__overview", "__issues")
+    hits = F.size(F.array_distinct(F.regexp_extract_all(whole, F.lit(f"({BENEFITS})"), 1)))
+    t = t.withColumns({"__hits": hits, "__number": whole.rlike(NUMBERS)})
+    points = F.lit(3) + F.when(body >= 60, 2).otherwise(0) + F.when(F.col("__hits") >= 2, 2).otherwise(0) + F.when(F.col("__hits") >= 4, 2).otherwise(0) + F.col("__number").cast("int")
+    return t.withColumn("effective", F.when(body < 20, 0).otherwise(F.least(F.lit(10), points))).drop("__purpose", "__issues", "__overview", "__hits", "__number")

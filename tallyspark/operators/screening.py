@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyspark.functions import semantics as S
 from tallyspark.tables import held
 
 from .flow import Graph
+from .prefix import elements, running
 
 # ---- mechanical scores -----------------------------------------------------------------------------------------------
 
@@ -99,23 +99,18 @@ def floor_quantile(sorted_values: Column, q: float) -> Column:
 
 def quantiles(rows: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """One row: {name: (column, q)} as elements floor((n - 1) q) of the values that aren't null, by rank and not in one array."""
-    out = None
-    for name, (column, q) in wanted.items():
-        ranked = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        # windows over one row a distinct value
-        upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        place = F.floor((F.sum("n").over(Window.partitionBy()) - 1) * F.lit(q)) + 1
-        one = ranked.withColumns({"upto": upto, "place": place}).where("upto >= place").agg(F.coalesce(F.min("v"), F.lit(float("inf"))).alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), F.col(column).cast("double").alias("v")) for name, (column, q) in wanted.items()])
+    found = elements(rows.select(F.explode(each).alias("e")).select("e.*"), "v", {"at": F.floor((F.col("n") - 1) * F.col("q"))}, ("name", "q"))
+    of = lambda name: F.coalesce(F.min(F.when(F.col("name") == name, F.col("at"))), F.lit(float("inf"))).alias(name)
+    return found.agg(*map(of, wanted))
 
 
 def percentile_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the share of smaller values among the others in percent; 100 if there's one value at most."""
-    value = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    less = F.coalesce(F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy())
-    rank = value.withColumn(name, F.when(total <= 1, 100.0).otherwise(less / F.nullif(total - 1, F.lit(0)).cast("double") * 100)).select(column, name)
+    value = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("c"))
+    upto = running(value, [F.col(column)], {"upto": F.col("c")}, totals=True)
+    less = F.col("upto") - F.col("c")
+    rank = upto.withColumn(name, F.when(F.col("upto_all") <= 1, 100.0).otherwise(less / F.nullif(F.col("upto_all") - 1, F.lit(0)).cast("double") * 100)).select(column, name)
     return rows.join(rank, column, "left")
 
 

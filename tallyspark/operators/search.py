@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import semantics as S
 
-MOST = {"projects": 100, "recipients": 100, "spending": 100}
+#: Rows of a page at most; a fixed value.
+MOST = 100
 
 
 def normalized(query: str) -> str:
@@ -17,7 +18,14 @@ def normalized(query: str) -> str:
 
 
 def page(df: DataFrame, limit: int, offset: int) -> DataFrame:
-    return df.offset(offset).limit(min(limit, 100))
+    """A page of an answer: limit rows from offset on, MOST at most."""
+    return df.offset(offset).limit(min(limit, MOST))
+
+
+def page_info(df: DataFrame, limit: int, offset: int) -> DataFrame:
+    """One row beside a page: total, how many rows there are in all, and next_offset, where the next page begins (null after the last)."""
+    after = offset + min(limit, MOST)
+    return df.agg(F.count(F.lit(1)).alias("total")).withColumn("next_offset", F.when(F.col("total") > after, F.lit(after)))
 
 
 def with_normal(rows: DataFrame, columns: list[str]) -> DataFrame:

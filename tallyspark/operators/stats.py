@@ -64,6 +64,32 @@ def discrimination(rows: DataFrame, column: str) -> DataFrame:
                         (F.col("lowest") / t).alias("low_share"), (F.col("highest") / t).alias("high_share"))
 
 
+def levels(rows: DataFrame, column: str, low: int, high: int, width: int = 3, cover: float = 0.8) -> DataFrame:
+    """How a score uses the whole levels of its scale, low to high: n, distinct, used levels, mean, sd, range, tie rate, entropy over that of all levels, the share of the best width levels in a row
+    and where they begin, how many in a row hold cover of all rows at least, and the shares of two levels at either end. Rows are counted by value first; the rest is over one row of levels."""
+    v = F.col(column).cast("double")
+    values = rows.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    level = F.least(F.lit(high), F.greatest(F.lit(low), S.half_up(F.col("v")).cast("int")))
+    one = values.groupBy().agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum(F.col("v") * F.col("v") * F.col("c")).alias("__q"),
+                               (F.max("v") - F.min("v")).alias("range"), F.sum(F.col("c") * (F.col("c") - 1)).alias("__ties"))
+    counted = values.groupBy(level.alias("l")).agg(F.sum("c").alias("c")).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("m"))
+    total = high - low + 1
+    t = one.crossJoin(counted).withColumn("__c", F.transform(F.sequence(F.lit(low), F.lit(high)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))))  # one row each
+    n, add = F.col("n"), lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def sums(w: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(total - w + 1)), lambda i: add(F.slice("__c", i, w)))
+
+    best = F.array_max(sums(min(width, total)))
+    enough = F.coalesce(*[F.when(F.array_max(sums(w)) / n >= cover, F.lit(w)) for w in range(1, total + 1)], F.lit(total))
+    entropy = -F.aggregate("__c", F.lit(0.0), lambda x, c: x + F.when(c > 0, c / n * F.log(c / n)).otherwise(0.0)) / F.log(F.lit(float(max(total, 2))))
+    return t.where("n > 0").select(
+        "n", "distinct", F.size(F.filter("__c", lambda c: c > 0)).alias("used"), "mean", F.sqrt(F.greatest(F.col("__q") / n - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("sd"), "range",
+        F.when(n > 1, F.col("__ties") / (n * (n - 1))).otherwise(0.0).alias("tie_rate"), entropy.alias("entropy"), (best / n).alias("band_share"),
+        (F.array_position(sums(min(width, total)), best) - 1 + low).alias("band_from"), enough.alias("cover_width"), (add(F.slice("__c", 1, 2)) / n).alias("low_share"),
+        (add(F.slice("__c", -min(2, total), 2)) / n).alias("high_share"))
+
+
 def segments(rows: DataFrame, order: str, key: str, parts: int = 5) -> DataFrame:
     """Adds segment 0 .. parts - 1 of floor(n / parts) rows each by rank; the rest goes to the last."""
     rank = F.row_number().over(Window.orderBy(order, key)) - 1

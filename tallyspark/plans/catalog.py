@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import budget_queries, detail_queries, flow_queries, graph_queries, overview_queries, page_queries, review_queries, source_queries, stat_queries, window_queries  # noqa: F401
+    from . import budget_queries, detail_queries, flow_queries, graph_queries, overview_queries, page_queries, review_queries, source_queries, stat_queries, text_queries, window_queries  # noqa: F401
