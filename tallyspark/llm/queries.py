@@ -26,4 +26,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_mix": mixing.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_vectors": embedding_dedup.OP8_SQL,
-            "op13_trie": prefix_trie.OP13_SQL}
+            "op11_private": sanitise.OP11_SQL, "op13_trie": prefix_trie.OP13_SQL}

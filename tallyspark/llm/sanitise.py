@@ -162,7 +162,7 @@ def sized(df: DataFrame, n: int) -> DataFrame:
 def disclosing(docs: DataFrame, seen: DataFrame, hidden: float = HIDDEN, support: int = SUPPORT) -> DataFrame:
     """docs(text), seen(contexts) -> term, action (generalise or remove), stem: a written table of the terms that disclose an entity."""
     near = (seen.select("key", F.explode("contexts").alias("c")).groupBy("key", "c.entity", "c.words").agg(F.count(F.lit(1)).alias("n"))
-            .where(F.size("words") > 0).withColumn("context", F.min(F.xxhash64("words")).over(Window.partitionBy("key", "entity")))
+            .where(F.size("words") > 0).withColumn("context", F.min(F.md5(F.array_join("words", " "))).over(Window.partitionBy("key", "entity")))
             .groupBy("entity", "words", "context").agg(F.sum("n").alias("n")))
     near = written(near, "contexts")
     entities = near.groupBy("entity").agg(F.sum(F.col("n") * F.size("words")).alias("n_e"), F.countDistinct("context").alias("different"))
@@ -251,3 +251,48 @@ def op11_private(spark, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return spans.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                         listed(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+
+
+def _sql_kind(k: int) -> str:
+    p = SQL_PATTERNS[KINDS[k]]
+    return f"SELECT rid, {k} AS kind, regexp_extract_all(text, '{p}') AS h, regexp_split_to_array(text, '{p}') AS g FROM d"
+
+
+SQL_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+SQL_PUNCTUATION = PUNCTUATION.replace("'", "''")
+
+
+def _sql_term(word: str) -> str:
+    return f"trim(lower({word}), '{SQL_PUNCTUATION}')"
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS text FROM documents),
+k AS ({' UNION ALL '.join(map(_sql_kind, range(4)))}),
+u AS (SELECT rid, kind, h, g, unnest(range(1, len(h) + 1)) AS i FROM k WHERE len(h) > 0),
+v AS (SELECT rid, kind, h[i] AS hit, regexp_replace(h[i], '[^0-9]', '', 'g') AS digits,
+             CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM u),
+base AS (SELECT rid, kind, hit, start, start + length(hit) AS stop FROM v WHERE CASE kind WHEN 0 THEN TRUE WHEN 1 THEN regexp_full_match(hit, '{PART}\\.{PART}\\.{PART}\\.{PART}')
+  WHEN 3 THEN length(digits) BETWEEN 10 AND 15 ELSE length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, 21), lambda j: CASE WHEN j % 2 = 0
+   THEN CAST(substr(lpad(digits, 20, '0'), j, 1) AS INTEGER) ELSE 2 * CAST(substr(lpad(digits, 20, '0'), j, 1) AS INTEGER) - 9 * (substr(lpad(digits, 20, '0'), j, 1) > '4')::INT END)) % 10 = 0 END),
+sides AS (SELECT rid, kind, hit, substr(text, GREATEST(start - {NEAR}, 0) + 1, start - GREATEST(start - {NEAR}, 0)) AS l, substr(text, stop + 1, {NEAR}) AS r, start > {NEAR} AS cut FROM base JOIN d USING (rid)),
+words AS (SELECT rid, ['email', 'ip', 'card', 'phone'][kind + 1] || ':' || lower(hit) AS entity, list_filter(list_transform(regexp_split_to_array(
+   regexp_replace(CASE WHEN cut THEN regexp_replace(l, '^{WORD}', '') ELSE l END, '{WORD}$', '') || ' ' ||
+   regexp_replace(CASE WHEN length(r) = {NEAR} THEN regexp_replace(r, '{WORD}$', '') ELSE r END, '^{WORD}', ''), '{GAP}'), lambda w: {_sql_term('w')}), lambda t: length(t) >= {TERM} AND NOT contains(t, '@') AND regexp_matches(t, '\\p{{L}}')) AS words FROM sides),
+near AS (SELECT entity, words, MIN(md5(array_to_string(words, ' '))) OVER (PARTITION BY text, entity) AS context FROM words JOIN d USING (rid) WHERE len(words) > 0),
+e AS (SELECT entity, SUM(len(words)) AS n_e, COUNT(DISTINCT context) AS contexts FROM near GROUP BY 1 HAVING COUNT(DISTINCT context) >= {SUPPORT}),
+p AS (SELECT entity, term, substr(term, 1, {STEM}) AS stem, COUNT(*) AS n_te, COUNT(DISTINCT context) AS contexts FROM (SELECT entity, context, unnest(words) AS term FROM near SEMI JOIN e USING (entity)) GROUP BY 1, 2),
+w AS (SELECT {_sql_term('w')} AS term FROM (SELECT unnest(regexp_split_to_array(text, '{GAP}')) AS w FROM d) WHERE w <> ''),
+n AS (SELECT COUNT(*) AS n FROM w),
+told AS (SELECT DISTINCT term FROM p JOIN e USING (entity), n WHERE p.contexts >= {SUPPORT} AND n.n > {2 ** HIDDEN} * n_e AND
+  (SELECT COUNT(*) FROM w WHERE w.term = p.term) <= {2 ** HIDDEN} * LEAST(n_te, (SELECT COUNT(*) FROM w WHERE w.term = p.term))),
+o AS (SELECT rid, h, g, unnest(range(1, len(h) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, '{WORD}') AS h, regexp_split_to_array(text, '{WORD}') AS g FROM d
+      WHERE EXISTS (SELECT 1 FROM told WHERE contains(lower(text), term)))),
+q AS (SELECT rid, h[i] AS hit, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+      FROM o WHERE {_sql_term('h[i]')} IN (SELECT term FROM told)),
+terms AS (SELECT rid, start + length(hit) - length(ltrim(hit, '{SQL_PUNCTUATION}')) AS start, start + length(rtrim(hit, '{SQL_PUNCTUATION}')) AS stop FROM q),
+spans AS (SELECT rid, kind, start, stop FROM base UNION ALL SELECT rid, 4, start, stop FROM terms t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = t.rid AND b.start < t.stop AND t.start < b.stop)),
+x AS (SELECT rid, {', '.join(f"COUNT(*) FILTER (kind = {k}) AS n_{KINDS[k]}" for k in range(4))},
+  string_agg(['email', 'ip', 'card', 'phone'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 4) AS base,
+  string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM spans GROUP BY 1)
+SELECT doc_id, {', '.join(f"COALESCE(n_{k}, 0) AS n_{k}" for k in KINDS[:4])}, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM d LEFT JOIN x USING (rid)"""

@@ -94,6 +94,11 @@ def test_op11_terms(spark):
         t = texts[x.doc_id] or ""
         assert [(s.start, s.end) for s in x.terms] == [m.span() for m in re.finditer(r"[A-Za-z]+", t) if m[0].lower() in want and not any(
             a < m.end() and m.start() < b for a, _, b in private(t))]
+    duck = pytest.importorskip("duckdb").connect()
+    duck.register("documents", docs.toPandas())
+    told = dict(duck.execute(f"SELECT doc_id, spans FROM ({sanitise.OP11_SQL})").fetchall())
+    listed = lambda x: ",".join(f"{sanitise.KINDS[s.kind]}:{s.start}:{s.end}" for s in sorted([*x.base, *x.terms], key=lambda s: (s.start, s.kind)))
+    assert {x.doc_id: listed(x) for x in spans.collect()} == told and sum("term" in v for v in told.values()) == 6
     clean = {x.doc_id: x.text for x in sanitise.sanitised(docs).collect()}
     assert len(clean) == len(texts) and clean[45].count("zor*") == 2 and "[EMAIL]" in clean[45] and "quibble" not in clean[45] and clean[len(texts) - 2] is None
     assert all(clean[i] == t for i, t in enumerate(texts) if t and not private(t) and not set(re.findall("[a-z]+", t)) & set(want))
