@@ -83,11 +83,13 @@ def overview_links(t: DataFrame) -> DataFrame:
 
 def top_with_other(rows: DataFrame, name: str, value: str, n: int, least_share: float = 0.0) -> DataFrame:
     """The n largest that have at least a share of all; the rest as one row named その他."""
-    total = F.sum(value).over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.desc(value), name))
-    kept = (rank <= n) & (F.col(value).cast("double") / F.nullif(total, F.lit(0)) >= least_share)
-    return rows.withColumn("__name", F.when(kept, F.col(name)).otherwise("その他")).groupBy(F.col("__name").alias(name)).agg(
-        F.sum(value).alias(value), F.count(F.lit(1)).alias("members"))
+    whole = rows.agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    share = F.col(value).cast("double") / F.nullif("__sum", F.lit(0))
+    top = rows.orderBy(F.desc(value), name).limit(n).crossJoin(F.broadcast(whole)).where(share >= least_share)  # n rows, one row
+    rest = top.agg(F.coalesce(F.sum(value), F.lit(0)).alias("__top"), F.count(F.lit(1)).alias("__k")).crossJoin(whole).where("__n > __k").select(
+        F.lit("その他").alias(name), (F.col("__sum") - F.col("__top")).alias(value), (F.col("__n") - F.col("__k")).alias("members"))
+    own = top.select(name, F.col(value), F.lit(1).cast("long").alias("members"))
+    return own.unionByName(rest).groupBy(name).agg(F.sum(value).alias(value), F.sum("members").alias("members"))
 
 
 # ---- hierarchy --------------------------------------------------------------------------------------------------------
@@ -168,6 +170,8 @@ def related(links: DataFrame, node: str, rounds: int = 6) -> DataFrame:
         front = start
         for _ in range(rounds):
             front = held(links.join(front, links[a] == front["id"], "left_semi").select(F.col(b).alias("id")).distinct())
+            if front.isEmpty():
+                break
             found = found.unionByName(front)
     return found.distinct()
 
@@ -185,6 +189,8 @@ def focused(nodes: DataFrame, links: DataFrame, node: str, layers: int = 6) -> D
         reach = step.groupBy(F.col("target").alias("id")).agg(F.sum("value").alias("flow"))
         own = held(reach.join(nodes.select("id", F.col("amount").cast("double").alias("amount")), "id")
                    .select("id", F.least(F.lit(1.0), F.col("flow") / F.nullif("amount", F.lit(0.0))).alias("share"), "flow"))
+        if own.isEmpty():
+            break
     own = share
     for _ in range(layers):  # up: each parent gives the part that its link has of what the node takes in
         into = links.join(own.select(F.col("id").alias("target"), "flow"), "target")
@@ -192,6 +198,8 @@ def focused(nodes: DataFrame, links: DataFrame, node: str, layers: int = 6) -> D
         step = into.join(whole, "target").withColumn("value", F.col("flow") * F.col("value") / F.nullif("whole", F.lit(0)))
         out = out.unionByName(step.select("source", "target", "value"))
         own = held(step.groupBy(F.col("source").alias("id")).agg(F.sum("value").alias("flow")).withColumn("share", F.lit(1.0)))
+        if own.isEmpty():
+            break
     return out.groupBy("source", "target").agg(F.sum("value").alias("value"))
 
 

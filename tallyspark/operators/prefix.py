@@ -36,7 +36,7 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: tup
     local = dealt.withColumns({k: F.coalesce(F.sum(f"__{k}").over(own), F.lit(0)) for k in sums})
     # a group may be null
     match = [local[c].eqNullSafe(bases[c]) for c in by] + [local["__part"] == bases["__part"]]
-    both = local.join(bases, match).select(*[local[c] for c in df.columns if not c.startswith("__")], *[(local[k] + bases[f"__b_{k}"]).alias(k) for k in sums],
+    both = local.join(bases, match).select(*[local[c] for c in df.columns if c not in {f"__{k}" for k in sums}], *[(local[k] + bases[f"__b_{k}"]).alias(k) for k in sums],
                                            *[bases[f"{k}_all"] for k in sums if totals])
     return held(both)
 

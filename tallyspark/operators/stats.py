@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.functions import semantics as S
+from tallyspark.operators.prefix import running
 from tallyspark.tables import held
 
 #: Numbers of a block of group sums that goes to each task.
@@ -30,9 +31,8 @@ def histogram(rows: DataFrame, column: str, width: float = 10.0, bins: int = 11)
 
 def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the mean rank of ties."""
-    n = rows.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(n.withColumn(name, before + (F.col("__n") + 1) / 2.0).drop("__n"), column)
+    n = running(rows.groupBy(column).agg(F.count(F.lit(1)).alias("c")), [F.col(column)], {"upto": F.col("c")})
+    return rows.join(n.select(column, (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2.0).alias(name)), column)
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -92,18 +92,16 @@ def levels(rows: DataFrame, column: str, low: int, high: int, width: int = 3, co
 
 def segments(rows: DataFrame, order: str, key: str, parts: int = 5) -> DataFrame:
     """Adds segment 0 .. parts - 1 of floor(n / parts) rows each by rank; the rest goes to the last."""
-    rank = F.row_number().over(Window.orderBy(order, key)) - 1
-    size = F.greatest(F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / parts), F.lit(1))
-    return rows.withColumn("segment", F.least(F.floor(rank / size), F.lit(parts - 1)).cast("int"))
+    size = F.greatest(F.floor(F.col("__all") / parts), F.lit(1))
+    placed = running(rows, [F.col(order), F.col(key)], {"__rank": F.lit(1).cast("long")}, totals=True).withColumnRenamed("__rank_all", "__all")
+    return placed.withColumn("segment", F.least(F.floor((F.col("__rank") - 1) / size), F.lit(parts - 1)).cast("int")).drop("__rank", "__all")
 
 
 def size_scale(rows: DataFrame, column: str, low: float, high: float, power: float = 1.5) -> DataFrame:
     """Adds radius: between low and high by the share of values up to a row's."""
-    n = rows.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__n").over(Window.partitionBy())
-    share = F.when(total > 1, (upto - 1) / (total - 1)).otherwise(1.0)
-    return rows.join(n.withColumn("radius", low + (high - low) * F.pow(share, power)).drop("__n"), column)
+    n = running(rows.groupBy(column).agg(F.count(F.lit(1)).alias("c")), [F.col(column)], {"upto": F.col("c")}, totals=True)
+    share = F.when(F.col("upto_all") > 1, (F.col("upto") - 1) / (F.col("upto_all") - 1)).otherwise(1.0)
+    return rows.join(n.select(column, (low + (high - low) * F.pow(share, power)).alias("radius")), column)
 
 
 # ---- vectors ----------------------------------------------------------------------------------------------------------

@@ -245,3 +245,18 @@ def stacked_links(spark, sf_dir):
 
     nodes, edges = drawn(spark, sf_dir)
     return stacking.stacked_links(edges, nodes)
+
+
+# ---- projects that pay nobody ---------------------------------------------------------------------------------------------------
+
+@query("WITH " + model_sql() + """, k AS (SELECT pid, budget, CASE WHEN pid % 10 = 3 THEN 0 ELSE spent END AS spent FROM p)
+SELECT 'project-spending-' || pid AS source, 'r-no-spending' AS target, 0 AS value, (SELECT COUNT(*) FROM k WHERE spent = 0 AND budget > 0) AS unpaid FROM k WHERE spent = 0 AND budget > 0""")
+def unpaid_edges(spark, sf_dir):
+    """A tenth of the projects pays nobody: they hang at one node without value."""
+    from tallyspark.operators.flow import NO_SPENDING, build_graph
+
+    b = A.budgets(spark, sf_dir, YEAR)
+    own = A.projects(spark, sf_dir).join(b.select("pid"), "pid", "left_semi")
+    g = build_graph(own, b, A.spending(spark, sf_dir, YEAR).where("pid % 10 <> 3"))
+    edges = g.edges.where(F.col("target") == NO_SPENDING).join(g.nodes.where(F.col("type") == "recipient").select(F.col("id").alias("target")), "target")
+    return edges.crossJoin(edges.agg(F.count(F.lit(1)).alias("unpaid"))).select("source", "target", F.col("value").cast("int").alias("value"), "unpaid")

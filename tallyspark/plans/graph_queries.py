@@ -35,6 +35,14 @@ def merge_parallel(spark, sf_dir):
     return blocks.merge_parallel(flows(spark, sf_dir))
 
 
+@query(FLOWS + """,
+w AS (SELECT DISTINCT pid, target AS block, 1 AS depth, '組織→' || target AS chain FROM fl WHERE source IS NULL
+      UNION ALL SELECT w.pid, ed.target, w.depth + 1, w.chain || '→' || ed.target FROM w JOIN ed ON ed.pid = w.pid AND ed.source = w.block WHERE NOT contains(w.chain || '→', '→' || ed.target || '→'))
+SELECT pid, block, CAST(depth AS INTEGER) AS depth, MIN(chain) AS chain FROM w JOIN (SELECT pid, block, MIN(depth) AS depth FROM w GROUP BY 1, 2) USING (pid, block, depth) GROUP BY 1, 2, 3""")
+def order_chains(spark, sf_dir):
+    return blocks.shortest_depths(flows(spark, sf_dir), chains=True)
+
+
 @query(FLOWS + """,
 d AS (SELECT DISTINCT pid, target AS block, 1 AS depth FROM fl WHERE source IS NULL
       UNION SELECT d.pid, ed.target, d.depth + 1 FROM d JOIN ed ON ed.pid = d.pid AND ed.source = d.block WHERE d.depth < 30)

@@ -212,3 +212,18 @@ def note_kinds(spark, sf_dir):
     notes = F.array(F.concat("o_orderpriority", F.lit("(参考)")), *[F.lit(x) for x in ("移替え参考", "民間融資", "利子補給金", None, "")])
     kinds = S.note_kinds(F.get(notes, (F.col("o_orderkey") % 6).cast("int")))
     return A.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in kinds.items()])
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, c_name AS recipient, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE ' ' END AS number, o_orderkey % 4 = 0 AS verified, c_custkey % 2 = 0 AS named, c_acctbal > 0 AS good,
+ c_mktsegment = 'BUILDING' AS gov, c_nationkey < 5 AS supp FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT o_orderkey, CASE WHEN NOT named THEN CASE WHEN verified THEN 'cn' ELSE 'unknown' END
+ WHEN good THEN CASE WHEN trim(number) <> '' THEN 'valid' ELSE 'invalid' END WHEN gov THEN 'gov' WHEN supp THEN 'supp' WHEN verified THEN 'cn' ELSE 'invalid' END AS status FROM r""")
+def dictionary_status(spark, sf_dir):
+    """The tiers over dictionaries that are made of the customers."""
+    k, c = F.col("o_orderkey"), A.table(spark, sf_dir, "customer")
+    rows = A.table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.col("c_name").alias("recipient"), F.when(k % 3 > 0, F.col("o_orderstatus")).otherwise(" ").alias("number"), (k % 4 == 0).alias("verified"))
+    name = F.col("c_name").alias("name")
+    return screening.row_status(rows, c.where("c_custkey % 2 = 0").select(name, (F.col("c_acctbal") > 0).alias("good")), c.where("c_mktsegment = 'BUILDING'").select(name),
+                                c.where("c_nationkey < 5").select(name)).select("o_orderkey", "status")
