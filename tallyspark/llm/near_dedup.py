@@ -41,9 +41,9 @@ STAR_ROUNDS = 3
 #: Class ids up to this number are broadcast to find their texts.
 BROADCAST_IDS = 500_000
 #: Documents of a pack.
-PACK = 4096
+PACK = 2048
 #: Rows of a batch of full sets; lists up to this number of classes are compared pair by pair; shingles of a block, retained values of a range.
-ROWS, SHORT, BLOCK, RANGE = 500, 16, 1 << 19, 1 << 21
+ROWS, SHORT, BLOCK, RANGE = 500, 16, 1 << 19, 1 << 20
 #: Word hashes that a worker keeps.
 CACHE = 200_000
 
