@@ -112,8 +112,8 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / n)
+    # the norm is an element of an array of one, so that it's computed once and not for each number
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -140,6 +140,72 @@ def plane(rows: DataFrame, column: str) -> DataFrame:
     return out.withColumns({"x": F.col("__p")[0], "y": F.col("__p")[1]}).drop("__v", "__p")
 
 
+def near_in_cells(rows: DataFrame, key: str, column: str, k: int = 8, cell: int = 512, seed: int = 42) -> DataFrame:
+    """a, b, w: edges from each different vector to the k nearest by cosine of its cell, w their cosine above 0. Cells are k-means clusters, dealt into blocks of some cell rows by a hash, so a
+    large cluster is compared in blocks and not as a whole: neighbours are near ones, not always the nearest. Null and zero vectors have no edge; of equal ones the least key stands for all."""
+    import numpy as np
+    import pandas as pd
+
+    v = rows.where(F.coalesce(norm(F.col(column)), F.lit(0.0)) > 0).groupBy(unit(F.col(column)).alias("v")).agg(F.min(key).alias("id"))
+    v = held(v)
+    n = v.count()
+    if n < 2:
+        return rows.sparkSession.createDataFrame([], "a long, b long, w double")
+    dealt = held(k_means(v, "v", max(2, min(256, n // cell + 1)), seed))
+    dealt = dealt.join(dealt.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / cell)).cast("int")
+
+    def nearest(group: pd.DataFrame) -> pd.DataFrame:
+        x, ids, m = np.stack(group["v"].to_list()), group["id"].to_numpy(), min(k, len(group) - 1)
+        if m < 1:
+            return pd.DataFrame({"a": [], "b": [], "w": []}).astype({"a": "int64", "b": "int64"})
+        cos = x @ x.T
+        np.fill_diagonal(cos, -2)
+        top = np.argpartition(-cos, m - 1, axis=1)[:, :m]
+        return pd.DataFrame({"a": np.repeat(ids, m), "b": ids[top].ravel(), "w": np.maximum(np.take_along_axis(cos, top, 1).ravel(), 0)})
+
+    return held(dealt.withColumn("block", block).groupBy("cluster", "block").applyInPandas(nearest, "a long, b long, w double").where("w > 0"))
+
+
+def spectral_plane(rows: DataFrame, key: str, column: str, rounds: int = 20, **options) -> DataFrame:
+    """rows plus x, y: a spectral layout of the neighbour graph. The two slowest ways of a random walk on it are found by power iteration: a round is a join of the written edges with
+    the written places and a sum by node; each time the constant and, of y, x are taken out and both are scaled. Vectors without a neighbour stand at 0, equal ones at one place."""
+    edges = near_in_cells(rows, key, column, **options)
+    both = held(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w")))
+    start = lambda s: (F.pmod(F.xxhash64("a", F.lit(s)), F.lit(1 << 20)) / float(1 << 19) - 1)
+    now = held(both.groupBy("a").agg(F.sum("w").alias("d")).withColumns({"x": start("x"), "y": start("y")}))
+    for _ in range(rounds):
+        moved = both.join(now.select(F.col("a").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b").groupBy("a").agg(
+            F.sum(F.col("w") * F.col("bx")).alias("sx"), F.sum(F.col("w") * F.col("by")).alias("sy"))
+        step = held(now.join(moved, "a").select("a", "d", ((F.col("x") + F.col("sx") / F.col("d")) / 2).alias("x"), ((F.col("y") + F.col("sy") / F.col("d")) / 2).alias("y")))
+        s = lambda e: F.sum(F.col("d") * e)
+        x, y = F.col("x"), F.col("y")
+        m = step.agg(F.sum("d").alias("d"), s(x).alias("x"), s(y).alias("y"), s(x * x).alias("xx"), s(x * y).alias("xy"), s(y * y).alias("yy")).first()
+        if not m.d:
+            break
+        mx, my = m.x / m.d, m.y / m.d
+        xx, xy, yy = m.xx / m.d - mx * mx, m.xy / m.d - mx * my, m.yy / m.d - my * my
+        part = xy / xx if xx > 0 else 0.0
+        rest = yy - part * xy
+        fit = lambda e, size: e / F.lit(size**0.5) if size > 1e-18 else F.lit(0.0)
+        now = step.select("a", "d", fit(x - mx, xx).alias("x"), fit((y - my) - part * (x - mx), rest).alias("y"))
+    places = now.select(F.col("a").alias("__a"), "x", "y")
+    same = rows.where(F.coalesce(norm(F.col(column)), F.lit(0.0)) > 0).groupBy(unit(F.col(column)).alias("__v")).agg(F.min(key).alias("__a"))
+    able = F.coalesce(norm(F.col(column)), F.lit(0.0)) > 0
+    placed = rows.withColumn("__v", unit(F.when(able, F.col(column)))).join(same, "__v", "left").join(places, "__a", "left").drop("__v", "__a")
+    return placed.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in "xy"})
+
+
+def plane_accuracy(points: DataFrame, k: int = 5, every: int = 20) -> DataFrame:
+    """One row: of the points(id, x, y, label) whose id is divisible by every, the share that most of their k nearest others in the plane agree with; accuracy, n."""
+    q = points.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("label").alias("truth"))
+    far = F.pow(F.col("x") - F.col("qx"), 2) + F.pow(F.col("y") - F.col("qy"), 2)
+    near = points.join(q, F.col("id") != F.col("qid")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(far, "id"))).where(F.col("rank") <= k)
+    votes = near.groupBy("qid", "truth", "label").agg(F.count(F.lit(1)).alias("n"))
+    won = votes.groupBy("qid", "truth").agg(F.min_by("label", F.struct((-F.col("n")).alias("o"), "label")).alias("vote"))
+    return won.agg(F.avg((F.col("vote") == F.col("truth")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
 def knn_votes(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """queries and rows (id, vector, label): the label that most of the k nearest others have (the least on ties). queries is a stated sample: it's
     what each row is held against, block by block."""

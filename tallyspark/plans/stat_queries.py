@@ -105,3 +105,12 @@ query()(excerpts)
 def embedding_clusters(spark, sf_dir):
     rows = A.table(spark, sf_dir, "embeddings")
     return stats.plane(stats.k_means(rows, "embedding", 8), "embedding").select("vec_id", "cluster", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query()
+def map_accuracy(spark, sf_dir):
+    """How well neighbours in the plane tell a vector's label, for the spectral layout and for two principal components."""
+    rows = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label").where("label is not null")
+    maps = {"spectral": stats.spectral_plane(rows, "id", "embedding"), "components": stats.plane(rows, "embedding")}
+    found = [stats.plane_accuracy(m.select("id", "x", "y", "label")).withColumn("method", F.lit(name)) for name, m in maps.items()]
+    return found[0].unionByName(found[1]).select("method", F.round("accuracy", 4).alias("accuracy"), "n")
