@@ -212,7 +212,7 @@ def format_yen(x: Column) -> Column:
     """Yen in tiers: 兆 with two places, 億 with none from 100 on and two below, 万, 円."""
     y = F.abs(x.cast("double"))
     sign = F.when(x < 0, "-").otherwise("")
-    fixed = lambda v, p: F.regexp_replace(F.format_number(v, p), ",", "")
+    fixed = lambda v, p: F.regexp_replace(F.format_number(v, p), ",", "") if p else F.format_number(v, 0)
     body = (F.when(y >= 1e12, F.concat(fixed(y / 1e12, 2), F.lit("兆円"))).when(y >= 1e10, F.concat(fixed(y / 1e8, 0), F.lit("億円")))
             .when(y >= 1e8, F.concat(fixed(y / 1e8, 2), F.lit("億円"))).when(y >= 1e4, F.concat(fixed(y / 1e4, 0), F.lit("万円")))
             .otherwise(F.concat(fixed(y, 0), F.lit("円"))))

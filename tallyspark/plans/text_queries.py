@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions import money
 from tallyspark.functions.normalise import normalised
 from tallyspark.operators import flow, review, shaping, stats
 from tallyspark.plans import adapter as A
@@ -110,3 +111,20 @@ x AS (SELECT SUM(m * ln(m)) AS l FROM (SELECT SUM(n) AS m FROM c GROUP BY a)), y
 SELECT ROUND(2 * (ln(t.n) + (t.l - x.l - y.l) / t.n) / (2 * ln(t.n) - (x.l + y.l) / t.n), 6) AS nmi FROM t, x, y""")
 def mutual_information(spark, sf_dir):
     return stats.agreement(A.table(spark, sf_dir, "part"), "p_brand", "p_type").select(F.round("nmi", 6).alias("nmi"))
+
+
+# ---- amounts ------------------------------------------------------------------------------------------------------------------
+
+PLACES = "(({0} + {1} // 2) // {1}) // {2} || '.' || lpad(CAST((({0} + {1} // 2) // {1}) % {2} AS VARCHAR), {3}, '0')"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS id, CAST(ROUND(o_totalprice * 100) AS BIGINT) * [1, 1000, 1000000][o_orderkey % 3 + 1] AS v FROM orders)
+SELECT id, CASE WHEN v >= 1000000000000 THEN {PLACES.format('v', 10**10, 100, 2)} || '兆円' WHEN v >= 100000000 THEN {PLACES.format('v', 10**7, 10, 1)} || '億円'
+ WHEN v >= 10000 THEN format('{{:,}}', (v + 5000) // 10000) || '万円' ELSE format('{{:,}}', v) || '円' END AS short,
+CASE WHEN v >= 1000000000000 THEN {PLACES.format('v', 10**11, 10, 1)} || '兆円' ELSE (v + 50000000) // 100000000 || '億円' END AS oku,
+CASE WHEN v >= 1000000000000 THEN {PLACES.format('v', 10**10, 100, 2)} || '兆円' WHEN v >= 100000000 THEN {PLACES.format('v', 10**6, 100, 2)} || '億円'
+ WHEN v >= 10000 THEN {PLACES.format('v', 100, 100, 2)} || '万円' ELSE format('{{:,}}', v) || '円' END AS plain FROM a""")
+def yen_labels(spark, sf_dir):
+    v = A.cents("o_totalprice") * F.element_at(F.array(*[F.lit(x) for x in (1, 1000, 1000000)]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), v.alias("v"))
+    return rows.select("id", money.yen_short(F.col("v")).alias("short"), money.oku(F.col("v")).alias("oku"), money.budget_from_yen(F.col("v")).alias("plain"))
