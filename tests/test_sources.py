@@ -112,3 +112,21 @@ def test_json_file(spark, tmp_path):
     assert [[r.x for r in files.read_json_file(spark, str(tmp_path / n), "x int").collect()] for n in "ab"] == [[1], [2, 3]]
     with pytest.raises(FileNotFoundError):
         files.read_json_file(spark, str(tmp_path / "c"), "x int")
+
+
+def test_members_of_unequal_size_share_an_archive(spark, tmp_path):
+    """Both members of an archive come from frames grouped by it, and adaptive execution merges only the small ones' partitions."""
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        member = lambda name, n: (spark.range(20 * n, numPartitions=2).withColumn("of", F.concat(F.lit("a"), F.col("id") % 20)).groupBy("of")
+                                  .agg(archives.csv_text([F.sha2(F.col("id").cast("string"), 256)], [F.col("id")]).alias("text"))
+                                  .select(F.col("of").alias("archive"), F.lit(name).alias("member"), "text"))
+        archives.write_archives(member("b.csv", 15000).unionByName(member("a.csv", 2)), f"file://{tmp_path}")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = {p.name: {m: z.read(m).count(b"\n") + 1 for m in z.namelist()} for p in tmp_path.glob("*.zip") for z in [zipfile.ZipFile(p)]}
+    assert sizes == {f"a{i}.zip": {"a.csv": 2, "b.csv": 15000} for i in range(20)}
