@@ -41,11 +41,20 @@ KEY = WINDOW + SPAN
 #: Text of a chunk, windows handled at once, text for each range of hashes (bytes).
 CHUNK, STEP, RANGE = 2 << 20, 1 << 18, 4 << 20
 #: Anchors that occur more often are replaced by their windows.
-FREQUENT = 2000
+FREQUENT, MOST_FREQUENT = 2000, 64_000
+#: Bytes of text up to which these hold (see `sizes`).
+BASE = 256 << 20
 LAST = 2**63 - 1
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
+def sizes(total: int) -> tuple[int, int, int]:
+    """(text of a chunk, text of a range, occurrences of an anchor that are many) for so many bytes of text. Each chunk sends a row to each range, so beyond BASE
+    both grow with the root of the text: the rows then grow as the text does, and not with its square."""
+    more = max(1.0, total / BASE)
+    return int(CHUNK * more**0.5), int(RANGE * more**0.5), int(min(FREQUENT * more, MOST_FREQUENT))
+
+
 def packed(**arrays) -> bytes:
     import zstandard
 
@@ -473,20 +482,23 @@ def applied(group: pa.Table, folder: str) -> pa.Table:
                                 zip(*(x[c["docs"]].tolist() for x in (whole["ids"], whole["lengths"], ends)), strict=True)])
 
 
-def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
+def deduplicated(docs: DataFrame, chunk_bytes: int | None = None, frequent: int | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "texts")
-    packs = chunks(docs, chunk_bytes, folder)
-    total = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    ranges = max(shuffle_partitions(spark), -(-total // RANGE))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunk, span, often = sizes(total)
+    often = often if frequent is None else frequent
+    packs = chunks(docs, chunk_bytes or chunk, folder)
+    ranges = max(shuffle_partitions(spark), -(-total // span))
     shape = ", ".join(f"{f.name} {'string' if f.name == 'kept_sha256' else 'long'}" for f in RESULT)
-    told = hashes_of(packs.repartition(ranges, "chunk"), ranges, folder).groupBy("place").applyInArrow(lambda g: shared_hashes(g, frequent), SHAPE)
+    told = hashes_of(packs.repartition(ranges, "chunk"), ranges, folder).groupBy("place").applyInArrow(lambda g: shared_hashes(g, often), SHAPE)
     texts = packs.select(F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("place"), "chunk", F.lit(b"").alias("data"))
-    # what a chunk keeps for itself goes to a file beside its texts, so its runs are only ever in one shuffle
-    runs = texts.unionByName(told).groupBy("chunk").applyInArrow(lambda g: sorted_runs(g, ranges, folder), SHAPE)
-    told = runs.groupBy("place").applyInArrow(answers, SHAPE)
-    return texts.unionByName(told).groupBy("chunk").applyInArrow(lambda g: applied(g, folder), shape)
+    # what a chunk keeps for itself goes to a file beside its texts, so its runs are only ever in one shuffle; a chunk's work isn't told by the size of its
+    # rows there, so the tasks are as many as the ranges
+    runs = texts.unionByName(told).repartition(ranges, "chunk").groupBy("chunk").applyInArrow(lambda g: sorted_runs(g, ranges, folder), SHAPE)
+    told = runs.repartition(ranges, "place").groupBy("place").applyInArrow(answers, SHAPE)
+    return texts.unionByName(told).repartition(ranges, "chunk").groupBy("chunk").applyInArrow(lambda g: applied(g, folder), shape)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -64,6 +64,13 @@ def test_op1(spark, pairs):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_op1_rows_grow_as_the_text():
+    """Each chunk sends a row to each range: a hundred times the text may give a hundred times the rows, and not ten thousand times."""
+    rows = lambda total: -(-total // suffix_dedup.sizes(total)[0]) * -(-total // suffix_dedup.sizes(total)[1])
+    base = suffix_dedup.BASE
+    assert rows(100 * base) <= 102 * rows(base) and suffix_dedup.sizes(base) == suffix_dedup.sizes(1)
+
+
 def test_op1_merge_order():
     r = random.Random(1)
     runs = []
