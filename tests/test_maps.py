@@ -1,5 +1,6 @@
 """The plane of vectors: neighbours by cells, the spectral layout, its accuracy; equal, null and zero vectors."""
 
+import math
 import random
 
 import numpy as np
@@ -37,3 +38,24 @@ def test_accuracy(spark):
     pts = [(i, r.random() + (i % 2) * 10, 0.0, "ab"[i % 2]) for i in range(40)]
     row = stats.plane_accuracy(spark.createDataFrame(pts, "id long, x double, y double, label string"), 3, 5).first()
     assert (row.accuracy, row.n) == (1.0, 8)
+
+
+def test_votes_in_blocks(spark, monkeypatch):
+    """All pairs are held against each other block by block: no join makes a row of each, ties go to the least id, and what can't be compared comes last."""
+    r = random.Random(5)
+    v = [[float(r.choice((-1, 1, 2))) for _ in range(3)] for _ in range(90)]
+    v[7] = None
+    t = spark.createDataFrame([(i, x, f"l{i % 7}") for i, x in enumerate(v)], "id long, vector array<double>, label string")
+    cos = lambda a, b: -9 if a is None or b is None else math.floor(sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b) * 1e9 + 0.5)
+    want = {}
+    for q in range(0, 90, 4):
+        near = sorted((i for i in range(90) if i != q), key=lambda i: (-cos(v[q], v[i]), i))[:5]
+        votes = [f"l{i % 7}" for i in near]
+        want[q] = min(set(votes), key=lambda x: (-votes.count(x), x))
+    for size in (8, 10_000):
+        for name in ("NEAR_ROWS", "NEAR_QUERIES", "NEAR_STEP"):
+            monkeypatch.setattr(stats, name, size)
+        votes = stats.knn_votes(t.where("id % 4 = 0"), t)
+        assert {x.qid: x.vote for x in votes.collect()} == want
+        plan = votes._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
