@@ -1,17 +1,18 @@
 """Items of the budget book's XML forms: standard (first budgets), revised (supplementary ones) and settlement (accounts).
 
 A form is a grid of cells; what a row means depends on rows before it: a section is printed where it begins, a settlement's header comes again on each
-page with other columns. Each of these is a window over a document's rows in reading order that carries the last such row forward; a
-document is a released file of a few pages. Texts are joined over the cells of a place, numbers are read from its first one.
+page with other columns. So a document's cells are sorted into its rows, and each of these cuts the rows into runs, as arrays within the document, which is a
+released file of a few pages; nothing is shuffled. Texts are joined over the cells of a place, numbers are read from its first one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-CELL = r'(?s)<clm id="p(\d+)-(\d+)\.\d+-(\d+)\.(\d+)">(.*?)</clm>'
+CELL = r'(?s)<clm id="p\d+-\d+\.\d+-\d+\.\d+">.*?</clm>'
 CDATA = r"(?s)CDATA\[(.*?)\]\]"
 ERA_YEAR, REVISED_YEAR = r"^(令和|平成)(元|\d+)年度", r"^改(令和|平成)(元|\d+)年度"
 REPORT = "歳出決算報告書"
@@ -28,30 +29,57 @@ ITEM = ("section_code", "section_name", "major_code", "major_name", "name", "amo
         "carried_over", "unused")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once: it's the element of an array of one, and not copied to each place where it's used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def runs(items: Column, begins) -> Column:
+    """An array's elements in runs, each an array: begins(element, the one before) tells where one begins; the first element begins one. A pass over the array."""
+    at = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | begins(F.get(a, i), F.get(a, i - 1)))
+    cut = lambda a, s: F.transform(s, lambda b, k: F.slice(a, b + 1, F.coalesce(F.get(s, k + 1), F.size(a)) - b))
+    return let(items, lambda a: F.when(F.size(a) > 0, let(at(a), lambda s: cut(a, s))))
+
+
+def cell_array(text: Column) -> Column:
+    """The cells of a text, in its order: an array of (page, row, col, seq, sub, text). Only finding a cell and its texts takes a pattern: what a found cell has where is known."""
+    part = lambda c, by, n: F.substring_index(c, by, n)
+    number = lambda c, name: c.try_cast("int").alias(name)
+    before = F.lit(len('<clm id="p') + 1)
+
+    def own(c, n, at):
+        place, inside = part(part(at, "-", 2), "-", -1), part(at, "-", -1)
+        body = F.substr(c, before + F.length(at) + len('">'), F.length(c))
+        return F.struct(number(part(at, "-", 1), "page"), number(part(place, ".", 1), "row"), number(part(inside, ".", 1), "col"), n.alias("seq"), number(part(inside, ".", -1), "sub"),
+                        F.array_join(F.regexp_extract_all(body, F.lit(CDATA), 1), "").alias("text"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(CELL), 0), lambda c, n: let(part(F.substr(c, before), '">', 1), lambda at: own(c, n, at)))
+
+
 def cells(texts: DataFrame, column: str = "text") -> DataFrame:
     """texts(doc, text) -> doc, page, row, col, sub, seq (order in the document), text of each cell."""
-    found = texts.select("doc", F.posexplode(F.regexp_extract_all(column, F.lit(CELL), 0)).alias("seq", "cell"))
-    part = lambda i: F.regexp_extract("cell", CELL, i)
-    text = F.array_join(F.regexp_extract_all(part(5), F.lit(CDATA), 1), "")
-    return found.select("doc", *[part(i).try_cast("int").alias(n) for i, n in enumerate(("page", "row", "col", "sub"), 1)], "seq", text.alias("text"))
+    return texts.select("doc", F.inline(cell_array(F.col(column)))).select("doc", "page", "row", "col", "sub", "seq", "text")
+
+
+def row_array(text: Column) -> Column:
+    """A document's rows in reading order: an array of (page, row, cols), cols a map from column to (all: its cells' texts joined, first: the first one's, sub: the first one's)."""
+    other = lambda *names: (lambda x, y: reduce(lambda p, q: p | q, [~x[n].eqNullSafe(y[n]) for n in names]))
+    place = lambda r: F.struct(F.get(r, F.lit(0))["col"].alias("col"), F.struct(
+        F.array_join(F.transform(r, lambda c: c["text"]), "").alias("all"), *[F.get(r, F.lit(0))[n].alias(k) for n, k in (("text", "first"), ("sub", "sub"), ("seq", "seq"))]).alias("v"))
+    row = lambda r: F.struct(F.get(r, F.lit(0))["page"].alias("page"), F.get(r, F.lit(0))["row"].alias("row"),
+                             F.map_from_entries(F.transform(runs(r, other("col")), place)).alias("cols"))
+    return F.transform(runs(F.array_sort(cell_array(text)), other("page", "row")), row)
 
 
 def rows_of(texts: DataFrame) -> DataFrame:
-    """doc, page, row, cols: a map from column to (all: its cells' texts joined, first: the first one's, sub: the first one's)."""
-    in_order = F.array_sort(F.collect_list(F.struct("seq", "text", "sub")))
-    places = cells(texts).groupBy("doc", "page", "row", "col").agg(in_order.alias("x")).select(
-        "doc", "page", "row", "col", F.struct(F.array_join(F.transform("x", lambda c: c["text"]), "").alias("all"), F.get("x", F.lit(0))["text"].alias("first"),
-                                              F.get("x", F.lit(0))["sub"].alias("sub"), F.get("x", F.lit(0))["seq"].alias("seq")).alias("v"))
-    return places.groupBy("doc", "page", "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "v")))).alias("cols"))
+    """doc, page, row, cols of each row, by documents in reading order. A document is taken apart in place: nothing is shuffled."""
+    return texts.select("doc", F.inline(row_array(F.col("text"))))
 
 
-def header_of(texts: DataFrame) -> DataFrame:
-    """doc, heads: an array of (label, col) of the cells of the header element, each label's first one, in order."""
-    head = texts.select("doc", F.regexp_extract("text", r"(?s)<header>(.*?)</header>", 1).alias("text"))
-    label = F.trim(clean("text"))
-    return (cells(head).where(label != "").groupBy("doc", label.alias("label")).agg(F.min_by(F.struct("seq", "col"), "seq").alias("c"))
-            .groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("c.seq").alias("seq"), "label", F.col("c.col").alias("col")))),
-                                            lambda x: F.struct(x["label"].alias("label"), x["col"].alias("col"))).alias("heads")))
+def header_heads(text: Column) -> Column:
+    """An array of (label, col) of the cells of a text's header element, each label's first one, in order."""
+    found = F.transform(cell_array(F.regexp_extract(text, r"(?s)<header>(.*?)</header>", 1)), lambda c: F.struct(F.trim(clean(c["text"])).alias("label"), c["col"].alias("col")))
+    return let(found, lambda h: F.filter(h, lambda x, i: (x["label"] != "") & (F.array_position(F.transform(h, lambda y: y["label"]), x["label"]) == i + 1)))
 
 
 def clean(c: str | Column) -> Column:
@@ -59,7 +87,7 @@ def clean(c: str | Column) -> Column:
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^[\s\u3000]+|[\s\u3000]+$", "")
 
 
-def text_at(col: Column | int, cols: str = "cols") -> Column:
+def text_at(col: Column | int, cols: str | Column = "cols") -> Column:
     col = F.lit(col) if isinstance(col, int) else col
     return F.coalesce(clean(F.when(col.isNotNull(), F.element_at(cols, F.coalesce(col, F.lit(-1))))["all"]), F.lit(""))
 
@@ -73,15 +101,22 @@ def number_at(col: Column | int, scale: int) -> Column:
     return F.when(F.contains(first, F.lit("△")), -value).otherwise(value)
 
 
-def first_head(test) -> Column:
+def first_head(test, heads: str | Column = "heads") -> Column:
     """The column of the first label that passes."""
-    return F.get(F.filter("heads", lambda h: test(h["label"])), F.lit(0))["col"]
+    return F.get(F.filter(heads, lambda h: test(h["label"])), F.lit(0))["col"]
+
 
+def carried(rows: Column, when, fields) -> Column:
+    """An array of rows, each with fields(row) of the last one so far where when(row) holds as a field of name carried: null before the first."""
+    def run(r):
+        first = F.get(r, F.lit(0))
+        return let(F.when(when(first), fields(first)), lambda s: F.transform(r, lambda x: F.struct(x.alias("x"), s.alias("carried"))))
 
-def carried(when: Column, code: Column, name: Column, *by: str) -> Column:
-    """(code, name) of the last row so far where when holds."""
-    w = Window.partitionBy("doc", *by).orderBy("page", "row").rowsBetween(Window.unboundedPreceding, 0)
-    return F.last(F.when(when, F.struct(code.alias("code"), name.alias("name"))), ignorenulls=True).over(w)
+    return F.flatten(F.transform(runs(rows, lambda x, before: when(x)), run))
+
+
+def section_of(code: Column, name: Column) -> Column:
+    return F.struct(code.alias("code"), name.alias("name"))
 
 
 def items(rows: DataFrame, scale: int, cols: dict[str, Column]) -> DataFrame:
@@ -98,51 +133,69 @@ def items(rows: DataFrame, scale: int, cols: dict[str, Column]) -> DataFrame:
 def standard(texts: DataFrame, scale: int = 1000) -> DataFrame:
     """First and provisional budgets. Where two-digit codes stand under the label 事項 they are codes of major expenses, and names are in the next column."""
     label = lambda *names: F.coalesce(*[first_head(lambda x, n=n: x == n) for n in names])
-    rows = rows_of(texts).join(header_of(texts), "doc").select(
-        "doc", "page", "row", "cols", label("事項").alias("item"), first_head(lambda x: x.rlike(ERA_YEAR)).alias("amount"), label("前年度予算額", "前年度").alias("previous"),
-        first_head(lambda x: x.startswith("比較増")).alias("difference"), label("説明").alias("description")).where("item is not null and amount is not null")
-    coded = rows.withColumn("coded", F.bool_or(text_at(F.col("item")).rlike(r"^[0-9]{2}$")).over(Window.partitionBy("doc")))
-    code, name = text_at(F.col("item") - 2), text_at(F.col("item") - 1)
+    heads = texts.select("doc", "text", let(header_heads(F.col("text")), lambda h: h).alias("heads")).select(
+        "doc", "text", label("事項").alias("item"), first_head(lambda x: x.rlike(ERA_YEAR)).alias("amount"), label("前年度予算額", "前年度").alias("previous"),
+        first_head(lambda x: x.startswith("比較増")).alias("difference"), label("説明").alias("description"))
+    at, numbers = lambda r, d: text_at(F.col("item") + d, r["cols"]), ("amount", "previous", "difference")
     # figures in the description use the same columns: a section is one only with a code and a name
-    coded = coded.withColumn("section", carried(code.rlike(r"^[0-9]+$") & (name != ""), code, name))
+    section = lambda rows: carried(rows, lambda r: at(r, -2).rlike(r"^[0-9]+$") & (at(r, -1) != ""), lambda r: section_of(at(r, -2), at(r, -1)))
+    body = let(F.when(F.col("item").isNotNull() & F.col("amount").isNotNull(), row_array(F.col("text"))), lambda rows: let(
+        F.exists(rows, lambda r: at(r, 0).rlike(r"^[0-9]{2}$")), lambda coded: F.transform(section(rows), lambda r: F.struct(r["x"].alias("x"), r["carried"].alias("section"), coded.alias("coded")))))
+    # the document's array is read by the explode alone, so no row carries it along
+    coded = heads.select("doc", "item", *numbers, "description", F.inline(body)).select("doc", "item", *numbers, "description", "coded", "x.*", "section")
     return items(coded, scale, {"name": text_at(F.when(F.col("coded"), F.col("item") + 1).otherwise(F.col("item"))),
                                 "major_code": text_at(F.when(F.col("coded"), F.col("item"))), "description": text_at(F.col("description")),
-                                **{n: F.col(n) for n in ("amount", "previous", "difference")}})
+                                **{n: F.col(n) for n in numbers}})
 
 
-def labels_of(cols: str = "cols") -> Column:
+def labels_of(cols: str | Column = "cols") -> Column:
     """A row's labels in the order of columns: an array of (col, label)."""
     return F.transform(F.array_sort(F.map_entries(cols)), lambda e: F.struct(e["key"].alias("col"), clean(e["value"]["all"]).alias("label")))
 
 
 def revised(texts: DataFrame, scale: int = 1000) -> DataFrame:
     """Supplementary budgets. Column 2 holds sections (sub 1) and items (sub 2), column 1 their codes; the row whose column 1 has 事項 names the amounts' columns."""
-    rows = rows_of(texts)
-    heads = (rows.where(F.contains(text_at(1), F.lit("事項"))).groupBy("doc").agg(F.min_by(F.struct("page", "row", "cols"), F.struct("page", "row")).alias("h"))
-             .select("doc", F.col("h.page").alias("h_page"), F.col("h.row").alias("h_row"), F.col("h.cols").alias("cols")).withColumn("labels", labels_of()))
-    find = lambda test: F.get(F.filter("labels", lambda x: test(x["label"])), F.lit(0))["col"]
-    heads = heads.select("doc", "h_page", "h_row", find(lambda x: F.contains(x, F.lit("成立予算額"))).alias("previous"), find(lambda x: F.contains(x, F.lit("差引額"))).alias("difference"),
-                         find(lambda x: x.rlike(REVISED_YEAR)).alias("amount"), find(lambda x: x == "説明").alias("description")).where("amount is not null")
-    body = rows.join(heads, "doc").where("not (page = h_page and row = h_row)").where(text_at(2) != "").withColumn("sub", F.element_at("cols", F.lit(2))["sub"])
-    body = body.withColumn("section", carried(F.col("sub") == 1, text_at(1), text_at(2)))
-    return items(body.where("sub = 2"), scale, {"name": text_at(2), "major_code": text_at(1), "description": text_at(F.col("description")),
-                                               **{n: F.col(n) for n in ("amount", "previous", "difference")}})
+    sub = lambda r: F.element_at(r["cols"], F.lit(2))["sub"]
+    is_head = lambda r: F.contains(text_at(1, r["cols"]), F.lit("事項"))
+
+    def taken(rows):
+        head = F.coalesce(F.array_position(F.transform(rows, is_head), True), F.lit(0)).cast("int")
+        return let(head, lambda h: F.when(h > 0, F.struct(
+            labels_of(F.get(rows, h - 1)["cols"]).alias("labels"),
+            carried(F.filter(rows, lambda r, i: (i != h - 1) & (text_at(2, r["cols"]) != "")), lambda r: F.coalesce(sub(r) == 1, F.lit(False)),
+                    lambda r: section_of(text_at(1, r["cols"]), text_at(2, r["cols"]))).alias("rows"))))
+
+    find = lambda test: F.get(F.filter("b.labels", lambda x: test(x["label"])), F.lit(0))["col"]
+    numbers = {"previous": find(lambda x: F.contains(x, F.lit("成立予算額"))), "difference": find(lambda x: F.contains(x, F.lit("差引額"))), "amount": find(lambda x: x.rlike(REVISED_YEAR))}
+    heads = texts.select("doc", let(row_array(F.col("text")), taken).alias("b")).select(
+        "doc", "b", *[v.alias(k) for k, v in numbers.items()], find(lambda x: x == "説明").alias("description"))
+    # not a filter, which would take each document apart once more
+    body = heads.select("doc", *numbers, "description", F.explode(F.when(F.col("amount").isNotNull(), F.col("b.rows"))).alias("r")).select("doc", *numbers, "description", "r.x.*", F.col("r.carried").alias("section"))
+    return items(body.where(sub({"cols": F.col("cols")}) == 2), scale, {"name": text_at(2), "major_code": text_at(1), "description": text_at(F.col("description")), **{n: F.col(n) for n in numbers}})
 
 
 def settlement(texts: DataFrame, scale: int = 1) -> DataFrame:
     """Accounts. Header rows are part of the body and come again: each holds until the next and begins without a section; rows before the first
     one, and those whose name is a number, are summaries."""
-    rows = rows_of(texts).withColumn("labels", F.filter(labels_of(), lambda x: x["label"] != ""))
-    has = lambda n: F.exists("labels", lambda x: x["label"] == n)
-    so_far = Window.partitionBy("doc").orderBy("page", "row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("head", has("事項") & has("支出済歳出額(円)"))
-    rows = rows.withColumns({"block": F.count_if("head").over(so_far), "known": F.last(F.when(F.col("head"), F.col("labels")), ignorenulls=True).over(so_far)})
-    at = lambda n: F.get(F.filter("known", lambda x: x["label"] == n), F.lit(0))["col"]
-    body = rows.where("block > 0 and not head").withColumn("item", at("事項"))
-    code, section, name = text_at(F.col("item") - 2), text_at(F.col("item") - 1), text_at(F.col("item") + 1)
-    body = body.withColumn("section", carried(code.rlike(r"^[0-9]+$") & (section != ""), code, section, "block")).where(~name.rlike(r"^[0-9,]+$"))
-    return items(body, scale, {"name": name, "major_code": text_at(F.col("item")), "amount": at("歳出予算額(円)"), "current": at("歳出予算現額(円)"),
-                               "spent": at("支出済歳出額(円)"), "carried_over": at("翌年度繰越額(円)"), "unused": at("差引額(円)")})
+    has = lambda labels, n: F.exists(labels, lambda x: x["label"] == n)
+    headed = lambda r: let(F.filter(labels_of(r["cols"]), lambda x: x["label"] != ""), lambda v: F.struct(
+        r.alias("r"), F.when(has(v, "事項") & has(v, "支出済歳出額(円)"), v).alias("head")))
+    find = lambda known, n: F.get(F.filter(known, lambda x: x["label"] == n), F.lit(0))["col"]
+    numbers = {"amount": "歳出予算額(円)", "current": "歳出予算現額(円)", "spent": "支出済歳出額(円)", "carried_over": "翌年度繰越額(円)", "unused": "差引額(円)"}
+
+    def block(rows):
+        """A header row and what follows it, as (columns by label, the rows with their sections)."""
+        known = F.get(rows, F.lit(0))["head"]
+        return let(F.struct(find(known, "事項").alias("item"), *[find(known, v).alias(k) for k, v in numbers.items()]), lambda at: F.struct(at.alias("at"), carried(
+            F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: x["r"]),
+            lambda r: text_at(at["item"] - 2, r["cols"]).rlike(r"^[0-9]+$") & (text_at(at["item"] - 1, r["cols"]) != ""),
+            lambda r: section_of(text_at(at["item"] - 2, r["cols"]), text_at(at["item"] - 1, r["cols"]))).alias("rows")))
+
+    blocks = lambda rows: F.transform(F.filter(runs(rows, lambda x, before: x["head"].isNotNull()), lambda b: F.get(b, F.lit(0))["head"].isNotNull()), block)
+    found = texts.select("doc", F.inline(blocks(F.transform(row_array(F.col("text")), headed))))
+    body = found.select("doc", "at.*", F.explode("rows").alias("x")).select("doc", "item", *numbers, "x.x.*", F.col("x.carried").alias("section"))
+    name = text_at(F.col("item") + 1)
+    return items(body.where(~name.rlike(r"^[0-9,]+$")), scale, {"name": name, "major_code": text_at(F.col("item")), **{n: F.col(n) for n in numbers}})
 
 
 # ---- titles -----------------------------------------------------------------------------------------------------------------

@@ -130,3 +130,12 @@ def test_members_of_unequal_size_share_an_archive(spark, tmp_path):
             spark.conf.set(k, v)
     sizes = {p.name: {m: z.read(m).count(b"\n") + 1 for m in z.namelist()} for p in tmp_path.glob("*.zip") for z in [zipfile.ZipFile(p)]}
     assert sizes == {f"a{i}.zip": {"a.csv": 2, "b.csv": 15000} for i in range(20)}
+
+
+@pytest.mark.parametrize("layout", ["standard", "revised", "settlement"])
+def test_documents_are_taken_apart_in_place(spark, tmp_path, layout):
+    """Cells and rows aren't shuffled, joined or sorted as rows, so what is shuffled and spilled doesn't grow with them; and the text is searched for cells once."""
+    spark.createDataFrame([(1, "")], "doc long, text string").write.parquet(f"file://{tmp_path}/t")
+    plan = getattr(layouts, layout)(spark.read.parquet(f"file://{tmp_path}/t"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort ", "Window", "Join"))
+    assert plan.count(r'<clm id="p\d+') == (2 if layout == "standard" else 1)  # a standard form's header is apart
