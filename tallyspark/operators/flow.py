@@ -92,7 +92,8 @@ def project_sums(projects: DataFrame, budgets: DataFrame, spending: DataFrame) -
 def build_graph(projects: DataFrame, budgets: DataFrame, spending: DataFrame, subcontracts: DataFrame | None = None) -> Graph:
     """projects(pid, name, ministry), budgets(pid, budget, account_category), spending(pid, recipient, number, amount) of direct
     spending only, subcontracts(pid, depth, names). Projects are the universe: other rows of theirs are dropped."""
-    spending = spending.where("amount > 0").join(projects.select("pid"), "pid", "left_semi")
+    # read four times below, and made of the largest tables
+    spending = held(spending.where("amount > 0").join(projects.select("pid"), "pid", "left_semi"))
     p = project_sums(projects, budgets, spending)
     if subcontracts is not None:
         p = p.join(subcontracts.select("pid", F.col("depth").alias("subcontract_depth"), F.col("names").alias("subcontract_recipients")), "pid", "left")

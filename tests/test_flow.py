@@ -91,3 +91,15 @@ def test_highlights(spark):
     b = spark.createDataFrame([(1, 5), (2, 7)], "pid long, budget long")
     both = {"execBudgetGap": b, "otherRatio": b.where("pid = 2")}
     assert [(r.pid, r.signals) for r in screening.multi_signal(both, b).collect()] == [(2, ["otherRatio", "execBudgetGap"])]
+
+
+def test_spending_is_read_once(spark, tmp_path):
+    from tallyspark.operators.flow import build_graph
+
+    at = f"file://{tmp_path}/spent"
+    spark.createDataFrame([(1, "a", "1", 5), (2, "b", "2", 7)], "pid long, recipient string, number string, amount long").write.parquet(at)
+    own = spark.createDataFrame([(1, "x", "m"), (2, "y", "m")], "pid long, name string, ministry string")
+    budgets = spark.createDataFrame([(1, 9, "general"), (2, 9, "both")], "pid long, budget long, account_category string")
+    g = build_graph(own, budgets, spark.read.parquet(at))
+    assert not any(f.endswith(".parquet") and "/spent/" in f for x in (g.nodes, g.edges) for f in x.inputFiles())
+    assert {(r.source, r.target, r.value) for r in g.edges.where("target like 'r-%'").collect()} == {("project-spending-1", "r-2", 5), ("project-spending-2", "r-1", 7)}
