@@ -6,8 +6,6 @@ between Japanese characters. Its tilde removal and its own tables aren't reprodu
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +18,6 @@ KATAKANA = "ァ-ヺ"
 ERA_YEAR = rf"({'|'.join(ERAS)})\s*(元|[0-9]{{1,2}})\s*年"
 
 
-def circled_numbers(text: Column) -> Column:
-    """Circled numbers, 0 to 50, as digits."""
-    one = {"⓪": "0"} | {chr(0x2460 + i): str(i + 1) for i in range(20)} | {chr(0x3251 + i): str(i + 21) for i in range(15)} | {chr(0x32B1 + i): str(i + 36) for i in range(15)}
-    single = {k: v for k, v in one.items() if len(v) == 1}
-    text = F.translate(text, "".join(single), "".join(single.values()))
-    # numbers of two digits are rare: only texts that have one are rewritten
-    rest = {k: v for k, v in one.items() if len(v) > 1}
-    return F.when(text.rlike(f"[{''.join(rest)}]"), reduce(lambda s, kv: F.replace(s, F.lit(kv[0]), F.lit(kv[1])), rest.items(), text)).otherwise(text)
-
-
 def era_to_year(text: Column) -> Column:
     """Years in era notation as years of the common era, all in one pass: what lies between them is kept."""
     base = F.create_map(*[F.lit(x) for pair in ERAS.items() for x in pair])
@@ -71,7 +59,7 @@ def joined_japanese(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """All steps in their order: circled numbers, NFKC, era years, brackets, hyphens, long vowels, blanks. Null stays null."""
-    for step in (circled_numbers, S.folded, era_to_year, brackets, hyphens, hyphen_to_long_vowel, long_vowels, single_spaces, joined_japanese):
+    """All steps in their order: NFKC (which makes digits of circled numbers, 0 to 50, too), era years, brackets, hyphens, long vowels, blanks. Null stays null."""
+    for step in (S.folded, era_to_year, brackets, hyphens, hyphen_to_long_vowel, long_vowels, single_spaces, joined_japanese):
         text = step(text)
     return text

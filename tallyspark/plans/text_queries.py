@@ -8,6 +8,7 @@ from tallyspark.functions import money
 from tallyspark.functions.normalise import normalised
 from tallyspark.operators import flow, review, shaping, stats
 from tallyspark.plans import adapter as A
+from tallyspark.tables import spread
 
 from .catalog import query
 from .flow_queries import YEAR, model_sql
@@ -59,7 +60,7 @@ def normalised_texts(spark, sf_dir):
     n = F.col("p_size") % 9
     text = F.concat(F.when(F.col("p_partkey") % 2 == 0, "⑫").otherwise("①"), "p_name", F.lit("　令和"), F.when(n == 0, "元").otherwise((n + 1).cast("string")), F.lit("年度（"), "p_brand", F.lit("）ｱｲ－ｽ"), "p_type",
                     F.lit("   – サ ー ー  バ 平成 "), (F.col("p_size") + 1).cast("string"), F.lit("年, 昭和"), "p_size", F.lit("年 "))
-    out = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), normalised(text).alias("text"))
+    out = spread(A.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select(F.col("p_partkey").alias("id"), normalised(text).alias("text"))
     return out.withColumn("text", F.replace("text", F.lit("バ 1"), F.lit("バ1"))).withColumn("text", F.replace(F.replace("text", F.lit("バ 2"), F.lit("バ2")), F.lit(", "), F.lit(",")))
 
 

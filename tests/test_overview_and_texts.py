@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.engine import Engine, QueryError
 from tallyspark.functions.normalise import normalised
 from tallyspark.operators import flow, overview, review, screening, search, shaping, stats
+from tallyspark.plans import text_queries
 
 LINE = "year int, kind string, side string, account string, sub_account string, category string, item string, purpose string, amount long"
 
@@ -50,6 +51,17 @@ def test_normalised(spark):
     assert [r.n for r in rows.select("i", normalised(F.col("t")).alias("n")).orderBy("i").collect()] == list(cases.values())
 
 
+def test_texts_are_spread(spark, tmp_path):
+    # a small file is read by one task, but its rows take long
+    parts = spark.range(120_001).selectExpr("id AS p_partkey", "'ring' AS p_name", "'Brand#1' AS p_brand", "'LARGE' AS p_type", "CAST(id % 50 AS INT) AS p_size").coalesce(1)
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    out = text_queries.normalised_texts(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 3 and out.count() == 120_001
+    circled = [chr(c) for c in (0x24EA, *range(0x2460, 0x2474), *range(0x3251, 0x3260), *range(0x32B1, 0x32C0))]
+    rows = spark.createDataFrame(list(enumerate(circled)), "i int, t string")
+    assert [r.n for r in rows.select("i", normalised(F.col("t")).alias("n")).orderBy("i").collect()] == [str(i) for i in range(51)]
+
+
 def test_effects(spark):
     rows = [("国民生活の安全を守る", None, "短い"), ("国民の生活の安全と健康を守り、地域の防災を進める。" * 3, "年間１２ 件", "概要"), (None, None, None), ("あ" * 20, "", "")]
     got = [r.effective for r in review.effects(spark.createDataFrame(rows, "purpose string, issues string, overview string")).collect()]
