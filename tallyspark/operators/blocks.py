@@ -47,48 +47,67 @@ def flow_origins(flows: DataFrame, separate: DataFrame) -> DataFrame:
     return flows.join(own, ["pid", "source"], "left").withColumn("origin", kind).drop("__separate")
 
 
-def _edges(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(starting blocks, inner edges), both distinct."""
+def _edges(flows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(starting blocks, inner edges, projects), all distinct, of flows that are made and written once."""
+    separate = F.max(F.col("origin") == "separate-origin") if "origin" in flows.columns else F.lit(False)
+    flows = held(flows.groupBy("pid", "source", "target").agg(F.coalesce(separate, F.lit(False)).alias("separate")))
     roots = flows.where("source is null").select("pid", F.col("target").alias("block"))
-    if "origin" in flows.columns:
-        roots = roots.unionByName(flows.where("origin = 'separate-origin'").select("pid", F.col("source").alias("block")))
-    return roots.distinct(), held(flows.where("source is not null").select("pid", "source", "target").distinct())
+    separate_roots = flows.where("separate").select("pid", F.col("source").alias("block"))
+    return roots.unionByName(separate_roots).distinct(), flows.where("source is not null").select("pid", "source", "target"), flows.select("pid").distinct()
+
+
+def _followed(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """A frontier's edges, each with its row of the frontier. Both sides are shuffled: few bytes of a written table can be many rows, and a broadcast would
+    send all of them through the driver at every level."""
+    return frontier.withColumnRenamed("block", "source").hint("merge").join(edges, ["pid", "source"])
+
+
+def _of_projects(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The edges of projects that still are in the frontier."""
+    return held(edges.join(frontier.select("pid").distinct().hint("merge"), "pid", "left_semi"))
 
 
 def shortest_depths(flows: DataFrame, first: int = 1, chains: bool = False) -> DataFrame:
     """Depth of each block on the shortest way from a root (first there), up to MAX_DEPTH; chains: the way, in block order on ties."""
-    roots, edges = _edges(flows)
+    roots, edges, _ = _edges(flows)
     start = roots.withColumn("depth", F.lit(first))
     frontier = seen = held(start.withColumn("chain", F.concat(F.lit("組織→"), "block")) if chains else start)
+    left = most = frontier.count()
     for depth in range(first + 1, MAX_DEPTH + 1):
-        step = frontier.withColumnRenamed("block", "source").join(edges, ["pid", "source"])
         more = [F.min(F.concat_ws("→", "chain", "target")).alias("chain")] if chains else []
-        frontier = held(step.groupBy("pid", F.col("target").alias("block")).agg(F.lit(depth).alias("depth"), *more)
-                         .join(seen.select("pid", "block"), ["pid", "block"], "left_anti"))
-        if frontier.isEmpty():
+        frontier = held(_followed(frontier, edges).groupBy("pid", F.col("target").alias("block")).agg(F.lit(depth).alias("depth"), *more)
+                        .join(seen.select("pid", "block").hint("merge"), ["pid", "block"], "left_anti"))
+        left = frontier.count()
+        if not left:
             break
         seen = seen.unionByName(frontier)
+        if 2 * left < most:
+            # blocks of other projects can't be met again
+            edges, most = _of_projects(edges, frontier), left
     return seen
 
 
 def longest_depth(flows: DataFrame) -> DataFrame:
     """Per project: levels on the longest way from a root; a cycle counts up to MAX_DEPTH; 1 without roots. A block is in the
     frontier once a level, however many ways lead to it."""
-    roots, edges = _edges(flows)
-    frontier, reached = held(roots), []
+    roots, edges, projects = _edges(flows)
+    frontier = held(roots)
+    left = most = frontier.count()
+    reached = [projects.withColumn("depth", F.lit(1))]
     for depth in range(1, MAX_DEPTH + 1):
-        reached.append(frontier.select("pid", F.lit(depth).alias("depth")).distinct())
+        reached.append(frontier.select("pid", F.lit(depth).alias("depth")))
         if depth == MAX_DEPTH:
             break
-        frontier = held(frontier.withColumnRenamed("block", "source").join(edges, ["pid", "source"])
-                         .select("pid", F.col("target").alias("block")).distinct())
-        if frontier.isEmpty():
+        frontier = held(_followed(frontier, edges).select("pid", F.col("target").alias("block")).distinct())
+        left = frontier.count()
+        if not left:
             break
-    deepest = reached[0]
+        if 2 * left < most:
+            edges, most = _of_projects(edges, frontier), left
+    every = reached[0]
     for r in reached[1:]:
-        deepest = deepest.unionByName(r)
-    return (flows.select("pid").distinct().join(deepest.groupBy("pid").agg(F.max("depth").alias("max_depth")), "pid", "left")
-            .withColumn("max_depth", F.coalesce("max_depth", F.lit(1))))
+        every = every.unionByName(r)
+    return every.groupBy("pid").agg(F.max("depth").alias("max_depth"))
 
 
 def back_edges(flows: DataFrame, depths: DataFrame) -> DataFrame:

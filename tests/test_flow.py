@@ -85,6 +85,20 @@ def test_depths_survive_cycles(spark):
     assert [(r.block, r.strong) for r in o.collect()] == [("S", True)]
 
 
+def test_levels_of_blocks_are_not_broadcast(spark, monkeypatch):
+    # a frontier sent to all tasks goes through the driver, at every level
+    plans, held = [], blocks.held
+    monkeypatch.setattr(blocks, "held", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or held(df))
+    rows = [(1, None, "A"), (1, "A", "B"), (1, "B", "C"), (1, "C", "B"), (2, None, "X"), (2, "X", "Y"), (3, "P", "Q")] + [(k, None, "A") for k in range(4, 12)]
+    flows = spark.createDataFrame(rows, "pid long, source string, target string")
+    depths = {r.pid: r.max_depth for r in blocks.longest_depth(flows).collect()}
+    assert depths == {1: 30, 2: 2, 3: 1} | {k: 1 for k in range(4, 12)}
+    assert {(r.pid, r.block): r.depth for r in blocks.shortest_depths(flows).collect() if r.pid < 4} == {(1, "A"): 1, (1, "B"): 2, (1, "C"): 3, (2, "X"): 1, (2, "Y"): 2}
+    own = flows.withColumn("origin", F.when((F.col("source") == "P"), "separate-origin").when(F.col("pid") == 2, None).otherwise("subcontract"))
+    assert {(r.pid, r.block): r.depth for r in blocks.shortest_depths(own).collect() if r.pid == 3} == {(3, "P"): 1, (3, "Q"): 2}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_highlights(spark):
     rows = spark.createDataFrame([(1, 10**9 - 1, 10, 5), (2, 10**9, 10, 9)], "pid long, spend_total long, total long, top_amount long")
     assert [r.pid for r in screening.concentration(rows).collect()] == [2]
