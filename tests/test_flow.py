@@ -1,8 +1,12 @@
 from pyspark.sql import functions as F
 
 from tallyspark.operators import blocks, filters, flow, screening, summary, windows
+from tallyspark.plans import adapter, catalog
 from tallyspark.plans.query import Filter, Name, Range, View
 
+SF = "/root/testdata/sf0.001"
+catalog.load()
+
 NODE = "id string, name string, type string, value long, project_id long, ministry string, aggregated boolean, account_category string, subcontract_depth int, subcontract_recipients array<string>"
 
 
@@ -85,6 +89,17 @@ def test_depths_survive_cycles(spark):
     assert [(r.block, r.strong) for r in o.collect()] == [("S", True)]
 
 
+def test_years_are_held_against_each_other_as_written_tables(spark):
+    # else one task sorts and sums all that both years are made of at once
+    plan = catalog.QUERIES["compare_years"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2 and "HashAggregate" not in plan
+
+
+def test_lines_are_not_sorted(spark):
+    plan = adapter.lines(spark, SF, 1997)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
+
+
 def test_levels_of_blocks_are_not_broadcast(spark, monkeypatch):
     # a frontier sent to all tasks goes through the driver, at every level
     plans, held = [], blocks.held
