@@ -64,12 +64,17 @@ def coarse():
     return F.round(F.col("value") / 10000).cast("long").alias("value")
 
 
+def node_values(w: windows.Windowed):
+    """The nodes as SQL sums them: over no project at all the total is null, where the operator says 0 as the model does. Its raw value is such a sum."""
+    return w.nodes.select("id", F.when((F.col("id") != "total") | F.col("raw_value").isNotNull(), coarse()).alias("value"))
+
+
 RECIPIENTS = mode_sql(offset=5)
 
 
 @query(RECIPIENTS + NODES)
 def recipient_window_nodes(spark, sf_dir):
-    return shown(spark, sf_dir, recipient_offset=5).nodes.select("id", coarse())
+    return node_values(shown(spark, sf_dir, recipient_offset=5))
 
 
 @query(RECIPIENTS + EDGES)
@@ -82,7 +87,7 @@ ON_RECIPIENT = mode_sql(base="e.id = 'r-2'", visible="tw", ranked="tw > 0", orde
 
 @query(ON_RECIPIENT + NODES)
 def recipient_focus_nodes(spark, sf_dir):
-    return shown(spark, sf_dir, focus=True, pin_recipient="r-2").nodes.select("id", coarse())
+    return node_values(shown(spark, sf_dir, focus=True, pin_recipient="r-2"))
 
 
 @query(ON_RECIPIENT + EDGES)
@@ -95,7 +100,7 @@ IN_MINISTRY = mode_sql(top="ministry = 'NATION_3'", base="ministry = 'NATION_3'"
 
 @query(IN_MINISTRY + NODES)
 def ministry_focus_nodes(spark, sf_dir):
-    return shown(spark, sf_dir, focus=True, pin_ministry="NATION_3", recipient_offset=2).nodes.select("id", coarse())
+    return node_values(shown(spark, sf_dir, focus=True, pin_ministry="NATION_3", recipient_offset=2))
 
 
 @query(IN_MINISTRY + EDGES)
@@ -109,7 +114,7 @@ ON_PROJECT = mode_sql(base="pid = 7", pinned="pid = 7", chosen="pid = 7", other=
 
 @query(ON_PROJECT + NODES)
 def project_focus_nodes(spark, sf_dir):
-    return shown(spark, sf_dir, focus=True, pin_project=PINNED).nodes.select("id", coarse())
+    return node_values(shown(spark, sf_dir, focus=True, pin_project=PINNED))
 
 
 @query(TOPN + """

@@ -33,3 +33,15 @@ def rows(frame):
 def test_matches_sql(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.execute(catalog.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name, orders", [("project_focus_nodes", "o_custkey <> 7"), *[
+    (f"{n}_nodes", "year(o_orderdate) <> 1997") for n in ("project_focus", "ministry_focus", "recipient_focus", "recipient_window")]])
+def test_views_of_no_project_match_sql(spark, duck, tmp_path, name, orders):
+    for t in ("customer", "nation", "lineitem", "supplier"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    one = duck.cursor()
+    one.execute(f"COPY (SELECT * FROM orders WHERE {orders}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    one.execute(f"CREATE TEMP VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet')")
+    got, want = catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), one.execute(catalog.ORACLE_SQL[name]).df()
+    assert rows(want) == [["total", "None"]] and rows(got) == rows(want)
