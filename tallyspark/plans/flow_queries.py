@@ -177,9 +177,12 @@ UNION ALL SELECT '__agg-recipient', (SELECT COALESCE(SUM(amount), 0) FROM rc WHE
           - (SELECT COALESCE(SUM(amount), 0) FROM xe WHERE hidden AND rtail)::DOUBLE + (SELECT COALESCE(SUM(amount), 0) FROM xe WHERE other AND NOT rwin AND NOT rtail)::DOUBLE
           WHERE EXISTS (SELECT 1 FROM rc WHERE tail) OR EXISTS (SELECT 1 FROM xe WHERE other AND NOT rwin AND NOT rtail)""")
 def topn_window_nodes(spark, sf_dir):
-    from tallyspark.operators.windows import windowed
+    from tallyspark.operators.windows import AGG, windowed
 
-    return windowed(A.graph(spark, sf_dir, YEAR), view()).nodes.select("id", "value")
+    nodes = windowed(A.graph(spark, sf_dir, YEAR), view()).nodes
+    # the SQL has these rows over no project too, with null; the operator leaves such aggregates out, and says 0 for the total as the model does
+    always = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("total", AGG["ministry"], AGG["project-budget"], AGG["project-spending"])])).alias("id"))
+    return nodes.where("id <> 'total' or raw_value is not null").select("id", "value").join(always, "id", "full_outer")
 
 
 @query(TOPN + """
