@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from tallyspark.operators import stats
+from tallyspark.plans import catalog
 
 
 def vectors(spark, n=60):
@@ -59,3 +60,26 @@ def test_votes_in_blocks(spark, monkeypatch):
         assert {x.qid: x.vote for x in votes.collect()} == want
         plan = votes._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_every_vector_votes(spark):
+    """knn_vote asks for each vector, also those whose id isn't divisible by 20."""
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    catalog.load()
+    votes = catalog.QUERIES["knn_vote"](spark, "/root/testdata/sf0.001")
+    assert votes.select("qid").distinct().count() == votes.count() == n
+
+
+def test_nearest_of_wide_rows(spark):
+    """Rows so many that what is far is left by stripes: the k nearest, the least ids on ties, are those of a plain sort; ids may come again."""
+    r = random.Random(8)
+    v = [[float(r.randrange(9)), float(r.randrange(9))] for _ in range(1500)]
+    rows = spark.createDataFrame([(i, x, i % 5) for i, x in enumerate(v)], "id long, v array<double>, label int")
+    far = lambda q, m: -((m[None, :, 0] - q[:, None, 0]) ** 2 + (m[None, :, 1] - q[:, None, 1]) ** 2)
+    for places in (None, 0):
+        got = {}
+        for x in stats.nearest(rows.where("id % 50 = 0"), rows, 4, lambda q, m: far(q, m) * 0.3, places).collect():
+            got.setdefault(x.qid, set()).add(x.id)
+        size = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+        key = lambda q, i: (-math.floor(-0.3 * size(v[q], v[i]) + 0.5) if places == 0 else size(v[q], v[i]), i)
+        assert got == {q: set(sorted((i for i in range(1500) if i != q), key=lambda i: key(q, i))[:4]) for q in range(0, 1500, 50)}  # noqa: B023
