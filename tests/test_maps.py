@@ -41,6 +41,14 @@ def test_accuracy(spark):
     assert (row.accuracy, row.n) == (1.0, 8)
 
 
+def test_accuracy_counts_every_point(spark):
+    """The accuracy is that of all points: here those whose id is divisible by 20 are told, the others aren't."""
+    pts = [(i, float(i // 4 * 10), 0.0, "a" if i // 4 % 5 == 0 else "abcd"[i % 4]) for i in range(100)]
+    row = stats.plane_accuracy(spark.createDataFrame(pts, "id long, x double, y double, label string"), 3).first()
+    want = sum(label == min("abcd"[j % 4] if i // 4 % 5 else "a" for j in range(i // 4 * 4, i // 4 * 4 + 4) if j != i) for i, _, _, label in pts) / 100
+    assert (row.accuracy, row.n) == (want, 100) and want < 1
+
+
 def test_votes_in_blocks(spark, monkeypatch):
     """All pairs are held against each other block by block: no join makes a row of each, ties go to the least id, and what can't be compared comes last."""
     r = random.Random(5)
