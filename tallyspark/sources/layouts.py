@@ -1,16 +1,21 @@
 """Items of the budget book's XML forms: standard (first budgets), revised (supplementary ones) and settlement (accounts).
 
 A form is a grid of cells; what a row means depends on rows before it: a section is printed where it begins, a settlement's header comes again on each
-page with other columns. So a document's cells are sorted into its rows, and each of these cuts the rows into runs, as arrays within the document, which is a
-released file of a few pages; nothing is shuffled. Texts are joined over the cells of a place, numbers are read from its first one.
+page with other columns. Cells are found by Spark and stay with their document, which is a released file of a few pages; some documents at a time are columns of Arrow, sorted into places and rows, and each row takes its section and its columns from a row before it. Nothing is shuffled. Texts are joined over the
+cells of a place, numbers are read from its first one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CELL = r'(?s)<clm id="p\d+-\d+\.\d+-\d+\.\d+">.*?</clm>'
 CDATA = r"(?s)CDATA\[(.*?)\]\]"
@@ -29,102 +34,168 @@ ITEM = ("section_code", "section_name", "major_code", "major_name", "name", "amo
         "carried_over", "unused")
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once: it's the element of an array of one, and not copied to each place where it's used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def runs(items: Column, begins) -> Column:
-    """An array's elements in runs, each an array: begins(element, the one before) tells where one begins; the first element begins one. A pass over the array."""
-    at = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | begins(F.get(a, i), F.get(a, i - 1)))
-    cut = lambda a, s: F.transform(s, lambda b, k: F.slice(a, b + 1, F.coalesce(F.get(s, k + 1), F.size(a)) - b))
-    return let(items, lambda a: F.when(F.size(a) > 0, let(at(a), lambda s: cut(a, s))))
-
-
-def cell_array(text: Column) -> Column:
-    """The cells of a text, in its order: an array of (page, row, col, seq, sub, text). Only finding a cell and its texts takes a pattern: what a found cell has where is known."""
-    part = lambda c, by, n: F.substring_index(c, by, n)
-    number = lambda c, name: c.try_cast("int").alias(name)
-    before = F.lit(len('<clm id="p') + 1)
-
-    def own(c, n, at):
-        place, inside = part(part(at, "-", 2), "-", -1), part(at, "-", -1)
-        body = F.substr(c, before + F.length(at) + len('">'), F.length(c))
-        return F.struct(number(part(at, "-", 1), "page"), number(part(place, ".", 1), "row"), number(part(inside, ".", 1), "col"), n.alias("seq"), number(part(inside, ".", -1), "sub"),
-                        F.array_join(F.regexp_extract_all(body, F.lit(CDATA), 1), "").alias("text"))
-
-    return F.transform(F.regexp_extract_all(text, F.lit(CELL), 0), lambda c, n: let(part(F.substr(c, before), '">', 1), lambda at: own(c, n, at)))
-
-
-def cells(texts: DataFrame, column: str = "text") -> DataFrame:
-    """texts(doc, text) -> doc, page, row, col, sub, seq (order in the document), text of each cell."""
-    return texts.select("doc", F.inline(cell_array(F.col(column)))).select("doc", "page", "row", "col", "sub", "seq", "text")
-
-
-def row_array(text: Column) -> Column:
-    """A document's rows in reading order: an array of (page, row, cols), cols a map from column to (all: its cells' texts joined, first: the first one's, sub: the first one's)."""
-    other = lambda *names: (lambda x, y: reduce(lambda p, q: p | q, [~x[n].eqNullSafe(y[n]) for n in names]))
-    place = lambda r: F.struct(F.get(r, F.lit(0))["col"].alias("col"), F.struct(
-        F.array_join(F.transform(r, lambda c: c["text"]), "").alias("all"), *[F.get(r, F.lit(0))[n].alias(k) for n, k in (("text", "first"), ("sub", "sub"), ("seq", "seq"))]).alias("v"))
-    row = lambda r: F.struct(F.get(r, F.lit(0))["page"].alias("page"), F.get(r, F.lit(0))["row"].alias("row"),
-                             F.map_from_entries(F.transform(runs(r, other("col")), place)).alias("cols"))
-    return F.transform(runs(F.array_sort(cell_array(text)), other("page", "row")), row)
-
-
-def rows_of(texts: DataFrame) -> DataFrame:
-    """doc, page, row, cols of each row, by documents in reading order. A document is taken apart in place: nothing is shuffled."""
-    return texts.select("doc", F.inline(row_array(F.col("text"))))
-
-
-def header_heads(text: Column) -> Column:
-    """An array of (label, col) of the cells of a text's header element, each label's first one, in order."""
-    found = F.transform(cell_array(F.regexp_extract(text, r"(?s)<header>(.*?)</header>", 1)), lambda c: F.struct(F.trim(clean(c["text"])).alias("label"), c["col"].alias("col")))
-    return let(found, lambda h: F.filter(h, lambda x, i: (x["label"] != "") & (F.array_position(F.transform(h, lambda y: y["label"]), x["label"]) == i + 1)))
+#: Cells that are taken apart at once, or one document's.
+CELLS = 50_000
+BLANKS = " \t\n\x0b\f\r\u3000"
+TEXTS, PLACE = ("section_code", "section_name", "name", "major_code", "description"), r'^<clm id="p(?P<page>\d+)-(?P<row>\d+)\.\d+-(?P<col>\d+)\.(?P<sub>\d+)">'
 
 
 def clean(c: str | Column) -> Column:
     """Without white space at the ends, ideographic too."""
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^[\s\u3000]+|[\s\u3000]+$", "")
-
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^[\s　]+|[\s　]+$", "")
 
-def text_at(col: Column | int, cols: str | Column = "cols") -> Column:
-    col = F.lit(col) if isinstance(col, int) else col
-    return F.coalesce(clean(F.when(col.isNotNull(), F.element_at(cols, F.coalesce(col, F.lit(-1))))["all"]), F.lit(""))
 
-
-def number_at(col: Column | int, scale: int) -> Column:
-    """The first cell's number in yen: thousands may be set apart, a triangle is a minus; null where it is none."""
-    col = F.lit(col) if isinstance(col, int) else col
-    first = F.coalesce(F.when(col.isNotNull(), F.element_at("cols", F.coalesce(col, F.lit(-1))))["first"], F.lit(""))
-    digits = F.regexp_replace(first, r"[△\s\u3000,]", "")
+def number_of(first: Column, scale: int) -> Column:
+    """A text's number in yen: thousands may be set apart, a triangle is a minus; null where it is none."""
+    digits = F.translate(first, "△," + BLANKS, "")
     value = F.when(digits.rlike(r"^[0-9]+$"), digits.try_cast("long") * scale)
     return F.when(F.contains(first, F.lit("△")), -value).otherwise(value)
 
 
-def first_head(test, heads: str | Column = "heads") -> Column:
-    """The column of the first label that passes."""
-    return F.get(F.filter(heads, lambda h: test(h["label"])), F.lit(0))["col"]
-
-
-def carried(rows: Column, when, fields) -> Column:
-    """An array of rows, each with fields(row) of the last one so far where when(row) holds as a field of name carried: null before the first."""
-    def run(r):
-        first = F.get(r, F.lit(0))
-        return let(F.when(when(first), fields(first)), lambda s: F.transform(r, lambda x: F.struct(x.alias("x"), s.alias("carried"))))
-
-    return F.flatten(F.transform(runs(rows, lambda x, before: when(x)), run))
-
-
-def section_of(code: Column, name: Column) -> Column:
-    return F.struct(code.alias("code"), name.alias("name"))
-
-
-def items(rows: DataFrame, scale: int, cols: dict[str, Column]) -> DataFrame:
-    """The rows that have a name and an amount, as items; amounts of cols not given are null, texts empty."""
+# ---- grids, in a task -------------------------------------------------------------------------------------------------------
+
+
+def cell_texts(cells: pa.Array) -> pa.Array:
+    """The CDATA of each cell, joined."""
+    parts = pc.split_pattern(cells, "CDATA[")
+    n, parts = pc.list_value_length(parts).to_numpy(), pc.list_flatten(parts)
+    inner = np.ones(len(parts), bool)
+    inner[np.cumsum(n) - n] = False  # what stands before a cell's first one
+    halves = pc.split_pattern(parts.filter(pa.array(inner)), "]]", max_splits=1)
+    if (pc.list_value_length(halves).to_numpy() < 2).any():  # not closed, or closed after another opens
+        found = re.compile(CDATA)
+        return pa.array(["".join(found.findall(c)) for c in cells.to_pylist()], cells.type)
+    return joined(pc.list_element(halves, 0), np.append(0, np.cumsum(n - 1)))
+
+
+def joined(texts: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The texts between two bounds each as one."""
+    if len(texts) == len(bounds) - 1 and (np.diff(bounds) == 1).all():
+        return texts
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), texts), "")
+
+
+def whole_number(texts: pa.Array) -> np.ndarray:
+    """Numbers, -1 where one is beyond an int."""
+    if (pc.max(pc.binary_length(texts)).as_py() or 0) > 10:
+        texts = pc.utf8_ltrim(texts, "0")
+        texts = pc.if_else(pc.equal(texts, ""), "0", pc.if_else(pc.greater(pc.binary_length(texts), 10), "-1", texts))
+    n = texts.cast(pa.int64()).to_numpy()
+    return np.where(n < 1 << 31, n, -1)
+
+
+def first_col(of: np.ndarray, col: np.ndarray, passes: pa.Array, n: int) -> np.ndarray:
+    """The column of the first label that passes for each of n groups, -1 where none does."""
+    at = np.flatnonzero(passes.to_numpy(zero_copy_only=False))
+    group, i = np.unique(of[at], return_index=True)
+    out = np.full(n, -1)
+    out[group] = col[at[i]]
+    return out
+
+
+class Grid:
+    """The cells of some documents (doc, cells, and head, those of its header element, where the form has one). Places are cells of one row and column: label, their texts joined, without
+    blanks at the ends, first and sub, those of the first cell. Rows have doc (its number), page and row."""
+
+    def __init__(self, texts: pa.Table):
+        self.docs, self.n_docs = texts.column("doc").combine_chunks(), len(texts)
+        if "head" in texts.column_names:
+            cell, self.head_doc = self._flat(texts.column("head"))
+            self.head_col, self.head_label = self._cells(cell)[2], pc.utf8_trim(cell_texts(cell), BLANKS)
+        cell, doc = self._flat(texts.column("cells"))
+        page, row, col, sub = self._cells(cell)
+        order = np.lexsort((col, row, page, doc))
+        page, row, col, doc, text = page[order], row[order], col[order], doc[order], cell_texts(cell)
+        if (order[1:] < order[:-1]).any():
+            text = text.take(pa.array(order))
+        differs = lambda *v: np.append(np.ones(min(len(order), 1), bool), np.logical_or.reduce([x[1:] != x[:-1] for x in v])) if len(order) else np.zeros(0, bool)
+        new_row = differs(doc, page, row)
+        place, begin = np.flatnonzero(new_row | differs(col)), np.flatnonzero(new_row)
+        self.doc, self.page, self.row, self.n = doc[begin], page[begin], row[begin], len(begin)
+        self.of, self.col, self.sub = (np.cumsum(new_row) - 1)[place], col[place], sub[order][place]
+        self.label, self.first = pc.utf8_trim(joined(text, np.append(place, len(order))), BLANKS), text.take(pa.array(place))
+        self.key = self.of << 32 | (self.col + 1)
+
+    @staticmethod
+    def _flat(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        """(the elements, the number of the list of each)."""
+        lists = lists.combine_chunks()
+        return pc.list_flatten(lists), np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+
+    @staticmethod
+    def _cells(cell: pa.Array) -> list[np.ndarray]:
+        found = pc.extract_regex(cell, PLACE)
+        return [whole_number(pc.struct_field(found, n)) for n in ("page", "row", "col", "sub")]
+
+    def at(self, col: np.ndarray | int) -> np.ndarray:
+        """Each row's place in a column, -1 where it has none."""
+        want = np.arange(self.n) << 32 | (np.maximum(col, -1) + 1)
+        i = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return np.where((self.key[i] == want) & (col >= 0), i, -1)
+
+    def told(self, place: np.ndarray, test: Callable[[pa.Array], pa.Array]) -> np.ndarray:
+        """Whether a place is there and its label passes."""
+        out, there = np.zeros(len(place), bool), np.flatnonzero(place >= 0)
+        out[there] = test(self.label.take(pa.array(place[there]))).to_numpy(zero_copy_only=False)
+        return out
+
+    def last(self, begins: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """The last row so far that begins something, -1 where there is none within the same run of rows."""
+        last = np.maximum.accumulate(np.where(begins, np.arange(self.n), -1))
+        return np.where((last >= 0) & (within[last] == within), last, -1)
+
+    def sections(self, able: np.ndarray, code: np.ndarray, name: np.ndarray, within: np.ndarray) -> dict[str, np.ndarray]:
+        """The places of each row's section: it begins where there are a code and a name."""
+        begins = able & self.told(code, is_number) & self.told(name, is_text)
+        return self.taken(self.last(begins, within), section_code=code, section_name=name)
+
+    def taken(self, row: np.ndarray, **places: np.ndarray) -> dict[str, np.ndarray]:
+        """Other rows' places, -1 where there is no other row."""
+        return {k: np.where(row >= 0, v[row], -1) for k, v in places.items()}
+
+    def items(self, keep: np.ndarray, **places: np.ndarray) -> pa.Table:
+        """The kept rows that have a name and an amount, with the texts of their places."""
+        rows = np.flatnonzero(keep & (places["name"] >= 0) & (places["amount"] >= 0))
+        number = lambda x: pa.array(x, pa.int32(), mask=x < 0)
+        take = lambda k, i: (self.label if k in TEXTS else self.first).take(pa.array(i, mask=i < 0))
+        return pa.table({"doc": self.docs.take(pa.array(self.doc[rows])), "page": number(self.page[rows]), "row": number(self.row[rows]), **{k: take(k, v[rows]) for k, v in places.items()}})
+
+
+def is_text(label: pa.Array) -> pa.Array:
+    return pc.not_equal(label, "")
+
+
+def is_number(label: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(label, "^[0-9]+$")
+
+
+def taken_apart(texts: DataFrame, take: Callable[[Grid], pa.Table], names: tuple[str, ...], header: bool = False) -> DataFrame:
+    """texts(doc, text) -> doc, page, row and texts of names: what take makes of each document's grid."""
+    found = lambda text: F.regexp_extract_all(text, F.lit(CELL), 0)
+    heads = [found(F.regexp_extract("text", r"(?s)<header>(.*?)</header>", 1)).alias("head")] if header else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            n = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("cells")), 0).to_numpy())
+            low = 0
+            while low < len(t):
+                high = max(low + 1, int(np.searchsorted(n, (n[low - 1] if low else 0) + CELLS, "right")))
+                yield from take(Grid(t.slice(low, high - low))).to_batches()
+                low = high
+
+    place = [T.StructField(n, T.IntegerType()) for n in ("page", "row")]
+    return texts.select("doc", *heads, found(F.col("text")).alias("cells")).mapInArrow(run, T.StructType([texts.schema["doc"], *place, *[T.StructField(n, T.StringType()) for n in names]]))
+
+
+# ---- forms ------------------------------------------------------------------------------------------------------------------
+
+
+def items(rows: DataFrame, scale: int) -> DataFrame:
+    """The rows that have a name and an amount, as items; amounts of columns not given are null, texts empty."""
     numbers = ("amount", "previous", "difference", "current", "spent", "carried_over", "unused")
-    out = {n: number_at(cols[n], scale) if n in cols else F.lit(None).cast("long") for n in numbers}
-    out |= {n: cols.get(n, F.lit("")) for n in ("name", "major_code", "description")}
-    out |= {f"section_{k}": F.coalesce(F.col("section")[k], F.lit("")) for k in ("code", "name")}
+    out = {n: number_of(F.col(n), scale) if n in rows.columns else F.lit(None).cast("long") for n in numbers}
+    out |= {n: F.coalesce(n, F.lit("")) if n in rows.columns else F.lit("") for n in TEXTS}
     names = F.create_map(*[F.lit(x) for pair in MAJOR_EXPENSES.items() for x in pair])
     found = rows.select("doc", "page", "row", *[v.alias(k) for k, v in out.items()]).where("name <> '' and amount is not null")
     return found.withColumn("major_name", F.coalesce(F.element_at(names, F.col("major_code")), F.lit(""))).select("doc", "page", "row", *ITEM)
@@ -132,70 +203,66 @@ def items(rows: DataFrame, scale: int, cols: dict[str, Column]) -> DataFrame:
 
 def standard(texts: DataFrame, scale: int = 1000) -> DataFrame:
     """First and provisional budgets. Where two-digit codes stand under the label 事項 they are codes of major expenses, and names are in the next column."""
-    label = lambda *names: F.coalesce(*[first_head(lambda x, n=n: x == n) for n in names])
-    heads = texts.select("doc", "text", let(header_heads(F.col("text")), lambda h: h).alias("heads")).select(
-        "doc", "text", label("事項").alias("item"), first_head(lambda x: x.rlike(ERA_YEAR)).alias("amount"), label("前年度予算額", "前年度").alias("previous"),
-        first_head(lambda x: x.startswith("比較増")).alias("difference"), label("説明").alias("description"))
-    at, numbers = lambda r, d: text_at(F.col("item") + d, r["cols"]), ("amount", "previous", "difference")
-    # figures in the description use the same columns: a section is one only with a code and a name
-    section = lambda rows: carried(rows, lambda r: at(r, -2).rlike(r"^[0-9]+$") & (at(r, -1) != ""), lambda r: section_of(at(r, -2), at(r, -1)))
-    body = let(F.when(F.col("item").isNotNull() & F.col("amount").isNotNull(), row_array(F.col("text"))), lambda rows: let(
-        F.exists(rows, lambda r: at(r, 0).rlike(r"^[0-9]{2}$")), lambda coded: F.transform(section(rows), lambda r: F.struct(r["x"].alias("x"), r["carried"].alias("section"), coded.alias("coded")))))
-    # the document's array is read by the explode alone, so no row carries it along
-    coded = heads.select("doc", "item", *numbers, "description", F.inline(body)).select("doc", "item", *numbers, "description", "coded", "x.*", "section")
-    return items(coded, scale, {"name": text_at(F.when(F.col("coded"), F.col("item") + 1).otherwise(F.col("item"))),
-                                "major_code": text_at(F.when(F.col("coded"), F.col("item"))), "description": text_at(F.col("description")),
-                                **{n: F.col(n) for n in numbers}})
-
-
-def labels_of(cols: str | Column = "cols") -> Column:
-    """A row's labels in the order of columns: an array of (col, label)."""
-    return F.transform(F.array_sort(F.map_entries(cols)), lambda e: F.struct(e["key"].alias("col"), clean(e["value"]["all"]).alias("label")))
+
+    def take(g: Grid) -> pa.Table:
+        head = lambda test: first_col(g.head_doc, g.head_col, test(g.head_label), g.n_docs)
+        named = lambda name: head(lambda x: pc.equal(x, name))
+        last_year = named("前年度予算額")
+        columns = {"amount": head(lambda x: pc.match_substring_regex(x, ERA_YEAR)), "previous": np.where(last_year >= 0, last_year, named("前年度")),
+                   "difference": head(lambda x: pc.starts_with(x, "比較増")), "description": named("説明")}
+        item = named("事項")[g.doc]
+        able, own, beside = (item >= 0) & (columns["amount"][g.doc] >= 0), g.at(item), g.at(np.where(item >= 0, item + 1, -1))
+        coded = np.zeros(g.n_docs, bool)
+        coded[g.doc[able & g.told(own, lambda x: pc.match_substring_regex(x, "^[0-9]{2}$"))]] = True
+        coded = coded[g.doc]
+        # figures in the description use the same columns: a section is one only with a code and a name
+        return g.items(able, **g.sections(able, g.at(item - 2), g.at(item - 1), g.doc), name=np.where(coded, beside, own), major_code=np.where(coded, own, -1),
+                       **{k: g.at(v[g.doc]) for k, v in columns.items()})
+
+    return items(taken_apart(texts, take, (*TEXTS[:4], "amount", "previous", "difference", "description"), header=True), scale)
 
 
 def revised(texts: DataFrame, scale: int = 1000) -> DataFrame:
     """Supplementary budgets. Column 2 holds sections (sub 1) and items (sub 2), column 1 their codes; the row whose column 1 has 事項 names the amounts' columns."""
-    sub = lambda r: F.element_at(r["cols"], F.lit(2))["sub"]
-    is_head = lambda r: F.contains(text_at(1, r["cols"]), F.lit("事項"))
-
-    def taken(rows):
-        head = F.coalesce(F.array_position(F.transform(rows, is_head), True), F.lit(0)).cast("int")
-        return let(head, lambda h: F.when(h > 0, F.struct(
-            labels_of(F.get(rows, h - 1)["cols"]).alias("labels"),
-            carried(F.filter(rows, lambda r, i: (i != h - 1) & (text_at(2, r["cols"]) != "")), lambda r: F.coalesce(sub(r) == 1, F.lit(False)),
-                    lambda r: section_of(text_at(1, r["cols"]), text_at(2, r["cols"]))).alias("rows"))))
 
-    find = lambda test: F.get(F.filter("b.labels", lambda x: test(x["label"])), F.lit(0))["col"]
-    numbers = {"previous": find(lambda x: F.contains(x, F.lit("成立予算額"))), "difference": find(lambda x: F.contains(x, F.lit("差引額"))), "amount": find(lambda x: x.rlike(REVISED_YEAR))}
-    heads = texts.select("doc", let(row_array(F.col("text")), taken).alias("b")).select(
-        "doc", "b", *[v.alias(k) for k, v in numbers.items()], find(lambda x: x == "説明").alias("description"))
-    # not a filter, which would take each document apart once more
-    body = heads.select("doc", *numbers, "description", F.explode(F.when(F.col("amount").isNotNull(), F.col("b.rows"))).alias("r")).select("doc", *numbers, "description", "r.x.*", F.col("r.carried").alias("section"))
-    return items(body.where(sub({"cols": F.col("cols")}) == 2), scale, {"name": text_at(2), "major_code": text_at(1), "description": text_at(F.col("description")), **{n: F.col(n) for n in numbers}})
+    def take(g: Grid) -> pa.Table:
+        code, name = g.at(1), g.at(2)
+        heads = np.flatnonzero(g.told(code, lambda x: pc.match_substring(x, "事項")))
+        heads = heads[np.unique(g.doc[heads], return_index=True)[1]]  # a document's first one
+        is_head = np.zeros(g.n, bool)
+        is_head[heads] = True
+        places = np.flatnonzero(is_head[g.of])
+        label, of, col = g.label.take(pa.array(places)), g.doc[g.of[places]], g.col[places]
+        tests = {"amount": lambda x: pc.match_substring_regex(x, REVISED_YEAR), "previous": lambda x: pc.match_substring(x, "成立予算額"),
+                 "difference": lambda x: pc.match_substring(x, "差引額"), "description": lambda x: pc.equal(x, "説明")}
+        columns = {k: first_col(of, col, test(label), g.n_docs) for k, test in tests.items()}
+        able = (columns["amount"][g.doc] >= 0) & ~is_head & g.told(name, is_text)
+        sub = np.where(name >= 0, g.sub[name], -1)
+        return g.items(able & (sub == 2), **g.taken(g.last(able & (sub == 1), g.doc), section_code=code, section_name=name), name=name, major_code=code,
+                       **{k: g.at(v[g.doc]) for k, v in columns.items()})
+
+    return items(taken_apart(texts, take, (*TEXTS[:4], "amount", "previous", "difference", "description")), scale)
 
 
 def settlement(texts: DataFrame, scale: int = 1) -> DataFrame:
     """Accounts. Header rows are part of the body and come again: each holds until the next and begins without a section; rows before the first
     one, and those whose name is a number, are summaries."""
-    has = lambda labels, n: F.exists(labels, lambda x: x["label"] == n)
-    headed = lambda r: let(F.filter(labels_of(r["cols"]), lambda x: x["label"] != ""), lambda v: F.struct(
-        r.alias("r"), F.when(has(v, "事項") & has(v, "支出済歳出額(円)"), v).alias("head")))
-    find = lambda known, n: F.get(F.filter(known, lambda x: x["label"] == n), F.lit(0))["col"]
     numbers = {"amount": "歳出予算額(円)", "current": "歳出予算現額(円)", "spent": "支出済歳出額(円)", "carried_over": "翌年度繰越額(円)", "unused": "差引額(円)"}
 
-    def block(rows):
-        """A header row and what follows it, as (columns by label, the rows with their sections)."""
-        known = F.get(rows, F.lit(0))["head"]
-        return let(F.struct(find(known, "事項").alias("item"), *[find(known, v).alias(k) for k, v in numbers.items()]), lambda at: F.struct(at.alias("at"), carried(
-            F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: x["r"]),
-            lambda r: text_at(at["item"] - 2, r["cols"]).rlike(r"^[0-9]+$") & (text_at(at["item"] - 1, r["cols"]) != ""),
-            lambda r: section_of(text_at(at["item"] - 2, r["cols"]), text_at(at["item"] - 1, r["cols"]))).alias("rows")))
-
-    blocks = lambda rows: F.transform(F.filter(runs(rows, lambda x, before: x["head"].isNotNull()), lambda b: F.get(b, F.lit(0))["head"].isNotNull()), block)
-    found = texts.select("doc", F.inline(blocks(F.transform(row_array(F.col("text")), headed))))
-    body = found.select("doc", "at.*", F.explode("rows").alias("x")).select("doc", "item", *numbers, "x.x.*", F.col("x.carried").alias("section"))
-    name = text_at(F.col("item") + 1)
-    return items(body.where(~name.rlike(r"^[0-9,]+$")), scale, {"name": name, "major_code": text_at(F.col("item")), **{n: F.col(n) for n in numbers}})
+    def take(g: Grid) -> pa.Table:
+        has = lambda n: np.bincount(g.of[pc.equal(g.label, n).to_numpy(zero_copy_only=False)], minlength=g.n) > 0
+        is_head = has("事項") & has(numbers["spent"])
+        places = np.flatnonzero(is_head[g.of])
+        label = g.label.take(pa.array(places))
+        block = g.last(is_head, g.doc)
+        column = lambda n: np.where(block >= 0, first_col(g.of[places], g.col[places], pc.equal(label, n), g.n)[block], -1)
+        item, able = column("事項"), (block >= 0) & ~is_head
+        name = g.at(np.where(able, item + 1, -1))
+        summary = g.told(name, lambda x: pc.match_substring_regex(x, "^[0-9,]+$"))
+        return g.items(able & ~summary, **g.sections(able, g.at(item - 2), g.at(item - 1), block), name=name, major_code=g.at(item),
+                       **{k: g.at(column(n)) for k, n in numbers.items()})
+
+    return items(taken_apart(texts, take, (*TEXTS[:4], *numbers)), scale)
 
 
 # ---- titles -----------------------------------------------------------------------------------------------------------------

@@ -139,3 +139,27 @@ def test_documents_are_taken_apart_in_place(spark, tmp_path, layout):
     plan = getattr(layouts, layout)(spark.read.parquet(f"file://{tmp_path}/t"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Sort ", "Window", "Join"))
     assert plan.count(r'<clm id="p\d+') == (2 if layout == "standard" else 1)  # a standard form's header is apart
+
+
+@pytest.mark.parametrize("layout", ["standard", "revised", "settlement"])
+def test_cells_are_columns_in_a_task(spark, tmp_path, layout):
+    """What a cell, place or row is isn't worked out by lambdas, which Spark runs uncompiled for each element: they took most of the time of the forms' queries."""
+    spark.createDataFrame([(1, "")], "doc long, text string").write.parquet(f"file://{tmp_path}/t")
+    plan = getattr(layouts, layout)(spark.read.parquet(f"file://{tmp_path}/t"))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "MapInArrow" in plan
+
+
+def test_odd_cells(spark, monkeypatch):
+    """Cells out of order, several in a place, numbers beyond an int, CDATA that isn't closed or opens twice, documents larger than what is taken apart at once."""
+    cell = lambda r, c, s, *t: f'<clm id="p1-{r}.1-{c}.{s}">' + "".join(f"<l><![CDATA[{x}]]></l>" for x in t) + "</clm>"
+    head = cell(1, 4, 1, "事項") + cell(1, 5, 1, "歳出予算額(円)") + cell(1, 8, 1, "支出済歳出額(円)")
+    body = [cell(3, 5, 1, " n", "2　"), cell(3, 4, 1, "07"), cell(2, 2, 1, "1"), cell(2, 3, 1, "S"), cell(2, 4, 1, "07"), cell(2, 5, 1, "a"), cell(2, 5, 2, "b"),
+            '<clm id="p1-2.1-8.1"><l><![CDATA[9]</l></clm>', '<clm id="p1-3.1-8.1"><l><![CDATA[x CDATA[9]]></l></clm>', cell("99999999999", 5, 1, "far"), cell("0000000000004", 5, 1, "5")]
+    head = head.replace("-5.1", "-6.1")
+    body += [cell(2, 6, 1, "△1, 000"), cell(3, 6, 1, "3"), cell(3, 6, 2, "4"), cell(4, 6, 1, "8"), cell("99999999999", 6, 1, "9")]
+    texts = spark.createDataFrame([(k, head + "".join(body)) for k in "ab"] + [("null", None)], "doc string, text string")
+    want = [(2, "ab", -1000, "1", "S"), (3, "n2", 3, "1", "S")]
+    for size in (1, 50_000):
+        monkeypatch.setattr(layouts, "CELLS", size)
+        got = layouts.settlement(texts).orderBy("doc", "row").collect()
+        assert [(r.doc, r.row, r.name, r.amount, r.section_code, r.section_name, r.spent) for r in got] == [(k, *w, None) for k in "ab" for w in want]
